@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,21 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a text that are cut into words at once.
+PART = 1 << 20
+
+
+def word_parts(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text, in lists whose size doesn't grow with the text."""
+    start = 0
+    while start < len(text):
+        end = start + PART
+        while end < len(text) and text[end] not in b" \t\n\v\f\r":
+            end += 1
+        yield text[start:end].split()
+        start = end
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 

@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+from .media import op4_media_columns
 from .mixing import op8_entropy_mixing
+from .packing import op1_packing
+from .pii import op6_pii_spans
+from .quality import op3_quality_classifier
 from .sharding import op9_rendezvous_sharding
 from .simhash import op5_simhash_dedup
+from .topk import TOP_K_SQL, op2_branch_and_bound
+from .toxicity import op7_toxicity_chain
 
-QUERIES = {f.__name__: f for f in (op5_simhash_dedup, op8_entropy_mixing, op9_rendezvous_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing,
+        op2_branch_and_bound,
+        op3_quality_classifier,
+        op4_media_columns,
+        op5_simhash_dedup,
+        op6_pii_spans,
+        op7_toxicity_chain,
+        op8_entropy_mixing,
+        op9_rendezvous_sharding,
+    )
+}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_branch_and_bound": TOP_K_SQL}

@@ -12,29 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, documents, table
+from .common import components, documents, table, word_parts
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Four blocks of 16 bits: fingerprints within two bits agree on two blocks at least.
 BLOCKS, WIDTH = 4, 16
 #: A pair of blocks shared by more fingerprints than this goes by their neighbours instead of by pairs.
 CROWD = 16
-#: Bytes of a text that are cut into words at once.
-PART = 1 << 20
 
 
 def _shingle_hashes(text: bytes) -> Iterator[np.ndarray]:
     """XXH64 of the shingles of a text, in parts, so that memory doesn't grow with the text."""
     digest, join = xxhash.xxh64_intdigest, b" ".join
     kept: list[bytes] = []
-    any_yet, start = False, 0
-    while start < len(text):
-        end = start + PART
-        if end < len(text):
-            while end < len(text) and text[end] not in b" \t\n\v\f\r":
-                end += 1
-        words = kept + text[start:end].lower().split()
-        start = end
+    any_yet = False
+    for words in word_parts(text.lower()):
+        words = kept + words
         if len(words) >= SHINGLE:
             any_yet = True
             own = [digest(s, SEED) for s in map(join, zip(*[words[i:] for i in range(SHINGLE)]))]
