@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -17,9 +18,11 @@ from .quality import held_out
 
 #: Categories in the order of the chain: a column of the labels, and the value that means yes.
 CHAIN = (("quality", 0), ("toxic", 1))
-#: Labelled rows that the chain is fitted on, about; words that it looks at for each category, and the least
-#: number of those rows that hold such a word; folds; ridge penalty; probability from which a document is toxic.
-TRAIN, WORDS, SUPPORT, FOLDS, RIDGE, THRESHOLD = 10_000, 128, 8, 5, 1.0, 0.5
+#: Labelled rows that the chain is fitted on, about; units that it looks at for each category, the least number
+#: of those rows that hold one, and its least chi-square.
+TRAIN, UNITS, SUPPORT, SURE = 10_000, 128, 5, 16.0
+#: Folds; ridge penalty; probability from which a document is toxic.
+FOLDS, RIDGE, THRESHOLD = 5, 0.3, 0.4
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Code points of a text that are cut into words at once.
@@ -37,44 +40,61 @@ def words_of(text: str | None) -> Iterator[list[str]]:
         start = end
 
 
+def units_of(word: str) -> tuple[str, ...]:
+    """What a word tells: itself, and how it begins, for languages that inflect and compound."""
+    return (word, word[:5] + "-", word[:4] + "-") if len(word) > 5 else (word, word[:4] + "-") if len(word) > 4 else (word,)
+
+
+def count_units(text: str | None, among: dict[str, int] | None = None) -> tuple[Counter, int]:
+    """Occurrences of each unit in a text, of these only if given, and its number of words."""
+    words: Counter = Counter()
+    for part in words_of(text):
+        words.update(part)
+    units: Counter = Counter()
+    for w, n in words.items():
+        for u in units_of(w):
+            if among is None or u in among:
+                units[u] += n
+    return units, words.total()
+
+
 class Vocabulary(NamedTuple):
     index: dict[str, int]
 
     def features(self, text: str | None) -> np.ndarray:
-        """Share of each word among the text's words, as a saturating rate, then the log of their number."""
-        counts, n, index = np.zeros(len(self.index)), 0, self.index
-        for words in words_of(text):
-            n += len(words)
-            at = [index[w] for w in words if w in index]
-            if at:
-                counts += np.bincount(at, minlength=len(counts))
-        rate = counts * 100 / max(n, 20)
-        return np.append(rate / (1 + rate), np.log1p(n) / 10)
+        """n / (n + 1) for a unit that occurs n times, then the log of the number of words."""
+        units, n = count_units(text, self.index)
+        out = np.zeros(len(self.index) + 1)
+        for u, times in units.items():
+            out[self.index[u]] = times / (times + 1)
+        out[-1] = np.log1p(n) / 10
+        return out
 
 
 def _texts(batch: pa.RecordBatch) -> list:
     return batch.column(batch.schema.get_field_index("text")).to_pylist()
 
 
-def choose_words(rows: DataFrame, categories: Sequence[str]) -> Vocabulary:
-    """For each category the WORDS words whose presence in a document tells most about it (chi-square)."""
+def choose_units(rows: DataFrame, categories: Sequence[str]) -> Vocabulary:
+    """For each category the UNITS units whose presence in a document tells most about it, by chi-square;
+    units in fewer than SUPPORT documents, or below SURE, are chance."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[*set().union(*words_of(t))] for t in _texts(b)]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in categories], pa.array(found, pa.list_(pa.string()))], [*categories, "words"])
+            found = [[*count_units(t)[0]] for t in _texts(b)]
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in categories], pa.array(found, pa.list_(pa.string()))], [*categories, "units"])
 
-    held = rows.select("text", *categories).mapInArrow(distinct, ", ".join([*[f"{c} double" for c in categories], "words array<string>"]))
+    held = rows.select("text", *categories).mapInArrow(distinct, ", ".join([*[f"{c} double" for c in categories], "units array<string>"]))
     total = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
-    by_word = held.select(F.explode("words").alias("word"), *categories).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= SUPPORT)
+    by_unit = held.select(F.explode("units").alias("unit"), *categories).groupBy("unit").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= SUPPORT)
     chosen: dict[str, int] = {}
     for c in categories:
         yes = float(total[c] or 0)
         if not 0 < yes < total.n:
             continue
-        gain = (F.col(c) * total.n - F.col("n") * yes) ** 2 / (F.col("n") * (total.n - F.col("n") + 1))
-        for r in by_word.orderBy(F.desc(gain), "word").limit(WORDS).collect():
-            chosen.setdefault(r.word, len(chosen))
+        chi = (F.col(c) * total.n - F.col("n") * yes) ** 2 / (F.col("n") * (total.n - F.col("n") + 1.0)) * (total.n / (yes * (total.n - yes)))
+        for r in by_unit.where(chi >= SURE).orderBy(F.desc(chi), "unit").limit(UNITS).collect():
+            chosen.setdefault(r.unit, len(chosen))
     return Vocabulary(chosen)
 
 
@@ -120,7 +140,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, chain: Sequence[tuple[str
     """doc_id and a probability for each category of the chain, for every row of docs (doc_id, text).
 
     The chain is fitted on about TRAIN labelled rows, chosen by hash of those that aren't held out, so the
-    driver sees TRAIN rows of 2 * WORDS numbers whatever the table's size. Scoring is one pass over
+    driver sees TRAIN rows of 2 * UNITS numbers whatever the table's size. Scoring is one pass over
     whole texts without a shuffle. Null texts count as empty; repeated rows each return; labels that are null
     don't count. Without labelled rows every probability is 0.
     """
@@ -130,7 +150,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, chain: Sequence[tuple[str
     if n > TRAIN:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < int(TRAIN / n * (1 << 20)))
     rows = table(docs.select("doc_id", "text").join(known, "doc_id"), "training")
-    vocabulary = choose_words(rows, categories)
+    vocabulary = choose_units(rows, categories)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
