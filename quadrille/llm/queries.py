@@ -7,6 +7,7 @@ from .mixing import op8_entropy_mixing
 from .packing import op1_packing
 from .pii import op6_pii_spans
 from .quality import op3_quality_classifier
+from .rindex import op10_run_length_index
 from .sharding import op9_rendezvous_sharding
 from .simhash import op5_simhash_dedup
 from .topk import TOP_K_SQL, op2_branch_and_bound
@@ -24,6 +25,7 @@ QUERIES = {
         op7_toxicity_chain,
         op8_entropy_mixing,
         op9_rendezvous_sharding,
+        op10_run_length_index,
     )
 }
 
