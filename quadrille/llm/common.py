@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
@@ -32,6 +32,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def row_keys(*columns: str) -> list[Column]:
+    """k1 and k2: 128 bits that tell rows apart by these columns; equal rows have equal keys."""
+    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit("row"), *reversed(columns)).alias("k2")]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 

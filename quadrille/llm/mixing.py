@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, documents, release, table
+from .common import WORD, documents, release, row_keys, table
 
 #: Weights of the sources in code-point order, repeating; share of all words; most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -109,16 +109,10 @@ def round_copies(cells: DataFrame, duals: DataFrame) -> DataFrame:
     return now
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken of every row of docs (doc_id, source, text).
-
-    size counts words (null: 0). A null source is a source of its own, the last. Documents without a
-    word have no say and keep one copy or two, of no words. Documents of one source and size that get
-    unequal copies are told apart by a hash of doc_id, so reruns agree however the rows are dealt out; equal
-    rows are alike. An empty table gives an empty table.
-    """
+def _mixed(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, size, source_size, target, copies of every row of docs (doc_id, source, text, k1, k2)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = table(docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), size.alias("size"), F.xxhash64("doc_id").alias("h")), "sizes")
+    rows = table(docs.select("doc_id", "k1", "k2", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), size.alias("size"), F.xxhash64("doc_id").alias("h")), "sizes")
     cells = table(rows.groupBy("skey", "size").agg(F.count("*").alias("n"), F.first("source").alias("source")), "cells")
     sizes = cells.groupBy("skey").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).cast("double").alias("source_size")).withColumn("none", F.col("source").isNull())
     targets = table(source_targets(sizes), "targets")
@@ -129,9 +123,29 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     buckets = rows.groupBy(*cell, "bucket").count()
     buckets = buckets.withColumn("before", F.sum("count").over(W.partitionBy(*cell).orderBy("bucket")) - F.col("count"))
     buckets = buckets.join(copies.select(*cell, F.floor(F.col("copies") / F.col("n")).alias("each"), (F.col("copies") % F.col("n")).alias("extra")), cell).join(targets, "skey").drop("count")
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(*cell, "bucket").orderBy("h", "doc_id"))).join(buckets, [*cell, "bucket"])
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(*cell, "bucket").orderBy("h", "doc_id", "k1"))).join(buckets, [*cell, "bucket"])
     many = F.col("each") + (F.col("before") + F.col("rank") <= F.col("extra")).cast("long")
-    return ranked.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", many.alias("copies"), (many * F.col("size")).alias("taken"))
+    return ranked.select("doc_id", "k1", "k2", "size", F.col("source_size").cast("long").alias("source_size"), "target", many.alias("copies"))
+
+
+def mix_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken of every row of docs (doc_id, source, text).
+
+    size counts words (null: 0). A null source is a source of its own, the last. Documents without a
+    word have no say and keep one copy or two, of no words. Documents of one source and size that get
+    unequal copies are told apart by a hash of doc_id, so reruns agree however the rows are dealt out; equal
+    rows are alike. An empty table gives an empty table.
+    """
+    return _mixed(docs.select("doc_id", "source", "text", *row_keys("doc_id", "text"))).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; all columns stay."""
+    keyed = docs.select("*", *row_keys("doc_id", "text", "source"))
+    many = _mixed(keyed.select("doc_id", "source", "text", "k1", "k2")).groupBy("k1", "k2").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    nth = F.row_number().over(W.partitionBy("k1", "k2").orderBy("k1"))
+    once = keyed.join(many, ["k1", "k2"]).withColumn("nth", nth).where("nth = 1")
+    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

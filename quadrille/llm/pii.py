@@ -149,7 +149,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """docs with the spans of `text` masked; all columns and rows stay, null texts too."""
+    """docs with the spans of `text` masked; all columns and rows stay, null texts too. No shuffle."""
     order = [c for c in docs.columns if c != "text"]
     schema = T.StructType([*[docs.schema[c] for c in order], T.StructField("text", T.StringType()), *T._parse_datatype_string(f"_spans {SPANS}").fields])
     return docs.select(*order, "text").mapInArrow(_find(True), schema).select(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, release, table
+from .common import documents, release, row_keys, table
 
 #: Bytes of a match, and of an anchor's gram. AROUND more on both sides hold every match with the gram.
 MATCH, GRAM = 400, 100
@@ -376,7 +376,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     each other, so each of them loses all its strings of MATCH bytes. A removed run may end within a
     character, which is why kept is binary. Rows are told apart by two 64-bit hashes of id and text.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit("row"), "doc_id").alias("k2"))
+    rows = docs.select("doc_id", "text", *row_keys("doc_id", "text"))
     marks = find_repeats(rows.select("k1", "k2", "text")).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_bytes long, kept binary, spans array<struct<lo:int,hi:int>>").fields])
     return rows.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "marks").mapInArrow(_remove, schema)

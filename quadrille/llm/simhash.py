@@ -10,9 +10,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import components, documents, table, word_parts
+from .common import components, documents, row_keys, table, word_parts
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Four blocks of 16 bits: fingerprints within two bits agree on two blocks at least.
@@ -37,10 +38,10 @@ def _shingle_hashes(text: bytes) -> Iterator[np.ndarray]:
         yield np.array([digest(join(kept), SEED)], dtype=np.uint64)
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: bytes | None) -> int:
     """The 64-bit fingerprint as a signed long: a bit is set if it is in over half the hashes."""
     counts, n = np.zeros(64, dtype=np.int64), 0
-    for hashes in _shingle_hashes((text or "").encode()):
+    for hashes in _shingle_hashes(text or b""):
         n += len(hashes)
         for at in range(0, len(hashes), 1 << 15):
             part = hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -50,14 +51,16 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = pa.array([fingerprint(x.as_py()) for x in batch.column(1)], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), marks], ["doc_id", "fp"])
+        kept = {n: batch.column(n) for n in batch.schema.names if n != "text"}
+        texts = batch.column("text").cast(pa.binary())
+        yield pa.RecordBatch.from_pydict(kept | {"fp": pa.array([fingerprint(x.as_py()) for x in texts], pa.int64())})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp of every row of docs (doc_id, text); a null text counts as empty: fp 0."""
-    kind = docs.schema["doc_id"].dataType
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())]))
+    """Every row of docs with fp in place of text; a null text counts as empty: fp 0."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    schema = T.StructType([*kept, T.StructField("fp", T.LongType())])
+    return docs.select(*[f.name for f in kept], "text").mapInArrow(_fingerprints, schema)
 
 
 def links(marks: DataFrame) -> DataFrame:
@@ -87,6 +90,13 @@ def links(marks: DataFrame) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def _groups(rows: DataFrame, least) -> DataFrame:
+    """fp, root, least: the group of each fingerprint in rows, and the least of its own rows."""
+    marks = table(rows.groupBy("fp").agg(F.min(least).alias("least")), "marks")
+    roots = table(components(links(marks.select("fp"))), "roots")
+    return marks.join(roots, marks.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of every row of docs (doc_id, text).
 
@@ -94,14 +104,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bits, itself included; null ids are passed over, and a component of null ids only has none. Rows
     without a word have fingerprint zero and are linked like others. Repeated rows each return.
     """
-    rows = table(fingerprints(docs), "fingerprints")
-    marks = table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "marks")
-    roots = table(components(links(marks.select("fp"))), "roots")
-    own = marks.join(roots, marks.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rows = table(fingerprints(docs.select("doc_id", "text")), "fingerprints")
+    own = _groups(rows, "doc_id")
     ids = own.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(own.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near_duplicates: that of the smallest doc_id, null ids last, and of
+    equal rows one. All columns stay."""
+    rows = table(fingerprints(docs.select("doc_id", *row_keys("doc_id", "text"), "text")), "fingerprints")
+    own = _groups(rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2"))
+    first = own.groupBy("root").agg(F.min("least").alias("one")).select("one.k1", "one.k2")
+    kept = docs.select("*", *row_keys("doc_id", "text")).join(first, ["k1", "k2"], "left_semi")
+    return kept.withColumn("nth", F.row_number().over(W.partitionBy("k1", "k2").orderBy("k1"))).where("nth = 1").select(*docs.columns)
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -136,14 +136,44 @@ def run_chain(models: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return x[:, -len(models) :]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, chain: Sequence[tuple[str, int]] = CHAIN) -> DataFrame:
-    """doc_id and a probability for each category of the chain, for every row of docs (doc_id, text).
-
-    The chain is fitted on about TRAIN labelled rows, chosen by hash of those that aren't held out, so the
-    driver sees TRAIN rows of 2 * UNITS numbers whatever the table's size. Scoring is one pass over
-    whole texts without a shuffle. Null texts count as empty; repeated rows each return; labels that are null
-    don't count. Without labelled rows every probability is 0.
-    """
+class Chain(NamedTuple):
+    """A fitted chain: its categories in order, the units it looks at, and a model for each category."""
+
+    categories: tuple[str, ...]
+    vocabulary: Vocabulary
+    models: list[np.ndarray]
+
+    def probabilities(self, texts: Sequence[str | None]) -> np.ndarray:
+        x = np.array([self.vocabulary.features(t) for t in texts]).reshape(-1, len(self.vocabulary.index) + 1)
+        return run_chain(self.models, x)
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """doc_id and p_ of each category for every row of docs (doc_id, text): one pass over whole texts
+        without a shuffle. Null texts count as empty; repeated rows each return."""
+        names = [f"p_{c}" for c in self.categories]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p = self.probabilities(_texts(b))
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(p[:, k]) for k in range(len(names))]], ["doc_id", *names])
+
+        return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.DoubleType()) for c in names]]))
+
+    def reject(self, docs: DataFrame, category: str) -> DataFrame:
+        """The rows of docs whose probability of the category is below THRESHOLD; all columns stay."""
+        k = self.categories.index(category)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(self.probabilities(_texts(b))[:, k] < THRESHOLD))
+
+        return docs.mapInArrow(run, docs.schema)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, chain: Sequence[tuple[str, int]] = CHAIN) -> Chain:
+    """The chain, fitted on about TRAIN labelled rows of docs, chosen by hash of those that aren't held out;
+    so the driver sees TRAIN rows of 2 * UNITS numbers whatever the tables' sizes. Labels that are null don't
+    count. Without labelled rows every probability is 0."""
     categories = [c for c, _ in chain]
     known = labels.select("doc_id", *[(F.col(c) == yes).cast("double").alias(c) for c, yes in chain]).where(~held_out(F.col("doc_id"))).dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
     n = known.count()
@@ -159,24 +189,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, chain: Sequence[tuple[str
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
     seen = rows.select("text", *categories, fold).mapInArrow(examples, ", ".join(["x binary", *[f"{c} double" for c in categories], "fold int"])).toPandas()
-    width = len(vocabulary.index) + 1
     if len(seen):
         x = np.stack([np.frombuffer(v, dtype=np.float32) for v in seen.x]).astype(np.float64)
         models = fit_chain(x, seen[categories].to_numpy(), seen.fold.to_numpy())
     else:
-        models = [np.append(np.zeros(width + k), -np.inf) for k in range(len(categories))]
-    kind = docs.schema["doc_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([vocabulary.features(t) for t in _texts(b)]).reshape(-1, width)
-            p = run_chain(models, x)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(p[:, k]) for k in range(len(categories))]], ["doc_id", *names])
-
-    names = [f"p_{c}" for c in categories]
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([kind, *[T.StructField(c, T.DoubleType()) for c in names]]))
+        models = [np.append(np.zeros(len(vocabulary.index) + 1 + k), -np.inf) for k in range(len(categories))]
+    return Chain(tuple(categories), vocabulary, models)
 
 
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = score_toxicity(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    found = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).score(docs)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("p_quality").alias("low_quality"), F.col("p_toxic").alias("score"), (F.col("p_toxic") >= THRESHOLD).cast("int").alias("predicted"))
