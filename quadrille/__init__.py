@@ -1,0 +1 @@
+"""Comparison-based ranking, clustering and evaluation of labelled items on Spark."""
