@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import struct
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,46 +21,75 @@ WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 OPEN, MERGED = 64, 64
 #: A leftover window with at most this many free places stays as it is.
 SLACK = 32
-#: Bounds of a worker's memory: words whose ids are kept, the longest of them in bytes, bytes of ids to a batch.
-KEPT, LONGEST, BATCH = 1 << 19, 48, 1 << 22
+#: Bounds of a worker's memory: words whose ids are kept, the longest of them, bytes of ids to a batch.
+KEPT, LONGEST, BATCH = 1 << 17, 48, 1 << 22
+
+
+class Recent(dict):
+    """Values by key, made when first asked for. Keeps what was asked for of late: KEPT keys and the KEPT before."""
+
+    def __init__(self, make: Callable) -> None:
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, key):
+        value = self.before.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= KEPT:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class WordIds:
     """Token ids of a text from those of its white-space separated words.
 
-    The tokenizer folds white space and never lets a token cross it, so a text's ids are its
-    words' ids in turn. Words repeat, so most are looked up; the others go to the tokenizer in one batch
-    per part of a text.
+    The tokenizer folds white space and never lets a token cross it, so a text's ids are its words' ids in turn. Words
+    repeat, so most are looked up. A new word of Latin letters, digits and signs is cut by the tokenizer's own pattern into
+    units, which repeat more often still and are encoded by its model; any other word is encoded whole.
     """
 
     def __init__(self, file: str) -> None:
+        import regex
         from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(file), {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(file)
+        self.model = self.tokenizer.model
+        with open(file) as f:
+            first = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
+        self.cut = regex.compile(first["pattern"]["Regex"]).findall
+        #: Printable characters below U+0250: lower case and composition don't depend on what is near them.
+        self.plain = regex.compile(r"[\x21-\x7E\u00A1-\u024F]+").fullmatch
+        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.units, self.words = Recent(self._unit), Recent(self._word)
+
+    def _unit(self, unit: str) -> bytes:
+        if not unit.isascii():
+            unit = self.bytes.pre_tokenize_str(unit)[0][0]
+        return pack_ids([t.id for t in self.model.tokenize(unit)])
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if (text.isascii() and text.isprintable() or self.plain(text)) and "<|" not in text:
+            text = text.lower()
+            if text.isalpha():
+                return self.units[text]
+            if text[:-1].isalpha() and not text[-1].isalnum():
+                return self.units[text[:-1]] + self.units[text[-1]]
+            return b"".join(map(self.units.__getitem__, self.cut(text)))
+        return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids, END_ID last."""
-        out = []
-        for words in word_parts(text):
-            if len(self.known) > KEPT:
-                self.known.clear()
-            known = self.known
-            new = [w for w in set(words) if w not in known]
-            if new:
-                pairs = dict(zip(new, self._encode(new), strict=True))
-                known.update((w, x) for w, x in pairs.items() if len(w) <= LONGEST)
-                if any(len(w) > LONGEST for w in new):
-                    out.append(b"".join([known[w] if w in known else pairs[w] for w in words]))
-                    continue
-            out.append(b"".join(map(known.__getitem__, words)))
-        out.append(END_ID.to_bytes(4, "little"))
-        return b"".join(out)
+        return b"".join([*(b"".join(map(self.words.__getitem__, words)) for words in word_parts(text)), pack_ids([END_ID])])
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(1)

@@ -1,0 +1,449 @@
+"""Each operator against a brute-force version, on rows that hold nulls, empty and long texts, ties and repeats."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quadrille.llm import media, mixing, packing, pii, quality, rindex, sharding, simhash, topk, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: A table with more columns than an operator knows, some of them named like its own.
+CLASH = {"shard": 1, "slot": 2, "fp": 3, "size": 4, "spans": 5, "score": 6, "k1": 7, "u": 8, "copies": 9, "x": 10, "n": 11, "start": 12}
+
+
+def _rows():
+    rng = random.Random(7)
+    words = ["alpha", "Beta", "gamma,", "delta", "é", "中文", "12", "x@y.zz", "+1 (743) 555-3824", "4111 1111 1111 1111", "10.0.0.255"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    texts += [None, "", " \n\t", "one", "one two", texts[3], texts[3], texts[3].upper(), "long " * 30_000, "z" * 50_000, texts[5] + " tail", " ".join(texts[:6])]
+    texts += [texts[-1][40:] + "x", "é" * 700, "q" + "é" * 700]
+    rows = [(i, t, "en", None if i % 7 == 0 else f"src{i % 4}", len(t or "")) for i, t in enumerate(texts)]
+    return [*rows, rows[3], rows[60], (None, "no id", "en", "src1", 5), (None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(_rows(), SCHEMA).repartition(3)
+    return df.select("*", *[F.lit(v).alias(k) for k, v in CLASH.items()])
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def _words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_sharding(docs, empty):
+    got = sharding.shard_documents(docs, 5).collect()
+    assert len(got) == len(_rows()) and sharding.shard_documents(empty).count() == 0
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, *_ in _rows())
+    for s in range(5):
+        own = [r.slot for r in got if r.shard == s]
+        assert sorted(own) == list(range(len(own)))
+    assert all(r.grown_shard in (r.shard, 5) for r in got) and len({r.shard for r in got if r.doc_id == 3}) == 1
+    grown = {r.doc_id: r.shard for r in sharding.shard_documents(docs, 6).collect()}
+    assert all(grown[r.doc_id] == r.grown_shard for r in got)
+
+
+def test_sharding_weights(spark):
+    df = spark.range(4000).withColumnRenamed("id", "doc_id")
+    one = sharding.assign_shards(df, shards=3, weights=[1, 1, 2]).groupBy("shard").count().collect()
+    share = {r.shard: r["count"] / 4000 for r in one}
+    assert abs(share[2] - 0.5) < 0.05 and abs(share[0] - 0.25) < 0.05
+    with pytest.raises(ValueError):
+        sharding.assign_shards(df, shards=2, weights=[1, 0])
+
+
+def _targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, free, out = 1.5 * sum(sizes.values()), set(names), {}
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        above = [s for s in free if share[s] > 2 * sizes[s]]
+        if not above:
+            return out | share
+        for s in above:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+            free.discard(s)
+    return out
+
+
+def test_mixing(docs, empty):
+    got = mixing.mix_documents(docs).collect()
+    assert len(got) == len(_rows()) and mixing.mix_documents(empty).count() == 0
+    sizes = Counter()
+    for _, t, _, s, _ in _rows():
+        sizes[s] += len(_words(t))
+    want = _targets(sizes)
+    source = {d: s for d, _, _, s, _ in _rows() if d is not None}
+    by, most = Counter(), Counter()
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size and r.taken == r.copies * r.size
+        if r.doc_id is not None:
+            s = source[r.doc_id]
+            assert r.target == pytest.approx(want[s]) and r.source_size == sizes[s]
+            by[s] += r.taken
+            most[s] = max(most[s], r.size)
+    for s, n in by.items():
+        assert abs(n - want[s]) <= max(3, most[s] / 2), (s, n, want[s])  # whole copies can't come nearer
+    key = lambda r: (r.doc_id is None, r.doc_id, r.size, r.taken)
+    again = mixing.mix_documents(docs.repartition(7)).collect()
+    assert sorted(map(key, got), key=str) == sorted(map(key, again), key=str)
+
+
+def test_mixing_is_entropy_balanced(spark):
+    """Within a source rates are exp(dual * size), capped, before they are rounded."""
+    cells = spark.createDataFrame([("s", 10, 100), ("s", 100, 50), ("s", 1000, 10)], "skey string, size long, n long")
+    targets = spark.createDataFrame([("s", 16000.0, 8000.0)], "skey string, source_size double, target double")
+    dual = mixing.solve_dual(cells, targets).first().dual
+    assert sum(n * w * min(2, np.exp(dual * w)) for w, n in ((10, 100), (100, 50), (1000, 10))) == pytest.approx(8000, abs=0.3)
+
+
+def _fingerprint(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(v >> b & 1 for v in h) * 2 > len(h))
+
+
+def _components(ids, marks):
+    near = np.bitwise_count(marks[:, None] ^ marks[None, :]) <= 2
+    low = np.arange(len(marks))
+    while True:
+        new = np.array([low[near[i]].min() for i in range(len(low))])
+        if (new == low).all():
+            break
+        low = new
+    return [min((ids[j] for j in np.flatnonzero(low == low[i]) if ids[j] is not None), default=None) for i in range(len(low))]
+
+
+def test_simhash(docs, empty):
+    rows = _rows()
+    got = simhash.near_duplicates(docs).collect()
+    assert simhash.near_duplicates(empty).count() == 0
+    marks = np.array([_fingerprint(t) for _, t, *_ in rows], dtype=np.uint64)
+    ids = [r[0] for r in rows]
+    want = Counter(zip(ids, marks.view(np.int64).tolist(), _components(ids, marks)))
+    assert Counter((r.doc_id, r.fp, r.component_id) for r in got) == want
+
+
+@pytest.mark.parametrize("crowd", [0, 4, 16])
+def test_simhash_links(spark, monkeypatch, crowd):
+    """Chains and dense clouds of fingerprints, by pairs and by lists of neighbours."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(crowd)
+    marks = {rng.getrandbits(64) for _ in range(40)}
+    for c in [*marks][:3]:
+        x = c
+        for _ in range(60):
+            x ^= 1 << rng.randrange(64)
+            x ^= 1 << rng.randrange(64) if rng.random() < 0.5 else 0
+            marks.add(x)
+        marks |= {c ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(40)}
+    v = np.array(sorted(marks), dtype=np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
+    roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
+    want = _components([*map(int, v.view(np.int64))], v)
+    assert [roots.get(int(x), int(x)) for x in v.view(np.int64)] == want
+
+
+def test_keep_one(docs, empty):
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and simhash.keep_one(empty).count() == 0
+    rows = _rows()
+    marks = np.array([_fingerprint(t) for _, t, *_ in rows], dtype=np.uint64)
+    groups = _components([(r[0] is None, r[0] or 0, i) for i, r in enumerate(rows)], marks)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(rows[i][0] for _, _, i in set(groups))
+
+
+def _brute_spans(text):
+    def luhn(s):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for kind, pattern in kinds.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if {"email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 16 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 8 <= len(digits) <= 15}[kind]():
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii(docs, empty):
+    got = Counter((r.doc_id, tuple((s.kind, s.start, s.end) for s in r.spans if s.kind in pii.BASE)) for r in pii.pii_spans(docs).collect())
+    assert got == Counter((d, tuple(_brute_spans(t))) for d, t, *_ in _rows()) and pii.pii_spans(empty).count() == 0
+    masked = pii.redact_documents(docs)
+    assert masked.columns == docs.columns and pii.redact_documents(empty).count() == 0
+    assert all(not pii.find_spans(r.text) for r in masked.collect()) and masked.where("text is null").count() == docs.where("text is null").count()
+
+
+def test_pii_by_chance():
+    rng = random.Random(1)
+    for _ in range(5000):
+        text = "".join(rng.choice("a@b.c+1 2-3().%_45") for _ in range(rng.randint(0, 40)))
+        assert [(s.kind, s.start, s.end) for s in pii.find_spans(text) if s.kind in pii.BASE] == _brute_spans(text), text
+
+
+def test_pii_hard_texts_are_linear():
+    for text in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "1.2." * 80_000, "+1" + "(" * 200_000, "AB12 " * 50_000):
+        pii.find_spans(text)
+
+
+def test_pii_account_numbers():
+    text = "bank transfer to GB82 WEST 1234 5698 7654 32 today, serial GB82 WEST 1234 5698 7654 33"
+    spans = [s for s in pii.find_spans(text) if s.kind == "iban"]
+    assert [text[s.start : s.end] for s in spans] == ["GB82 WEST 1234 5698 7654 32"] and spans[0].score > pii.SCORES["iban"]
+    assert pii.redact(text, spans).startswith("bank transfer to [IBAN] today")
+
+
+def test_media(docs, empty):
+    got = media.read_media(media.store_texts(docs)).collect()
+    assert media.read_media(media.store_texts(empty)).count() == 0
+    padded = lambda b: b + bytes((-len(b)) % 64 if b else 64)
+    assert Counter((r.doc_id, r.n_bytes, r.payload) for r in got) == Counter((d, len((t or "").encode()), padded((t or "").encode())) for d, t, *_ in _rows())
+    assert all(r.kind == "audio/wav" and r.corrected and not len(r.payload) % 64 for r in got)
+    assert len({(r.payload, r.media_sha256, r.feature) for r in got}) == len({r.payload for r in got})
+
+
+def test_media_sniffing():
+    import gzip
+    import struct
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IEND", b"")
+    gif = b"GIF89a" + bytes([1, 0, 1, 0, 0, 0, 0]) + b"\x2c" + bytes(9) + b"\x02\x02\x4c\x01\x00\x3b"
+    bmp = b"BM" + struct.pack("<IIII", 58, 0, 54, 40) + struct.pack("<iiHH", 1, 1, 1, 24) + bytes(24) + bytes(4)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x03\x01abc\xff\xd9"
+    parts = [png, gif, bmp, jpeg, gzip.compress(b"hello" * 50), media.store(b"abc"), b"%PDF-1.4\nx\nstartxref\n0\n%%EOF"]
+    data, where = b"", []
+    for p in parts:
+        data += b" BM RIFF %PD "
+        where.append((len(data), len(p)))
+        data += p
+    assert [(m.offset, m.length) for m in media.sniff(data)] == where
+    assert media.carve(data, media.sniff(data)) == parts
+    broken = png[:20] + b"\x01" + png[21:]
+    assert media.sniff(broken) == [] and media.detect(broken, "image/png")[0] == "image/png" and media.detect(png, "text/plain")[0] == "image/png"
+    assert media.detect(None, None) == (None, [])
+    assert media.samples(media.store(b"abc")) == b"abc" and media.detect(media.store(gif), "x")[1] == [("image/gif", 44, len(gif))]
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(3)
+    v = [(int(i), [float(x) for x in rng.integers(-3, 4, 20) / 256 * 2]) for i in range(300)]
+    v += [(301, None), (302, [1.0, None]), (303, [float("nan")] * 20), (304, []), (None, [1.0] * 20), (305, [1.0] * 5), (7, v[7][1]), (400, v[3][1])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1)).repartition(4)
+    good = [(i, np.floor(256 * np.pad(np.array(x, dtype=np.float64), (0, 20 - len(x)))).astype(int)) for i, x in v if i is not None and x and None not in x and np.isfinite(x).all()]
+    want = set()
+    for i, q in good:
+        if i % 50 == 0:
+            best = sorted((-int(q @ c), j) for j, c in good if j != i)[:5]
+            want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    assert {tuple(r) for r in topk.top_k(df).collect()} == want
+    assert topk.top_k(df.where("false")).count() == 0
+
+
+def test_top_k_with_large_numbers():
+    q, c = np.array([[2**40], [1]]), np.array([[2**21, 2**21 + 1, 3], [5, 1, 2]])
+    pack = lambda ids, m: (np.array(ids).tobytes(), m.shape[0], m.astype(np.int64).tobytes())
+    assert [*topk.search_block(pack([0], q), pack([1, 2, 3], c), 2)] == [(0, 2, 2**61 + 2**40 + 1), (0, 1, 2**61 + 5)]
+
+
+def test_packing(docs, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path(packing.TOKENIZER)
+    tokenizer = Tokenizer.from_file(file)
+    want = Counter(np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], dtype="<u4").tobytes() for _, t, *_ in _rows())
+    got = packing.pack_documents(docs, file).collect()
+    assert packing.pack_documents(empty, file).count() == 0
+    filled = Counter()
+    for seq in {r.sequence_id for r in got}:
+        at = 0
+        for r in sorted((r for r in got if r.sequence_id == seq), key=lambda r: r.offset):
+            assert r.offset == at and len(r.ids) == 4 * r.length
+            at += r.length
+        assert at <= 2048
+        filled[at] += 1
+    assert sum(filled.values()) <= sum(n * c for n, c in filled.items()) / 2048 + 2
+    by_doc = {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+    for d, pieces in by_doc.items():
+        texts = [t for i, t, *_ in _rows() if i == d]
+        assert sum(r.length for r in pieces) == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts)
+        if len(texts) == 1:
+            assert b"".join(r.ids for r in sorted(pieces, key=lambda r: r.start)) in want
+
+
+def test_packing_words_are_the_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path(packing.TOKENIZER)
+    words, tokenizer, rng = packing.WordIds(file), Tokenizer.from_file(file), random.Random(1)
+    alphabet = "ab'sTtreΣσ \t\n\x0b\x0c\r\x1c\x85\xa0 　é中12!?<|endoftext|>'llİ"
+    for _ in range(1500):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) + rng.choice(["", "<|endoftext|>", " <|startoftext|>x"])
+        assert words.ids(text.encode()) == np.array(tokenizer.encode(text, add_special_tokens=False).ids + [1], dtype="<u4").tobytes(), text
+
+
+def test_packing_windows_are_bounded():
+    windows, rng, emitted = packing.Windows(0), random.Random(2), []
+    for i in range(3000):
+        size = rng.randint(1, 2048)
+        emitted += windows.place((i, 0, size, b"", size), size)
+        assert len(windows.open) <= packing.OPEN
+    fill = Counter()
+    for r in emitted:
+        fill[r[5]] += r[2]
+    assert max(fill.values()) <= 2048 and sum(fill.values()) / len(fill) > 0.97 * 2048
+
+
+def _brute_removal(texts, n):
+    strings = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
+    out = []
+    for t in texts:
+        mask = np.zeros(len(t) + 1, dtype=bool)
+        for i in range(len(t) - n + 1):
+            if strings[t[i : i + n]] > 1:
+                mask[i : i + n] = True
+        runs = int((mask[1:] & ~mask[:-1]).sum() + (len(t) and mask[0]))
+        out.append((hashlib.sha256(np.frombuffer(t, np.uint8)[~mask[:-1]].tobytes()).hexdigest(), int(mask.sum()), runs))
+    return out
+
+
+def _removed(df):
+    found = rindex.remove_repeats(df).select("doc_id", "n_bytes", F.octet_length("kept").alias("kept"), F.size("spans").alias("runs"), F.sha2("kept", 256).alias("sha"))
+    return Counter((r.doc_id, r.sha, r.n_bytes - r.kept, r.runs) for r in found.collect())
+
+
+def test_repeats(docs, empty):
+    texts = [(t or "").encode() for _, t, *_ in _rows()]
+    want = Counter((d, *x) for (d, *_), x in zip(_rows(), _brute_removal(texts, 400)))
+    assert _removed(docs) == want and rindex.remove_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [3, 2048])
+def test_repeats_of_shared_passages(spark, monkeypatch, crowd):
+    """Passages at different places, shifted copies, periodic text, and files too crowded for one batch."""
+    monkeypatch.setattr(rindex, "CROWD", crowd)
+    rng = random.Random(crowd)
+    text = lambda n: bytes(rng.choice(b"abcdefghij \n") for _ in range(n)).decode()
+    long, short = text(900), text(390)
+    texts = [text(rng.randint(0, 500)) + rng.choice([long[rng.randint(0, 400) :], short, long[: rng.randint(200, 900)]]) + text(rng.randint(0, 500)) for _ in range(40)]
+    texts += ["abc" * 300, "ab" * 250 + "x", long, long + long, text(399), text(3000)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)
+    assert _removed(df) == Counter((i, *x) for i, x in enumerate(_brute_removal([t.encode() for t in texts], 400)))
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    monkeypatch.setattr(rindex, "CHUNK", 2000)
+    data = bytes(random.Random(4).choice(b"abcdef") for _ in range(9000))
+    ((_, at, grams),) = rindex.anchors([data])
+    every = rindex.gram_hashes(np.frombuffer(data, dtype=np.uint8))
+    assert (every[at] == grams).all() and len(set(at.tolist())) == len(at)
+    low = every >> np.uint64(32)
+    chosen = set(at.tolist())
+    for i in range(len(data) - 399):
+        own = low[i : i + 301]
+        assert i + int(own.argmin()) in chosen
+
+
+@pytest.mark.parametrize("n,alphabet", [(6, b"ab"), (10, b"abc"), (20, b"a")])
+def test_run_length_index(monkeypatch, n, alphabet):
+    monkeypatch.setattr(rindex, "MATCH", n)
+    rng = random.Random(n)
+    for _ in range(150):
+        pieces = [(i, 0, bytes(rng.choice(alphabet) for _ in range(rng.randint(n, 60)))) for i in range(rng.randint(1, 6))]
+        masks = [np.zeros(len(d), dtype=bool) for _, _, d in pieces]
+        for k, s, e in rindex.repeats(pieces):
+            masks[k][s:e] = True
+        assert [int(m.sum()) for m in masks] == [x[1] for x in _brute_removal([d for *_, d in pieces], n)]
+
+
+def _labelled(spark, n=700):
+    rng = random.Random(5)
+    words = [f"w{i}" if i else "plain" for i in range(300)]
+    rows, labels = [], []
+    for i in range(n):
+        bad, toxic = i % 3 == 0, i % 3 == 1 and i % 2 == 0
+        own = [rng.choice(["lalala", "lobster", "stone", "river", "cloud", "paper"]) for _ in range(rng.randint(20, 80))]
+        if toxic:
+            own[5:8] = rng.sample(["rotter", "rottest", "vilexx", "vileyy"], 3)
+        text = " ".join(w + "!!$$" if bad else w for w in own)
+        rows.append((i, text))
+        labels.append((i, int(not bad), int(toxic)))
+    del words
+    extra = [(n, ""), (n + 1, None), (None, "stone river"), (0, rows[0][1])]
+    return spark.createDataFrame(rows + extra, "doc_id long, text string"), spark.createDataFrame([*labels, (n + 5, 1, 1), (None, 1, 1), (3, None, None), (4, 7, 9)], "doc_id long, quality int, toxic int")
+
+
+def _held(i):
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
+def test_quality(spark):
+    docs, labels = _labelled(spark)
+    truth = {r.doc_id: r.quality for r in labels.where("quality in (0, 1)").collect() if r.doc_id is not None}
+    got = quality.score_documents(docs, labels).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert all(r.held_out == (r.doc_id is None or _held(r.doc_id)) for r in got)
+    right = [r.predicted == truth[r.doc_id] for r in got if r.held_out and r.doc_id in truth]
+    assert sum(right) / len(right) > 0.95
+    flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert {(r.doc_id, r.score) for r in quality.score_documents(docs, flipped).collect()} == {(r.doc_id, r.score) for r in got}
+    assert quality.score_documents(docs.where("false"), labels).count() == 0
+    assert {r.score for r in quality.score_documents(docs, labels.where("false")).collect()} == {0.5}
+
+
+def test_isotonic():
+    at, level = quality.isotonic(np.arange(6.0), np.array([0, 0.4, 0.2, 0.9, 0.8, 1.0]), np.ones(6))
+    assert (np.diff(level) > 0).all() and level.tolist() == pytest.approx([0, 0.3, 0.85, 1.0]) and at.tolist() == pytest.approx([0, 1.5, 3.5, 5])
+
+
+def test_toxicity(spark):
+    docs, labels = _labelled(spark)
+    truth = {r.doc_id: r.toxic for r in labels.where("toxic in (0, 1)").collect() if r.doc_id is not None}
+    chain = toxicity.fit_toxicity(docs, labels)
+    got = chain.score(docs).collect()
+    assert len(got) == docs.count()
+    held = [(r.p_toxic >= toxicity.THRESHOLD, truth[r.doc_id]) for r in got if r.doc_id in truth and _held(r.doc_id)]
+    assert sum(p == bool(y) for p, y in held) / len(held) > 0.97
+    kept = chain.reject(docs.withColumn("p_toxic", F.lit(2)), "toxic")
+    assert kept.columns == ["doc_id", "text", "p_toxic"] and kept.count() == sum(r.p_toxic < toxicity.THRESHOLD for r in got)
+    assert chain.score(docs.where("false")).count() == 0
+    assert all(r.p_toxic < 1e-9 for r in toxicity.fit_toxicity(docs, labels.where("false")).score(docs).collect())
+
+
+def test_chain_sees_earlier_categories():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 2))
+    first = (x[:, 0] > 0).astype(float)
+    models = toxicity.fit_chain(x, np.stack([first, first], axis=1), np.arange(400) % 5)
+    assert len(models[1]) == len(models[0]) + 1 and models[1][2] > 0
+    p = toxicity.run_chain(models, x)
+    assert ((p[:, 1] > 0.5) == (first > 0)).mean() > 0.97
+
+
+def test_schema_types_follow_the_id(spark):
+    named = spark.createDataFrame([("a", "one two three"), (None, None)], "doc_id string, text string")
+    assert isinstance(pii.pii_spans(named).schema["doc_id"].dataType, T.StringType)
+    assert {r.component_id for r in simhash.near_duplicates(named).collect()} == {"a", None}
