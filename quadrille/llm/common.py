@@ -65,7 +65,7 @@ def table(df: DataFrame, label: str) -> DataFrame:
     application ends, or with release()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     fs, place = _fs(spark, path)
     fs.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)

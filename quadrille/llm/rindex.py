@@ -20,10 +20,10 @@ from pyspark.sql import types as T
 from .common import documents, release, row_keys, table
 
 #: Bytes of a match, and of an anchor's gram. AROUND more on both sides hold every match with the gram.
-MATCH, GRAM = 400, 100
+MATCH, GRAM = 400, 32
 AROUND = MATCH - GRAM
 #: Surroundings that one gram may bring into a batch; bytes of a batch; bytes that are hashed at once.
-CROWD, BATCH, CHUNK = 2048, 1 << 21, 1 << 18
+CROWD, BATCH, CHUNK = 8192, 1 << 21, 1 << 18
 
 _RANDOM = np.random.default_rng(20).integers(0, 1 << 63, size=270, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE, _ODD = _RANDOM[:256], _RANDOM[256:]
@@ -112,6 +112,7 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield from flush()
 
 
+MARK, PIECE = "k1 long, k2 long, lo int, hi int", "file long, k1 long, k2 long, lo int, at int, data binary"
 OCCURRENCE = "k1 long, k2 long, gram long, around long, place int, lo int, hi int"
 
 
@@ -146,15 +147,17 @@ def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Places of text in the order of their suffixes. Symbol 0 ends a segment; no two ends are alike, the earlier
     is less. left: symbols up to the segment's end. Prefix doubling from 7 symbols; only open groups are sorted again."""
     n = len(text)
-    padded = np.concatenate([text.astype(np.int64), np.zeros(8, dtype=np.int64)])
+    padded = np.concatenate([text, np.zeros(8, dtype=text.dtype)])
     key = np.zeros(n, dtype=np.int64)
     for j in range(7):
-        key = (key << 9) | np.where(left >= j, padded[j : n + j], 0)
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        key <<= 9
+        key |= np.where(left >= j, padded[j : n + j], 0)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    del key
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), 0))
     depth, longest = 7, int(left.max(initial=0))
     while depth <= longest:
         shared = np.concatenate([first[1:], [True]])
@@ -163,13 +166,13 @@ def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
         if not len(slots):
             break
         at = order[slots]
-        pair = (rank[at] << 32) | (rank[np.minimum(at + depth, n - 1)] + 1)
+        pair = (rank[at].astype(np.int64) << 32) | rank[np.minimum(at + depth, n - 1)]
         again = np.argsort(pair, kind="stable")
         at, pair = at[again], pair[again]
         order[slots] = at
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
         first[slots] = new
-        rank[at] = np.maximum.accumulate(np.where(new, slots, 0))
+        rank[at] = np.maximum.accumulate(np.where(new, slots, 0)).astype(np.int32)
         depth *= 2
     return order
 
@@ -201,15 +204,15 @@ def matching_statistics(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     before = text[order - 1]
     starts = np.concatenate([[True], (before[1:] != before[:-1]) | (before[1:] == 0)])
     ends = np.concatenate([starts[1:], [True]])
-    out = np.zeros(n, dtype=np.int64)
+    out = np.zeros(n, dtype=np.int32)
     for sampled, to in ((np.flatnonzero(starts), -1), (np.flatnonzero(ends), 1)):
         inside = (sampled + to >= 0) & (sampled + to < n)
         at = order[sampled]
         value = np.zeros(len(at), dtype=np.int64)
         value[inside] = _common(text, at[inside], order[sampled[inside] + to])
-        reach = np.zeros(n, dtype=np.int64)
+        reach = np.zeros(n, dtype=np.int32)
         reach[at] = value + at
-        out = np.maximum(out, np.maximum.accumulate(reach) - np.arange(n))
+        out = np.maximum(out, np.maximum.accumulate(reach) - np.arange(n, dtype=np.int32))
     return out
 
 
@@ -225,7 +228,7 @@ def repeats(pieces: list[tuple[object, int, bytes]]) -> list[tuple[object, int,
             segments.append([key, lo, bytearray(data)])
     sizes = np.array([len(s[2]) for s in segments], dtype=np.int64)
     text = np.zeros(int(sizes.sum()) + len(segments), dtype=np.uint16)
-    left = np.empty(len(text), dtype=np.int64)
+    left = np.empty(len(text), dtype=np.int32)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     for (_, _, data), at in zip(segments, begin):
         text[at : at + len(data)] = np.frombuffer(bytes(data), dtype=np.uint8)
@@ -288,41 +291,32 @@ def _cut_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["file", "k1", "k2", "lo", "at", "data"])
 
 
-def _files(pieces: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(pieces by file, with no crowded file; marks found on the way).
+def _split(pieces: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(pieces by file, with no crowded file; marks found on the way) of the pieces of crowded files.
 
-    A file brings pieces with one gram together, and a crowded one is split by what stands next to the gram. Two
-    pieces that match with the gram at one place of MATCH bytes share, of the bytes still open, at least half on its
-    left or half on its right. So each piece goes to the file of its left half and to that of its right half, and so
-    on, until a file's strings are MATCH bytes long: then two pieces in it are a match. No match is lost, and files that share a
-    gram by chance part at once.
+    A crowded file is split by what stands next to the gram. Two pieces that match with the gram at one place of MATCH
+    bytes share, of the bytes still open, at least half on its left or half on its right. So each piece goes to the file of
+    its left half and to that of its right half, and so on, until a file's strings are MATCH bytes long: then two places in
+    it are a match. No match is lost, and pieces that share a gram by chance part at once.
     """
     whole: list[DataFrame] = []
     marks: list[DataFrame] = []
     level = pieces.withColumn("l", F.lit(0)).withColumn("r", F.lit(0))
-    while True:
-        counts = level.groupBy("file").count()
-        crowded = table(counts.where(F.col("count") > CROWD).select("file"), "crowded")
-        fit = counts.where(F.col("count").between(2, CROWD)).select("file")
-        whole.append(level.join(fit, "file", "left_semi").drop("l", "r"))
-        if not crowded.limit(1).count():
-            break
+    while level.limit(1).count():
         half = F.ceil((F.lit(AROUND) - F.col("l") - F.col("r")) / 2).cast("int")
-        hot = level.join(crowded, "file", "left_semi").withColumn("half", half)
         sides = F.array(F.struct((F.col("l") + F.col("half")).alias("l"), F.col("r").alias("r")), F.struct(F.col("l").alias("l"), (F.col("r") + F.col("half")).alias("r")))
-        hot = hot.withColumn("side", F.explode(sides)).where((F.col("at") >= F.col("side.l")) & (F.col("at") + GRAM + F.col("side.r") <= F.octet_length("data")))
+        hot = level.withColumn("half", half).withColumn("side", F.explode(sides)).where((F.col("at") >= F.col("side.l")) & (F.col("at") + GRAM + F.col("side.r") <= F.octet_length("data")))
         shared = F.substring("data", F.col("at") - F.col("side.l") + 1, F.col("side.l") + F.col("side.r") + GRAM)
         hot = hot.select(F.xxhash64("file", "side.l", "side.r", shared).alias("file"), "k1", "k2", "lo", "at", "data", F.col("side.l").alias("l"), F.col("side.r").alias("r"))
         hot = table(hot, "split")
-        ready = F.col("l") + F.col("r") >= AROUND
-        twice = hot.where(ready).groupBy("file").count().where("count > 1").select("file")
+        ready, place = F.col("l") + F.col("r") >= AROUND, F.struct("k1", "k2", (F.col("lo") + F.col("at")).alias("place"))
+        twice = hot.where(ready).groupBy("file").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select("file")
         start = F.col("lo") + F.col("at") - F.col("l")
         marks.append(hot.where(ready).join(twice, "file", "left_semi").select("k1", "k2", start.alias("lo"), (start + MATCH).alias("hi")))
-        level = hot.where(~ready)
-    out = whole[0]
-    for x in whole[1:]:
-        out = out.unionByName(x)
-    return out, marks
+        counts = hot.where(~ready).groupBy("file").count()
+        whole.append(hot.join(counts.where(F.col("count").between(2, CROWD)), "file", "left_semi").select(*pieces.columns))
+        level = hot.join(table(counts.where(F.col("count") > CROWD), "crowded"), "file", "left_semi")
+    return whole, marks
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -336,15 +330,22 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     classes = table(some.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place", "lo", "hi")).alias("one")), "classes")
     sure = some.join(classes.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").select("k1", "k2", "lo", "hi")
     # Of grams with a class of one and another class, one member of each class goes to the index.
-    still = classes.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("n")).where("m > 1 AND n = 1").select("gram")
-    wanted = classes.join(still, "gram", "left_semi").select("gram", "one.*")
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "place", "lo", "hi")).alias("wanted"))
-    # Rows that agree in everything share a key; one of them is enough.
-    pieces = docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_cut, "file long, k1 long, k2 long, lo int, at int, data binary").dropDuplicates(["file", "k1", "k2", "lo", "at"])
-    files, marks = _files(table(pieces, "pieces"))
-    found = files.select("file", "k1", "k2", "lo", "data").repartition("file").sortWithinPartitions("file").mapInArrow(_index, "k1 long, k2 long, lo int, hi int")
-    out = sure.unionByName(found)
-    for x in marks:
+    still = table(classes.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("n")).where("m > 1 AND n = 1").select("gram", "m"), "open")
+
+    def pieces(grams: DataFrame) -> DataFrame:
+        """Of rows that agree in everything, which share a key, each brings its pieces; they become one segment."""
+        wanted = classes.join(grams.select("gram"), "gram", "left_semi").select("gram", "one.*")
+        wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "place", "lo", "hi")).alias("wanted"))
+        return docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_cut, PIECE)
+
+    parts, marks = [pieces(still.where(F.col("m") <= CROWD))], []
+    crowded = still.where(F.col("m") > CROWD)
+    if crowded.limit(1).count():
+        more, marks = _split(table(pieces(crowded), "pieces"))
+        parts += more
+    found = [p.select("file", "k1", "k2", "lo", "data").repartition("file").sortWithinPartitions("file").mapInArrow(_index, MARK) for p in parts]
+    out = sure
+    for x in [*found, *marks]:
         out = out.unionByName(x)
     return out
 

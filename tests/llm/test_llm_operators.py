@@ -363,7 +363,7 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
     low = every >> np.uint64(32)
     chosen = set(at.tolist())
     for i in range(len(data) - 399):
-        own = low[i : i + 301]
+        own = low[i : i + rindex.AROUND + 1]
         assert i + int(own.argmin()) in chosen
 
 
