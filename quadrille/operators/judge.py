@@ -39,7 +39,7 @@ def with_key(quads: DataFrame) -> DataFrame:
 
 def pending(quads: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """One row per key of quads (a, b, c, d, key) that the cache doesn't know."""
-    once = quads.groupBy("key").agg(*[F.min(c).alias(c) for c in "abcd"])
+    once = quads.groupBy("key").agg(F.min(F.struct(*"abcd")).alias("one")).select("key", "one.*")
     return once if cache is None else once.join(cache.select("key"), "key", "left_anti")
 
 
