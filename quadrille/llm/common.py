@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-
-
 #: Bytes of a text that are cut into words at once.
 PART = 1 << 20
 
@@ -37,22 +37,6 @@ def row_keys(*columns: str) -> list[Column]:
     return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit("row"), *reversed(columns)).alias("k2")]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Where the setting is unset (tests on one machine) a temporary folder is set; on a cluster that
-    is an error, since executors would each write to their own disk.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named:
-        return named
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="quadrille-"))
-    return sc.getCheckpointDir()
-
-
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
@@ -79,6 +63,13 @@ def release(df: DataFrame) -> None:
     fs.delete(place, True)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files that nothing refers to any more. It does so when the driver collects its
+    garbage, which with much shuffled and little held may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the (u, v) edges can reach.
 

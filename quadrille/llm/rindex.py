@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, release, row_keys, table
+from .common import documents, reclaim, release, row_keys, table
 
 #: Bytes of a match, and of an anchor's gram. AROUND more on both sides hold every match with the gram.
 MATCH, GRAM = 400, 32
@@ -326,6 +326,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     again = every.groupBy("gram").count().where("count > 1").select("gram")
     some = table(every.join(again, "gram", "left_semi"), "repeated")
     release(every)
+    reclaim(docs.sparkSession)
     # Anchors with equal surroundings are a class. In a class of two or more all strings with the gram repeat.
     classes = table(some.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place", "lo", "hi")).alias("one")), "classes")
     sure = some.join(classes.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").select("k1", "k2", "lo", "hi")
@@ -378,7 +379,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     character, which is why kept is binary. Rows are told apart by two 64-bit hashes of id and text.
     """
     rows = docs.select("doc_id", "text", *row_keys("doc_id", "text"))
-    marks = find_repeats(rows.select("k1", "k2", "text")).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
+    marks = table(find_repeats(rows.select("k1", "k2", "text")), "marks")
+    reclaim(docs.sparkSession)
+    marks = marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_bytes long, kept binary, spans array<struct<lo:int,hi:int>>").fields])
     return rows.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "marks").mapInArrow(_remove, schema)
 
