@@ -17,17 +17,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 PART = 1 << 20
 
 
-def word_parts(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a UTF-8 text, in lists whose size doesn't grow with the text."""
+def text_parts(text: bytes) -> Iterator[bytes]:
+    """A UTF-8 text in parts that end at white space, of PART bytes and the rest of a word."""
     start = 0
     while start < len(text):
         end = start + PART
         while end < len(text) and text[end] not in b" \t\n\v\f\r":
             end += 1
-        yield text[start:end].split()
+        yield text[start:end]
         start = end
 
 
+def word_parts(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text, in lists whose size doesn't grow with the text."""
+    return (part.split() for part in text_parts(text))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import struct
 from bisect import bisect_right, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, table, word_parts
+from .common import documents, table, text_parts
 
 WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: Open windows of a partition; partitions whose leftovers are merged together.
@@ -22,41 +22,22 @@ OPEN, MERGED = 64, 64
 #: A leftover window with at most this many free places stays as it is.
 SLACK = 32
 #: Bounds of a worker's memory: words whose ids are kept, the longest of them, bytes of ids to a batch.
-KEPT, LONGEST, BATCH = 1 << 17, 48, 1 << 22
+KEPT, LONGEST, BATCH = 1 << 19, 48, 1 << 22
 
 
-class Recent(dict):
-    """Values by key, made when first asked for. Keeps what was asked for of late: KEPT keys and the KEPT before."""
+class WordIds(dict):
+    """Token ids of a text from those of its white-space separated words, which are kept by word.
 
-    def __init__(self, make: Callable) -> None:
-        super().__init__()
-        self.make, self.before = make, {}
-
-    def __missing__(self, key):
-        value = self.before.pop(key, None)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= LONGEST:
-            if len(self) >= KEPT:
-                self.before = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
-class WordIds:
-    """Token ids of a text from those of its white-space separated words.
-
-    The tokenizer folds white space and never lets a token cross it, so a text's ids are its words' ids in turn. Words
-    repeat, so most are looked up. A new word of Latin letters, digits and signs is cut by the tokenizer's own pattern into
-    units, which repeat more often still and are encoded by its model; any other word is encoded whole.
+    The tokenizer folds white space and never lets a token cross it, so a text's ids are its words' ids in turn, and a stop or
+    comma after a letter may as well stand alone. Words repeat, so most are looked up. A new word of Latin letters, digits and
+    signs is cut by the tokenizer's own pattern into units for its model; any other word is encoded whole.
     """
 
     def __init__(self, file: str) -> None:
         import regex
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(file)
         self.model = self.tokenizer.model
         with open(file) as f:
@@ -64,28 +45,46 @@ class WordIds:
         self.cut = regex.compile(first["pattern"]["Regex"]).findall
         #: Printable characters below U+0250: lower case and composition don't depend on what is near them.
         self.plain = regex.compile(r"[\x21-\x7E\u00A1-\u024F]+").fullmatch
-        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.units, self.words = Recent(self._unit), Recent(self._word)
+        #: A stop or comma at a word's end that isn't after a letter from A to y with diaeresis, or a digit.
+        self.odd = regex.compile(rb"(?<![A-Za-z0-9])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,][ \n]").search
 
-    def _unit(self, unit: str) -> bytes:
-        if not unit.isascii():
-            unit = self.bytes.pre_tokenize_str(unit)[0][0]
-        return pack_ids([t.id for t in self.model.tokenize(unit)])
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self._encode(word)
+        if len(word) <= LONGEST:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = ids
+        return ids
 
-    def _word(self, word: bytes) -> bytes:
+    def _encode(self, word: bytes) -> bytes:
         text = word.decode()
         if (text.isascii() and text.isprintable() or self.plain(text)) and "<|" not in text:
             text = text.lower()
-            if text.isalpha():
-                return self.units[text]
-            if text[:-1].isalpha() and not text[-1].isalnum():
-                return self.units[text[:-1]] + self.units[text[-1]]
-            return b"".join(map(self.units.__getitem__, self.cut(text)))
+            units = [text] if text.isalpha() else self.cut(text)
+            if len(units) > 1:
+                return b"".join([self[u.encode()] for u in units])
+            return pack_ids([t.id for u in units for t in self.model.tokenize(u if u.isascii() else u.encode().decode("latin-1").translate(_BYTES))])
         return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids, END_ID last."""
-        return b"".join([*(b"".join(map(self.words.__getitem__, words)) for words in word_parts(text)), pack_ids([END_ID])])
+        out = []
+        for part in text_parts(text):
+            if not self.odd(part):
+                for sign in (b".", b","):
+                    part = part.replace(sign + b" ", b" " + sign + b" ").replace(sign + b"\n", b" " + sign + b"\n")
+            out.append(b"".join(map(self.__getitem__, part.split())))
+        return b"".join([*out, pack_ids([END_ID])])
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as its Latin-1 character if that is visible, the others as the characters
+    from U+0100 on."""
+    hidden = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD)]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTES = _byte_letters()
 
 
 def pack_ids(ids: list[int]) -> bytes:
