@@ -62,7 +62,7 @@ def _sliding(x: np.ndarray, n: int, op: np.ufunc, fill) -> np.ndarray:
 
 def _select(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of anchors in texts laid end to end: grams that have the least hash of some MATCH bytes,
-    all of them on a tie. Grams across an end never are. MATCH bytes across an end may add an anchor; that does no harm."""
+    all of them on a tie. Neither grams nor MATCH bytes may reach across an end."""
     grams = gram_hashes(data)
     low = (grams >> np.uint64(32)).astype(np.uint32)
     for e in ends[:-1]:
@@ -72,6 +72,8 @@ def _select(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     least = np.zeros(len(low) + n - 1, dtype=np.uint32)
     least[n - 1 : len(low)] = _sliding(low, n, np.minimum, _NONE)
+    for e in ends[:-1]:
+        least[n - 1 + max(0, e - MATCH + 1) : n - 1 + e] = 0
     at = np.flatnonzero((low == _sliding(least, n, np.maximum, 0)) & (low != _NONE))
     return at, grams[at]
 
