@@ -6,6 +6,7 @@ import gc
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +34,24 @@ def word_parts(text: bytes) -> Iterator[list[bytes]]:
     return (part.split() for part in text_parts(text))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The rows in small batches: what Python makes of a batch is many times as large as the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
-def row_keys(*columns: str) -> list[Column]:
-    """k1 and k2: 128 bits that tell rows apart by these columns; equal rows have equal keys."""
-    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit("row"), *reversed(columns)).alias("k2")]
+def row_keys(*columns: str, names: tuple[str, str] = ("k1", "k2")) -> list[Column]:
+    """128 bits under two names that tell rows apart by these columns; equal rows have equal keys."""
+    return [F.xxhash64(*columns).alias(names[0]), F.xxhash64(F.lit("row"), *reversed(columns)).alias(names[1])]
+
+
+#: Names for keys beside columns that a caller chose.
+OWN = ("_k1", "_k2")
 
 
 def _fs(spark: SparkSession, path: str):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, slices
 
 ALIGN, RATE, DECLARED = 64, 8000, "application/octet-stream"
 
@@ -213,7 +213,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
     ALIGN, stored as a WAVE file under a type that says nothing. A null text counts as empty. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x.as_py() or b"" for x in batch.column(1).cast(pa.binary())]
             media = [store(x + bytes((-len(x)) % ALIGN if x else ALIGN)) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary()), pa.array([DECLARED] * len(texts))], ["doc_id", "n_bytes", "media", "declared"])
@@ -233,7 +233,7 @@ def read_media(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry = pa.struct([("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for x, said in zip(batch.column(2), batch.column(3)):
                 data = x.as_py() or b""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, documents, release, row_keys, table
+from .common import OWN, WORD, documents, release, row_keys, table
 
 #: Weights of the sources in code-point order, repeating; share of all words; most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -141,11 +141,12 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 def take_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; all columns stay."""
-    keyed = docs.select("*", *row_keys("doc_id", "text", "source"))
-    many = _mixed(keyed.select("doc_id", "source", "text", "k1", "k2")).groupBy("k1", "k2").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    nth = F.row_number().over(W.partitionBy("k1", "k2").orderBy("k1"))
-    once = keyed.join(many, ["k1", "k2"]).withColumn("nth", nth).where("nth = 1")
-    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    keyed = docs.select("*", *row_keys("doc_id", "text", "source", names=OWN))
+    mixed = _mixed(keyed.select("doc_id", "source", "text", F.col("_k1").alias("k1"), F.col("_k2").alias("k2")))
+    many = mixed.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    nth = F.row_number().over(W.partitionBy(*OWN).orderBy("_k1"))
+    once = keyed.join(many, [*OWN]).withColumn("_nth", nth).where("_nth = 1")
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

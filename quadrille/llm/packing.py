@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, table, text_parts
+from .common import documents, slices, table, text_parts
 
 WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: Open windows of a partition; partitions whose leftovers are merged together.
@@ -22,7 +22,7 @@ OPEN, MERGED = 64, 64
 #: A leftover window with at most this many free places stays as it is.
 SLACK = 32
 #: Bounds of a worker's memory: words whose ids are kept, the longest of them, bytes of ids to a batch.
-KEPT, LONGEST, BATCH = 1 << 19, 48, 1 << 22
+KEPT, LONGEST, BATCH = 1 << 18, 48, 1 << 22
 
 
 class WordIds(dict):
@@ -140,7 +140,7 @@ def _pack(file: str, kind: pa.DataType):
         windows = Windows(part << 32)
         rows: list[tuple] = []
         held = 0
-        for b in batches:
+        for b in slices(batches):
             for doc, text in zip(b.column(0), b.column(1).cast(pa.binary())):
                 ids = words.ids(text.as_py() or b"")
                 n = len(ids) // 4

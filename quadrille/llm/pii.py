@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, slices
 
 #: In the order in which spans are listed. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban")
@@ -123,7 +123,7 @@ def _find(with_text: bool):
     entry = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans, texts = [], []
             for x in batch.column("text"):
                 text = x.as_py()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, table, word_parts
+from .common import documents, slices, table, word_parts
 
 FOLDS, THRESHOLD = 5, 0.3
 #: Labelled rows that the model is fitted on, about, and the partitions that sum them.
@@ -66,7 +66,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and x, the statistics of every row of docs (doc_id, text); a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [statistics(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
             flat = pa.array(np.concatenate(rows).astype(np.float32) if rows else np.zeros(0, np.float32))
             offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(NAMES))
@@ -106,7 +106,7 @@ class Model(NamedTuple):
 
 
 def _matrix(column) -> np.ndarray:
-    return np.asarray(column.values, dtype=np.float64).reshape(-1, len(NAMES))
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, len(NAMES))
 
 
 def isotonic(at: np.ndarray, mean: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

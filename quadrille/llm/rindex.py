@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, reclaim, release, row_keys, table
+from .common import documents, reclaim, release, row_keys, slices, table
 
 #: Bytes of a match, and of an anchor's gram. AROUND more on both sides hold every match with the gram.
 MATCH, GRAM = 400, 32
@@ -122,7 +122,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each anchor: its text's key, its gram, a hash of what is around it, and where that is."""
     names = [c.split()[0] for c in OCCURRENCE.split(", ")]
     digest = xxhash.xxh3_64_intdigest
-    for batch in batches:
+    for batch in slices(batches):
         texts = [t.as_py() or b"" for t in batch.column(2).cast(pa.binary())]
         k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
         rows, held = [], 0
@@ -272,7 +272,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (file, k1, k2, lo, place, data) for the wanted stretches of each text."""
-    for batch in batches:
+    for batch in slices(batches):
         rows: list[tuple] = []
         size = 0
         texts = batch.column(2).cast(pa.binary())
@@ -354,7 +354,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         kept, spans = [], []
         for text, marks in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
             data, last, parts, runs = text.as_py() or b"", 0, [], []

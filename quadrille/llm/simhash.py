@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import components, documents, row_keys, table, word_parts
+from .common import OWN, components, documents, row_keys, slices, table, word_parts
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Four blocks of 16 bits: fingerprints within two bits agree on two blocks at least.
@@ -50,7 +50,7 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         kept = {n: batch.column(n) for n in batch.schema.names if n != "text"}
         texts = batch.column("text").cast(pa.binary())
         yield pa.RecordBatch.from_pydict(kept | {"fp": pa.array([fingerprint(x.as_py()) for x in texts], pa.int64())})
@@ -115,9 +115,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     equal rows one. All columns stay."""
     rows = table(fingerprints(docs.select("doc_id", *row_keys("doc_id", "text"), "text")), "fingerprints")
     own = _groups(rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2"))
-    first = own.groupBy("root").agg(F.min("least").alias("one")).select("one.k1", "one.k2")
-    kept = docs.select("*", *row_keys("doc_id", "text")).join(first, ["k1", "k2"], "left_semi")
-    return kept.withColumn("nth", F.row_number().over(W.partitionBy("k1", "k2").orderBy("k1"))).where("nth = 1").select(*docs.columns)
+    first = own.groupBy("root").agg(F.min("least").alias("one")).select(F.col("one.k1").alias("_k1"), F.col("one.k2").alias("_k2"))
+    kept = docs.select("*", *row_keys("doc_id", "text", names=OWN)).join(first, [*OWN], "left_semi")
+    return kept.withColumn("_nth", F.row_number().over(W.partitionBy(*OWN).orderBy("_k1"))).where("_nth = 1").select(*docs.columns)
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

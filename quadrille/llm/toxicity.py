@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, table
+from .common import documents, slices, table
 from .quality import held_out
 
 #: Categories in the order of the chain: a column of the labels, and the value that means yes.
@@ -80,7 +80,7 @@ def choose_units(rows: DataFrame, categories: Sequence[str]) -> Vocabulary:
     units in fewer than SUPPORT documents, or below SURE, are chance."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [[*count_units(t)[0]] for t in _texts(b)]
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in categories], pa.array(found, pa.list_(pa.string()))], [*categories, "units"])
 
@@ -153,7 +153,7 @@ class Chain(NamedTuple):
         names = [f"p_{c}" for c in self.categories]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 p = self.probabilities(_texts(b))
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(p[:, k]) for k in range(len(names))]], ["doc_id", *names])
 
@@ -164,7 +164,7 @@ class Chain(NamedTuple):
         k = self.categories.index(category)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array(self.probabilities(_texts(b))[:, k] < THRESHOLD))
 
         return docs.mapInArrow(run, docs.schema)
@@ -183,7 +183,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, chain: Sequence[tuple[str,
     vocabulary = choose_units(rows, categories)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = pa.array([vocabulary.features(t).astype(np.float32).tobytes() for t in _texts(b)], pa.binary())
             yield pa.RecordBatch.from_arrays([x, *[b.column(b.schema.get_field_index(c)) for c in (*categories, "fold")]], ["x", *categories, "fold"])
 

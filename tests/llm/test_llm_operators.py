@@ -104,6 +104,15 @@ def test_mixing(docs, empty):
     assert sorted(map(key, got), key=str) == sorted(map(key, again), key=str)
 
 
+def test_take_copies(docs, empty):
+    taken = mixing.take_copies(docs)
+    many = Counter()
+    for r in mixing.mix_documents(docs).collect():
+        many[r.doc_id] += r.copies
+    assert taken.columns == docs.columns and mixing.take_copies(empty).count() == 0
+    assert Counter(r.doc_id for r in taken.collect()) == Counter({d: n for d, n in many.items() if n})
+
+
 def test_mixing_is_entropy_balanced(spark):
     """Within a source rates are exp(dual * size), capped, before they are rounded."""
     cells = spark.createDataFrame([("s", 10, 100), ("s", 100, 50), ("s", 1000, 10)], "skey string, size long, n long")
@@ -188,7 +197,7 @@ def test_pii(docs, empty):
     assert got == Counter((d, tuple(_brute_spans(t))) for d, t, *_ in _rows()) and pii.pii_spans(empty).count() == 0
     masked = pii.redact_documents(docs)
     assert masked.columns == docs.columns and pii.redact_documents(empty).count() == 0
-    assert all(not pii.find_spans(r.text) for r in masked.collect()) and masked.where("text is null").count() == docs.where("text is null").count()
+    assert Counter((r.doc_id, r.text) for r in masked.collect()) == Counter((d, t and pii.redact(t, pii.find_spans(t))) for d, t, *_ in _rows())
 
 
 def test_pii_by_chance():
