@@ -298,8 +298,9 @@ def _split(pieces: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
 
     A crowded file is split by what stands next to the gram. Two pieces that match with the gram at one place of MATCH
     bytes share, of the bytes still open, at least half on its left or half on its right. So each piece goes to the file of
-    its left half and to that of its right half, and so on, until a file's strings are MATCH bytes long: then two places in
-    it are a match. No match is lost, and pieces that share a gram by chance part at once.
+    its left half and to that of its right half. What is shared on one side bounds how far a match reaches on the other,
+    so pieces get shorter; those that are now equal are settled, one of them stays for the others. At MATCH bytes all pieces of a
+    file are equal. No match is lost, and pieces that share a gram by chance part at once.
     """
     whole: list[DataFrame] = []
     marks: list[DataFrame] = []
@@ -307,17 +308,19 @@ def _split(pieces: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     while level.limit(1).count():
         half = F.ceil((F.lit(AROUND) - F.col("l") - F.col("r")) / 2).cast("int")
         sides = F.array(F.struct((F.col("l") + F.col("half")).alias("l"), F.col("r").alias("r")), F.struct(F.col("l").alias("l"), (F.col("r") + F.col("half")).alias("r")))
-        hot = level.withColumn("half", half).withColumn("side", F.explode(sides)).where((F.col("at") >= F.col("side.l")) & (F.col("at") + GRAM + F.col("side.r") <= F.octet_length("data")))
+        after = F.octet_length("data") - F.col("at") - GRAM
+        both = level.withColumn("half", half).select("file", "k1", "k2", "lo", "at", "data", F.explode(sides).alias("side")).where((F.col("at") >= F.col("side.l")) & (after >= F.col("side.r")))
+        both = both.withColumn("left", F.least(F.col("at"), F.lit(AROUND) - F.col("side.r"))).withColumn("right", F.least(after, F.lit(AROUND) - F.col("side.l"))).where(F.col("left") + F.col("right") >= AROUND)
         shared = F.substring("data", F.col("at") - F.col("side.l") + 1, F.col("side.l") + F.col("side.r") + GRAM)
-        hot = hot.select(F.xxhash64("file", "side.l", "side.r", shared).alias("file"), "k1", "k2", "lo", "at", "data", F.col("side.l").alias("l"), F.col("side.r").alias("r"))
-        hot = table(hot, "split")
-        ready, place = F.col("l") + F.col("r") >= AROUND, F.struct("k1", "k2", (F.col("lo") + F.col("at")).alias("place"))
-        twice = hot.where(ready).groupBy("file").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select("file")
-        start = F.col("lo") + F.col("at") - F.col("l")
-        marks.append(hot.where(ready).join(twice, "file", "left_semi").select("k1", "k2", start.alias("lo"), (start + MATCH).alias("hi")))
-        counts = hot.where(~ready).groupBy("file").count()
-        whole.append(hot.join(counts.where(F.col("count").between(2, CROWD)), "file", "left_semi").select(*pieces.columns))
-        level = hot.join(table(counts.where(F.col("count") > CROWD), "crowded"), "file", "left_semi")
+        data = F.substring("data", F.col("at") - F.col("left") + 1, F.col("left") + F.col("right") + GRAM)
+        hot = both.select(F.xxhash64("file", "side.l", "side.r", shared).alias("file"), "k1", "k2", (F.col("lo") + F.col("at") - F.col("left")).alias("lo"), F.col("left").alias("at"), data.alias("data"), F.col("side.l").alias("l"), F.col("side.r").alias("r"))
+        hot = table(hot.withColumn("around", F.xxhash64("data", "at")), "split")
+        classes = table(hot.groupBy("file", "around").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo")).alias("one")).select("file", "around", "n", "one.*"), "classes")
+        marks.append(hot.join(classes.where("n > 1").select("file", "around"), ["file", "around"], "left_semi").select("k1", "k2", "lo", (F.col("lo") + F.octet_length("data")).alias("hi")))
+        still = table(classes.groupBy("file").agg(F.count("*").alias("m"), F.min("n").alias("n")).where("m > 1 AND n = 1").select("file", "m"), "open")
+        one = hot.join(classes.drop("n"), ["file", "around", "k1", "k2", "lo"], "left_semi")
+        whole.append(one.join(still.where(F.col("m") <= CROWD), "file", "left_semi").select(*pieces.columns))
+        level = table(one.join(still.where(F.col("m") > CROWD), "file", "left_semi").select(*pieces.columns, "l", "r"), "level")
     return whole, marks
 
 
