@@ -125,10 +125,9 @@ def _gzip(data: memoryview, at: int) -> int:
 
 def _pdf(data: memoryview, at: int) -> int:
     """From the header to the first end mark after a cross-reference."""
-    body = bytes(data[at:])
-    table = body.find(b"startxref")
-    end = body.find(b"%%EOF", table) if table >= 0 else -1
-    return end + 5 if end >= 0 else 0
+    table = data.obj.find(b"startxref", at)
+    end = data.obj.find(b"%%EOF", table) if table >= 0 else -1
+    return end + 5 - at if end >= 0 else 0
 
 
 #: Magic bytes (fixed by the formats) and who confirms them.
@@ -159,10 +158,15 @@ def sniff(data: bytes | None) -> list[Media]:
     """Confirmed media in data by offset: one pass locates all magic bytes, and what a validator refuses
     is text that looks like them. Null or empty data holds none. A RIFF form WEBP is an image."""
     view, out = memoryview(data or b""), []
+    documents_to = 0  # a document's header within a document, or after one that never ends, is no other
     for last, magic in _automaton().iter((data or b"").decode("latin-1")):
         at = last + 1 - len(magic)
         kind, valid = SIGNATURES[magic]
+        if valid is _pdf and at < documents_to:
+            continue
         size = valid(view, at)
+        if valid is _pdf:
+            documents_to = at + size if size else len(view)
         if size:
             out.append(Media("image/webp" if magic == b"RIFF" and bytes(view[at + 8 : at + 12]) == b"WEBP" else kind, at, size))
     return sorted(out, key=lambda m: (m.offset, -m.length))

@@ -250,6 +250,8 @@ def test_media_sniffing():
     broken = png[:20] + b"\x01" + png[21:]
     assert media.sniff(broken) == [] and media.detect(broken, "image/png")[0] == "image/png" and media.detect(png, "text/plain")[0] == "image/png"
     assert media.detect(None, None) == (None, [])
+    for text in (b"%PDF-" * 60_000, b"GIF89a" * 60_000, b"RIFF" * 60_000, b"BM" * 100_000):
+        assert media.sniff(text) == []
     assert media.samples(media.store(b"abc")) == b"abc" and media.detect(media.store(gif), "x")[1] == [("image/gif", 44, len(gif))]
 
 
