@@ -134,8 +134,8 @@ def fit(rows: DataFrame, seed: int = 1) -> Model:
     if not seen.n or seen.y in (0.0, 1.0):
         flat = np.array([0.5 if seen.y is None else seen.y])
         return Model(np.zeros(width), np.ones(width), omega, phase, np.zeros(FEATURES + 1), np.zeros(1), flat)
-    scale = np.array([seen[f"s{i}"] or 0.0 for i in range(width)])
-    model = Model(np.array([seen[f"m{i}"] for i in range(width)]), np.where(scale > 1e-9, scale, 1.0), omega, phase, np.zeros(FEATURES + 1), np.zeros(1), np.zeros(1))
+    scale = np.array([seen[f"s{i}"] or 0.0 for i in range(width)]).round(9)
+    model = Model(np.array([seen[f"m{i}"] for i in range(width)]).round(9), np.where(scale > 1e-9, scale, 1.0), omega, phase, np.zeros(FEATURES + 1), np.zeros(1), np.zeros(1))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = np.zeros((FEATURES + 2, FEATURES + 2))
@@ -171,8 +171,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, column: str = "quality")
     """
     stats = table(document_statistics(docs), "statistics")
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4))
-    rows = stats.join(training_rows(labels, column, TRAIN), "doc_id").select("x", "y", part.alias("part"))
-    rows = table(rows.repartition(SUMMED), "training")
+    rows = stats.join(training_rows(labels, column, TRAIN), "doc_id").select("doc_id", "x", "y", part.alias("part"))
+    # Sums of doubles depend on their order, so that is the same each time.
+    rows = table(rows.repartition(SUMMED, "doc_id").sortWithinPartitions("doc_id"), "training")
     model = fit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -420,7 +420,8 @@ def test_quality(spark):
     right = [r.predicted == truth[r.doc_id] for r in got if r.held_out and r.doc_id in truth]
     assert sum(right) / len(right) > 0.95
     flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
-    assert {(r.doc_id, r.score) for r in quality.score_documents(docs, flipped).collect()} == {(r.doc_id, r.score) for r in got}
+    same = {r.doc_id: r.score for r in got}
+    assert all(abs(same[r.doc_id] - r.score) < 1e-6 for r in quality.score_documents(docs, flipped).collect())
     assert quality.score_documents(docs.where("false"), labels).count() == 0
     assert {r.score for r in quality.score_documents(docs, labels.where("false")).collect()} == {0.5}
 
