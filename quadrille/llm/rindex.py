@@ -314,13 +314,14 @@ def _split(pieces: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
         shared = F.substring("data", F.col("at") - F.col("side.l") + 1, F.col("side.l") + F.col("side.r") + GRAM)
         data = F.substring("data", F.col("at") - F.col("left") + 1, F.col("left") + F.col("right") + GRAM)
         hot = both.select(F.xxhash64("file", "side.l", "side.r", shared).alias("file"), "k1", "k2", (F.col("lo") + F.col("at") - F.col("left")).alias("lo"), F.col("left").alias("at"), data.alias("data"), F.col("side.l").alias("l"), F.col("side.r").alias("r"))
-        hot = table(hot.withColumn("around", F.xxhash64("data", "at")), "split")
+        hot = table(hot.withColumn("around", F.xxhash64("data", "at")).withColumn("hi", F.col("lo") + F.octet_length("data")), "split")
         classes = table(hot.groupBy("file", "around").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo")).alias("one")).select("file", "around", "n", "one.*"), "classes")
-        marks.append(hot.join(classes.where("n > 1").select("file", "around"), ["file", "around"], "left_semi").select("k1", "k2", "lo", (F.col("lo") + F.octet_length("data")).alias("hi")))
+        marks.append(hot.join(classes.where("n > 1").select("file", "around"), ["file", "around"], "left_semi").select("k1", "k2", "lo", "hi"))
         still = table(classes.groupBy("file").agg(F.count("*").alias("m"), F.min("n").alias("n")).where("m > 1 AND n = 1").select("file", "m"), "open")
-        one = hot.join(classes.drop("n"), ["file", "around", "k1", "k2", "lo"], "left_semi")
-        whole.append(one.join(still.where(F.col("m") <= CROWD), "file", "left_semi").select(*pieces.columns))
-        level = table(one.join(still.where(F.col("m") > CROWD), "file", "left_semi").select(*pieces.columns, "l", "r"), "level")
+        # The one join that moves bytes: of each class that is still open one piece.
+        one = table(hot.join(classes.drop("n").join(still, "file"), ["file", "around", "k1", "k2", "lo"]).select(*pieces.columns, "l", "r", "m"), "level")
+        whole.append(one.where(F.col("m") <= CROWD).select(*pieces.columns))
+        level = one.where(F.col("m") > CROWD).drop("m")
     return whole, marks
 
 
