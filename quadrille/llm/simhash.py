@@ -22,18 +22,18 @@ BLOCKS, WIDTH = 4, 16
 CROWD = 16
 
 
-def _shingle_hashes(text: bytes) -> Iterator[np.ndarray]:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
     """XXH64 of the shingles of a text, in parts, so that memory doesn't grow with the text."""
     digest, join = xxhash.xxh64_intdigest, b" ".join
     kept: list[bytes] = []
     any_yet = False
     for words in word_parts(text.lower()):
         words = kept + words
-        if len(words) >= SHINGLE:
+        if len(words) >= shingle:
             any_yet = True
-            own = [digest(s, SEED) for s in map(join, zip(*[words[i:] for i in range(SHINGLE)]))]
+            own = [digest(s, SEED) for s in map(join, zip(*[words[i:] for i in range(shingle)]))]
             yield np.array(own, dtype=np.uint64)
-        kept = words[-(SHINGLE - 1) :]
+        kept = words[-(shingle - 1) :]
     if kept and not any_yet:
         yield np.array([digest(join(kept), SEED)], dtype=np.uint64)
 
@@ -41,7 +41,7 @@ def _shingle_hashes(text: bytes) -> Iterator[np.ndarray]:
 def fingerprint(text: bytes | None) -> int:
     """The 64-bit fingerprint as a signed long: a bit is set if it is in over half the hashes."""
     counts, n = np.zeros(64, dtype=np.int64), 0
-    for hashes in _shingle_hashes(text or b""):
+    for hashes in shingle_hashes(text or b""):
         n += len(hashes)
         for at in range(0, len(hashes), 1 << 15):
             part = hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -114,7 +114,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near_duplicates: that of the smallest doc_id, null ids last, and of
     equal rows one. All columns stay."""
     rows = table(fingerprints(docs.select("doc_id", *row_keys("doc_id", "text"), "text")), "fingerprints")
-    own = _groups(rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2"))
+    return keep_least(docs, _groups(rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")))
+
+
+def keep_least(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """The row of docs that is the least of each root in own (root, least: a struct that ends in its row keys k1, k2)."""
     first = own.groupBy("root").agg(F.min("least").alias("one")).select(F.col("one.k1").alias("_k1"), F.col("one.k2").alias("_k2"))
     kept = docs.select("*", *row_keys("doc_id", "text", names=OWN)).join(first, [*OWN], "left_semi")
     return kept.withColumn("_nth", F.row_number().over(W.partitionBy(*OWN).orderBy("_k1"))).where("_nth = 1").select(*docs.columns)
