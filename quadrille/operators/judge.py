@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -21,14 +22,17 @@ class ChatModel(Protocol):
     def generate(self, messages: list[list[dict]]) -> list[str]: ...
 
 
+#: The four texts of a prompt, of any number of lines; one that itself holds the next heading ends there.
+QUESTION = re.compile(r"Text A: (.*?)\nText B: (.*?)\nText C: (.*?)\nText D: (.*)\nIs the distance between A and B", re.DOTALL)
+
+
 class OfflineModel:
     """A stand-in without a network: compares lengths of texts, deterministically."""
 
     def generate(self, messages: list[list[dict]]) -> list[str]:
         out = []
         for m in messages:
-            texts = [line.split(": ", 1)[1] for line in m[-1]["content"].split("\n")[:4]]
-            a, b, c, d = map(len, texts)
+            a, b, c, d = map(len, QUESTION.match(m[-1]["content"]).groups())
             out.append(f'Sure: {{"reasoning": "by length", "is_ab_less_than_cd": {"true" if abs(a - b) < abs(c - d) else "false"}}} done')
         return out
 

@@ -241,6 +241,18 @@ def test_judge_and_cache(spark, tmp_path):
     assert judge.pending(judge.with_key(quads), cache).count() == 0
 
 
+def test_judge_reads_whole_texts(spark):
+    """Every document as it is, against three others by place: long texts, line breaks and one beginning for many."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    texts += ["one beginning of many\n" + x for x in ("", "\n", "two\r\nlines", "Text: x\n\nIs the distance")]
+    n = len(texts)
+    asked = [(texts[i], texts[(i + 1) % n], texts[(i + 7) % n], texts[(i + 31) % n]) for i in range(n)]
+    found, _ = judge.cached_compare(spark.createDataFrame([*asked, *asked[:9]], "a string, b string, c string, d string"), judge.OfflineModel)
+    got = [(r.a, r.b, r.c, r.d, r.answer) for r in found.collect()]
+    assert any("\n" in x for x in texts[:-4]) and len(got) == n + 9
+    assert all(answer == (abs(len(a) - len(b)) < abs(len(c) - len(d))) for a, b, c, d, answer in got)
+
+
 class Broken:
     def generate(self, messages):
         return ["{}"] * (len(messages) + 1)
