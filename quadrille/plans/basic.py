@@ -264,7 +264,7 @@ def kmeans_center_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_cluster(spark: SparkSession, d: str) -> DataFrame:
-    return kmeans.kmeans_cluster(V(spark, d), K, seed=SEED, n_init=2, max_iter=30).assigned.select("id", "center_id")
+    return kmeans.kmeans_cluster(V(spark, d), K, seed=SEED).assigned.select("id", "center_id")
 
 
 # --- The judge -------------------------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from quadrille import cli
 from quadrille.functions import text as X
 from quadrille.functions import vectors as E
 from quadrille.operators import assign, comparisons, coreset, judge, kmeans, metrics, ranking, report, successive
+from quadrille.plans import catalog
 from quadrille.sources import keys, text_rows
 from quadrille.storage import rank_rows
 from quadrille.streaming.assign_stream import assign_stream
@@ -229,6 +230,13 @@ def test_cache_key_is_json(spark):
     assert got == json.dumps({"a": min(row[:2]), "b": max(row[:2]), "c": "a", "d": "b", "version": 1}, ensure_ascii=False)
 
 
+def test_kmeans_query_uses_the_operators_defaults(spark, monkeypatch):
+    fit, said = kmeans.kmeans_cluster, {}
+    monkeypatch.setattr(kmeans, "kmeans_cluster", lambda rows, k, **more: said.update(more) or fit(rows, k, n_init=1, max_iter=1))
+    catalog.QUERIES["kmeans_cluster"](spark, SF)
+    assert said.keys() == {"seed"}
+
+
 def test_judge_and_cache(spark, tmp_path):
     quads = spark.createDataFrame([("a", "bb", "c", "ddd"), ("bb", "a", "ddd", "c"), ("aaaa", "b", "c", "d")], "a string, b string, c string, d string")
     found, new = judge.cached_compare(quads, judge.OfflineModel)
