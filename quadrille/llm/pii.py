@@ -83,9 +83,22 @@ def _score(text: str, kind: str, start: int, end: int) -> float:
     return min(1.0, max(0.0, SCORES[kind] + STEP * any(w in near for w in FOR[kind]) - STEP * any(w in near for w in AGAINST[kind])))
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of IBAN that mod-97 confirms, each cut before a space where what follows isn't of the number: the
+    longest that holds. What a match doesn't use is looked at again."""
+    m = IBAN.search(text)
+    while m:
+        start, end = m.span()
+        while end > start and not (IBAN.fullmatch(text, start, end) and mod97(text[start:end].replace(" ", ""))):
+            end = text.rfind(" ", start, end)
+        if end > start:
+            yield start, end
+        m = IBAN.search(text, end if end > start else start + 1)
+
+
 def find_spans(text: str | None) -> list[Span]:
     """Spans of a whole text in code points, by kind, then start. Base kinds are found by their patterns
-    alone, leftmost and without overlap per kind; of matches that a check refuses nothing is tried again. An
+    alone, leftmost and without overlap per kind; of their matches that a check refuses nothing is tried again. An
     account number counts if mod-97 confirms it, its score is LEAST or more, and no base span overlaps it."""
     if not text:
         return []
@@ -99,9 +112,8 @@ def find_spans(text: str | None) -> list[Span]:
         if 8 <= len(m[0].translate(_SEPARATORS)) <= 15:
             found.append(("phone", m.start(), m.end()))
     spans = [Span(k, s, e, _score(text, k, s, e)) for k, s, e in found]
-    for m in IBAN.finditer(text):
-        s, e = m.span()
-        if mod97(m[0].replace(" ", "")) and (x := _score(text, "iban", s, e)) >= LEAST and not any(s < b and a < e for _, a, b in found):
+    for s, e in _accounts(text):
+        if (x := _score(text, "iban", s, e)) >= LEAST and not any(s < b and a < e for _, a, b in found):
             spans.append(Span("iban", s, e, x))
     return spans
 

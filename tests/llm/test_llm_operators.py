@@ -219,6 +219,14 @@ def test_pii_account_numbers():
     assert pii.redact(text, spans).startswith("bank transfer to [IBAN] today")
 
 
+@pytest.mark.parametrize("after", ["EUR", "BIC", "2024", "EURO", "2024 EUR BIC"])
+def test_pii_account_numbers_end_where_the_check_holds(after):
+    for account in ("BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947"):
+        for account in (account, account.replace(" ", "")):
+            text = f"bank account {account} {after} {account}"
+            assert [text[s.start : s.end] for s in pii.find_spans(text) if s.kind == "iban"] == [account] * 2, text
+
+
 def test_media(docs, empty):
     got = media.read_media(media.store_texts(docs)).collect()
     assert media.read_media(media.store_texts(empty)).count() == 0
