@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import numpy as np
@@ -76,8 +78,8 @@ def _texts(batch: pa.RecordBatch) -> list:
 
 
 def choose_units(rows: DataFrame, categories: Sequence[str]) -> Vocabulary:
-    """For each category the UNITS units whose presence in a document tells most about it, by chi-square;
-    units in fewer than SUPPORT documents, or below SURE, are chance."""
+    """For each category the UNITS units whose presence in a document tells most about it, by chi-square over
+    rows where it isn't null; units in fewer than SUPPORT of them, or below SURE, are chance."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -85,15 +87,16 @@ def choose_units(rows: DataFrame, categories: Sequence[str]) -> Vocabulary:
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in categories], pa.array(found, pa.list_(pa.string()))], [*categories, "units"])
 
     held = rows.select("text", *categories).mapInArrow(distinct, ", ".join([*[f"{c} double" for c in categories], "units array<string>"]))
-    total = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
-    by_unit = held.select(F.explode("units").alias("unit"), *categories).groupBy("unit").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= SUPPORT)
+    sums = [x for c in categories for x in (F.count(c).alias(f"n_{c}"), F.sum(c).alias(c))]
+    total = rows.agg(*sums).first()
+    by_unit = held.select(F.explode("units").alias("unit"), *categories).groupBy("unit").agg(*sums)
     chosen: dict[str, int] = {}
     for c in categories:
-        yes = float(total[c] or 0)
-        if not 0 < yes < total.n:
+        yes, among, n = float(total[c] or 0), total[f"n_{c}"], F.col(f"n_{c}")
+        if not 0 < yes < among:
             continue
-        chi = (F.col(c) * total.n - F.col("n") * yes) ** 2 / (F.col("n") * (total.n - F.col("n") + 1.0)) * (total.n / (yes * (total.n - yes)))
-        for r in by_unit.where(chi >= SURE).orderBy(F.desc(chi), "unit").limit(UNITS).collect():
+        chi = (F.col(c) * among - n * yes) ** 2 / (n * (among - n + 1.0)) * (among / (yes * (among - yes)))
+        for r in by_unit.where(n >= SUPPORT).where(chi >= SURE).orderBy(F.desc(chi), "unit").limit(UNITS).collect():
             chosen.setdefault(r.unit, len(chosen))
     return Vocabulary(chosen)
 
@@ -117,15 +120,18 @@ def probability(w: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def fit_chain(x: np.ndarray, ys: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
-    """A model per column of ys. Each but the first sees, beside x, what earlier models say of a row when
-    fitted without its fold, so that it learns from guesses as good as those it will get."""
+    """A model per column of ys, fitted on the rows where it isn't NaN; without any its probability is 0. Each but the
+    first sees, beside x, what earlier models say of a row when fitted without its fold, so that it learns from
+    guesses as good as those it will get."""
     models = []
     for k in range(ys.shape[1]):
-        y, models = ys[:, k], [*models, logistic(x, ys[:, k])]
-        guess = np.full(len(y), y.mean() if len(y) else 0.0)
+        y, known = ys[:, k], ~np.isnan(ys[:, k])
+        models = [*models, logistic(x[known], y[known]) if known.any() else np.append(np.zeros(x.shape[1]), -np.inf)]
+        guess = np.full(len(y), y[known].mean() if known.any() else 0.0)
         for f in range(FOLDS):
-            if (fold == f).any() and (fold != f).any():
-                guess[fold == f] = probability(logistic(x[fold != f], y[fold != f]), x[fold == f])
+            others = known & (fold != f)
+            if (fold == f).any() and others.any():
+                guess[fold == f] = probability(logistic(x[others], y[others]), x[fold == f])
         x = np.hstack([x, guess[:, None]])
     return models
 
@@ -171,14 +177,15 @@ class Chain(NamedTuple):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, chain: Sequence[tuple[str, int]] = CHAIN) -> Chain:
-    """The chain, fitted on about TRAIN labelled rows of docs, chosen by hash of those that aren't held out;
-    so the driver sees TRAIN rows of 2 * UNITS numbers whatever the tables' sizes. Labels that are null don't
-    count. Without labelled rows every probability is 0."""
+    """The chain, each link fitted on about TRAIN rows of docs that have its label, chosen by hash of those that
+    aren't held out; so the driver sees TRAIN rows a link of 2 * UNITS numbers whatever the tables' sizes. A label
+    that is null doesn't count, others of its row do. Without labelled rows every probability is 0."""
     categories = [c for c, _ in chain]
-    known = labels.select("doc_id", *[(F.col(c) == yes).cast("double").alias(c) for c, yes in chain]).where(~held_out(F.col("doc_id"))).dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
-    n = known.count()
-    if n > TRAIN:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < int(TRAIN / n * (1 << 20)))
+    known = labels.select("doc_id", *[(F.col(c) == yes).cast("double").alias(c) for c, yes in chain]).where(~held_out(F.col("doc_id"))).dropna("all", subset=categories).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
+    n = known.agg(*[F.count(c).alias(c) for c in categories]).first()
+    if max(n) > TRAIN:
+        place = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20))
+        known = known.where(reduce(or_, [F.col(c).isNotNull() & (place < int(min(1, TRAIN / max(n[c], 1)) * (1 << 20))) for c in categories]))
     rows = table(docs.select("doc_id", "text").join(known, "doc_id"), "training")
     vocabulary = choose_units(rows, categories)
 

@@ -453,6 +453,16 @@ def test_toxicity(spark):
     assert all(r.p_toxic < 1e-9 for r in toxicity.fit_toxicity(docs, labels.where("false")).score(docs).collect())
 
 
+def test_toxicity_learns_where_the_other_label_is_missing(spark):
+    docs, labels = _labelled(spark)
+    part = labels.where("toxic in (0, 1)").withColumn("quality", F.when(F.col("toxic") == 0, F.col("quality")))
+    truth = {r.doc_id: r.toxic for r in part.collect() if r.doc_id is not None}
+    kept = {r.doc_id for r in toxicity.fit_toxicity(docs, part).reject(docs, "toxic").collect()}
+    toxic = [d for d, t in truth.items() if t]
+    assert sum(d in kept for d in toxic) / len(toxic) < 0.1
+    assert sum(d in kept for d, t in truth.items() if not t and d < 700) > 0.97 * sum(not t for d, t in truth.items() if d < 700)
+
+
 def test_chain_sees_earlier_categories():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 2))

@@ -34,6 +34,15 @@ def test_toxic_documents_go(spark, stages):
     assert sum(d in kept for d in clean) / len(clean) > 0.97
 
 
+def test_labelled_toxic_documents_go(spark):
+    """On a table with enough of them to learn from."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.reject_toxic(spark, docs, sf).select("doc_id").collect()}
+    toxic = [r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").join(docs, "doc_id", "left_semi").collect()]
+    assert toxic and sum(d not in kept for d in toxic) / len(toxic) > 0.9
+
+
 def test_one_of_each_group_stays(stages):
     rows = stages[1].collect()
     marks = np.array([_fingerprint(r.text) for r in rows], dtype=np.uint64)
