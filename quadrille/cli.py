@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators.coreset import coreset_cluster
 from .operators.kmeans import kmeans_cluster
 from .operators.ranking import rank_by_anchor, rank_metrics, sample
-from .operators.report import clustering_document, dumps, rank_document
+from .operators.report import INLINE, clustering_document, dumps, rank_document, with_clusters
 from .operators.successive import successive_sampling
 from .sources.text_rows import vectors
 
@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--task", choices=TASKS, default="rank")
     p.add_argument("path", help="Parquet with vec_id, embedding, label")
+    p.add_argument("--output", help=f"new folder for all ranked rows or clusters, as JSON lines; needed beyond {INLINE} rows")
     p.add_argument("--anchor-index", type=int, default=0)
     p.add_argument("--candidate-limit", type=int, default=20, help="0: all")
     p.add_argument("--candidate-seed", type=int, default=0)
@@ -52,21 +53,25 @@ def main(argv: list[str] | None = None) -> int:
             raise IndexError("no row has the anchor's index")
         rest = rows.where(F.col("id") != anchor.id)
         chosen = sample(rest, a.candidate_limit, a.candidate_seed).drop("p") if a.candidate_limit else rest
+        if not a.output and chosen.count() > INLINE:
+            p.error(f"--output is needed for more than {INLINE} rows")
         both = chosen.unionByName(rows.where(F.col("id") == anchor.id))
-        print(dumps(rank_document(rank_by_anchor(both, anchor.id, a.profile), rank_metrics(both, anchor.id, a.profile), anchor.id, {"path": a.path})))
+        print(dumps(rank_document(rank_by_anchor(both, anchor.id, a.profile), rank_metrics(both, anchor.id, a.profile), anchor.id, {"path": a.path}, output=a.output)))
         return 0
     if a.candidate_limit:
         rows = sample(rows, a.candidate_limit, a.candidate_seed).drop("p")
     k, final = a.cluster_count, None if a.no_cluster_exact_k else a.cluster_count
-    if rows.count() < k:
+    if (n := rows.count()) < k:
         raise ValueError("there are fewer rows than clusters")
+    if not a.output and n > INLINE:
+        p.error(f"--output is needed for more than {INLINE} rows")
     if a.task == "cluster":
         result = successive_sampling(rows, k, multiplier=a.cluster_sample_multiplier, cover=a.cluster_cover_fraction, seed=a.cluster_seed, final=final, profile=a.profile)
     elif a.task == "weak-comparison-cluster":
         result = coreset_cluster(rows, k, correctness=a.weak_comparison_correctness_probability, first=a.weak_comparison_sample1_multiplier, second=a.weak_comparison_sample2_multiplier, max_rounds=a.weak_comparison_max_rounds, seed=a.cluster_seed, final=final)
     else:
         result = kmeans_cluster(rows, k, seed=a.cluster_seed, n_init=a.embedding_kmeans_n_init, max_iter=a.embedding_kmeans_max_iter)
-    print(dumps(clustering_document(a.task, result, {"path": a.path})))
+    print(dumps(with_clusters(a.task, clustering_document(a.task, result, {"path": a.path}), result, a.output)))
     return 0
 
 

@@ -15,25 +15,55 @@ from .successive import Clustering
 ALGORITHMS = {"cluster": "mettu_plaxton_successive_sampling", "weak-comparison-cluster": "weak_comparison_alg_g_coreset_plus", "embedding-cluster": "instructor_kmeans"}
 
 
+#: Rows up to which a document holds rankings and clusters itself; beyond it they are written to a folder.
+INLINE = 1000
+
+
 def clusters_json(assigned: DataFrame) -> DataFrame:
     """One JSON line per page of a cluster: center, size, page, rows."""
     return nested_clusters(assigned).select(F.to_json(F.struct(F.col("center_id").alias("center"), "size", "page", F.col("members").alias("rows"))).alias("json"))
 
 
+def listed_clusters(assigned: DataFrame) -> list[dict]:
+    """All clusters of a small table, the largest first."""
+    pages: dict = {}
+    for r in sorted(nested_clusters(assigned).collect(), key=lambda r: r.page):
+        pages.setdefault((-r["size"], r.center_id), []).extend(r.members)
+    return [{"center": c, "size": -n, "rows": rows} for (n, c), rows in sorted(pages.items())]
+
+
+def with_clusters(task: str, body: dict, result: Clustering, output: str | None) -> dict:
+    """The document with all final and candidate clusters, or with the names of the folders that they are written to."""
+    parts = {"clusters": result.assigned}
+    if result.compressed:
+        parts["candidate_clusters" if task == "cluster" else "coreset_clusters"] = result.candidates
+    for name, assigned in parts.items():
+        if output:
+            body[name] = f"{output}/{name}"
+            clusters_json(assigned).write.text(body[name])
+        else:
+            body[name] = listed_clusters(assigned)
+    return body
+
+
 def metrics_of(assigned: DataFrame) -> dict:
     return evaluate(assigned).first().asDict()
 
 
 def clustering_document(task: str, result: Clustering, dataset: dict) -> dict:
-    """What a run says of itself; the clusters themselves are written with clusters_json()."""
+    """What a run says of itself; with_clusters() adds the clusters themselves."""
     body = {"dataset": dataset, "clustering": {"algorithm": ALGORITHMS[task], "rounds": result.rounds, **result.parameters}, "metrics": metrics_of(result.assigned)}
     if result.compressed:
         body["candidate_metrics" if task == "cluster" else "coreset_metrics"] = metrics_of(result.candidates)
     return body
 
 
-def rank_document(ranked: DataFrame, metrics: DataFrame, anchor_id: str, dataset: dict, rows: int = 1000) -> dict:
-    """The first rows of a ranking with its metrics; all rows are in `ranked`."""
+def rank_document(ranked: DataFrame, metrics: DataFrame, anchor_id: str, dataset: dict, rows: int = INLINE, output: str | None = None) -> dict:
+    """The first rows of a ranking with its metrics; all rows are in `ranked`, or written as JSON lines to a folder in output."""
+    if output:
+        path = f"{output}/ranked_rows"
+        ranked.select("id", "label_name", "rank", "d").write.json(path)
+        return {"dataset": dataset, "anchor": anchor_id, "metrics": metrics.first().asDict(), "ranked_rows": path}
     first = ranked.orderBy("rank").limit(rows).select("id", "label_name", "rank", "d").collect()
     return {"dataset": dataset, "anchor": anchor_id, "metrics": metrics.first().asDict(), "ranked_rows": [r.asDict() for r in first]}
 

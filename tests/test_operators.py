@@ -304,6 +304,29 @@ def test_documents(spark, capsys):
         cli.main(["--task", "cluster", path])
 
 
+def test_documents_are_whole(spark, capsys, tmp_path):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    large = str(tmp_path / "large")
+    vectors.unionByName(vectors.withColumn("vec_id", F.col("vec_id") + 10_000)).unionByName(vectors.withColumn("vec_id", F.col("vec_id") + 20_000)).write.parquet(large)
+    rank = ["--task", "rank", "--candidate-limit", "0"]
+    with pytest.raises(SystemExit):
+        cli.main([*rank, large])
+    assert cli.main([*rank, "--output", str(tmp_path / "rank"), large]) == 0
+    rows = spark.read.json(json.loads(capsys.readouterr().out)["ranked_rows"]).collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, 3 * vectors.count()))
+    for task, other in (("cluster", "candidate_clusters"), ("embedding-cluster", None)):
+        args = ["--task", task, "--cluster-count", "4", "--candidate-limit", "60", "--embedding-kmeans-n-init", "1"]
+        assert cli.main([*args, large]) == 0
+        said = json.loads(capsys.readouterr().out)
+        assert cli.main([*args, "--output", str(tmp_path / task), large]) == 0
+        named = json.loads(capsys.readouterr().out)
+        for name in filter(None, ("clusters", other)):
+            lines = [json.loads(r.value) for r in spark.read.text(named[name]).collect()]
+            assert len({x for c in said[name] for x in c["rows"]}) == sum(c["size"] for c in said[name]) == 60
+            assert {(c["center"], *c["rows"]) for c in lines} == {(c["center"], *c["rows"]) for c in said[name]}
+        assert len(said["clusters"]) == 4 and (other or "candidate_clusters" not in said)
+
+
 def test_the_library_stands_without_the_llm_folders():
     import subprocess
     import sys
