@@ -1,13 +1,18 @@
 """Suffix-array dedup: a run-length index finds long matches in repetitive text.
 
-Every string of MATCH bytes holds an anchor, a gram that its own bytes select. Only surroundings of grams that occur
-again can hold a match; they are brought together by gram, and each batch of them gets a run-compressed
-Burrows-Wheeler transform. Matching statistics are streamed from samples at the ends of its runs.
+Every string of MATCH bytes has an anchor, a gram that its own bytes select, so equal strings have equal grams at the
+same offset. What a text repeats within itself is settled where the text is read. Of the rest, the stretch of strings around each
+anchor is hashed; stretches that agree are settled by their hash, and stretches of one gram that differ are brought together in
+batches and indexed. Of a batch the suffix order is sorted whole, so memory follows the bytes of a batch (BATCH, and at most
+CROWD stretches more); matches are measured only at the ends of the runs of its Burrows-Wheeler transform, and matching
+statistics are streamed from these samples. A corpus has no single index, which would be one task.
+
+Two different stretches of one gram would be taken for equal if their 64-bit hashes agreed, which for a gram with n stretches has
+a probability of n * n / 2 ** 65; two grams that agree by chance cost time only.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,93 +22,126 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, reclaim, release, row_keys, slices, table
+from .common import documents, reclaim, row_keys, slices, table
 
-#: Bytes of a match, and of an anchor's gram. AROUND more on both sides hold every match with the gram.
+#: Bytes of a match, and of an anchor's gram. A string of MATCH bytes holds AROUND more than the gram.
 MATCH, GRAM = 400, 32
 AROUND = MATCH - GRAM
-#: Surroundings that one gram may bring into a batch; bytes of a batch; bytes that are hashed at once.
+#: Stretches that one gram may bring into a batch; bytes of a batch; bytes that are hashed at once.
 CROWD, BATCH, CHUNK = 8192, 1 << 21, 1 << 18
 
 _RANDOM = np.random.default_rng(20).integers(0, 1 << 63, size=270, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE, _ODD = _RANDOM[:256], _RANDOM[256:]
-_NONE = np.uint32(0xFFFFFFFF)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 # --- Anchors ---------------------------------------------------------------------------------------------
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each place on; hashes of powers of two are joined."""
+def gram_hashes(data: np.ndarray, n: int = GRAM) -> np.ndarray:
+    """A 64-bit hash of the n bytes from each place on; hashes of powers of two are joined."""
     wide, size = {1: _BYTE[data]}, 1
-    while 2 * size <= GRAM:
+    while 2 * size <= n:
         x = wide[size]
         wide[2 * size] = x[:-size] * _ODD[size.bit_length()] + x[size:]
         size *= 2
     done, out = size, wide[size]
-    for part in reversed([1 << b for b in range(size.bit_length() - 1) if GRAM & (1 << b)]):
-        n = len(data) - done - part + 1
-        out = out[:n] * _ODD[9] + wide[part][done : done + n]
+    for part in reversed([1 << b for b in range(size.bit_length() - 1) if n & (1 << b)]):
+        left = len(data) - done - part + 1
+        out = out[:left] * _ODD[9] + wide[part][done : done + left]
         done += part
     out = (out ^ (out >> np.uint64(29))) * _ODD[10]
     return out ^ (out >> np.uint64(32))
 
 
-def _sliding(x: np.ndarray, n: int, op: np.ufunc, fill) -> np.ndarray:
-    """op over every n neighbours: from the ends and the starts of blocks of n."""
-    padded = np.full(-(-len(x) // n) * n, fill, dtype=x.dtype)
+def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of every n neighbours: from the ends and the starts of blocks of n."""
+    padded = np.full(-(-len(x) // n) * n, np.iinfo(x.dtype).max, dtype=x.dtype)
     padded[: len(x)] = x
     blocks = padded.reshape(-1, n)
-    ahead = op.accumulate(blocks, axis=1).ravel()
-    back = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     m = len(x) - n + 1
-    return op(back[:m], ahead[n - 1 : n - 1 + m])
+    return np.minimum(back[:m], ahead[n - 1 : n - 1 + m])
 
 
-def _select(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of anchors in texts laid end to end: grams that have the least hash of some MATCH bytes,
-    all of them on a tie. Neither grams nor MATCH bytes may reach across an end."""
+def _select(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Anchors of texts laid end to end: places, hashes, and the starts of the first and the last string of MATCH bytes that
+    each is the anchor of. The anchor of a string is its first gram of least hash. No string reaches across an end."""
+    if len(data) < MATCH:
+        return [np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.int64, np.int64)]
     grams = gram_hashes(data)
-    low = (grams >> np.uint64(32)).astype(np.uint32)
+    at = (_sliding_min((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), AROUND + 1) & _LOW).astype(np.int64)
     for e in ends[:-1]:
-        low[max(0, e - GRAM + 1) : e] = _NONE
-    n = AROUND + 1
-    if len(low) < n:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    least = np.zeros(len(low) + n - 1, dtype=np.uint32)
-    least[n - 1 : len(low)] = _sliding(low, n, np.minimum, _NONE)
-    for e in ends[:-1]:
-        least[n - 1 + max(0, e - MATCH + 1) : n - 1 + e] = 0
-    at = np.flatnonzero((low == _sliding(least, n, np.maximum, 0)) & (low != _NONE))
-    return at, grams[at]
-
-
-def anchors(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index, places, hashes) for texts of MATCH bytes or more. Short ones are hashed together, long ones in
-    overlapping pieces, so that memory follows CHUNK."""
+        at[max(0, e - MATCH + 1) : e] = -1
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.concatenate([first[1:], [len(at)]]) - 1
+    place = at[first]
+    own = place >= 0
+    return [x[own] for x in (place, grams[place], first, last)]
+
+
+def _settle(data: bytes, found: list[np.ndarray]) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """What a text repeats within itself: the anchors with the strings that hadn't been there before, and the runs of bytes
+    of strings that are there again. Hashes propose, bytes decide."""
+    place, grams, first, last = found
+    if len(set(grams.tolist())) == len(grams):
+        return found, []
+    _, group, count = np.unique(grams, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(count[group] > 1)
+    sizes = (last - first + 1)[again]
+    owner = np.repeat(again, sizes)
+    start = np.arange(int(sizes.sum())) + np.repeat(first[again] - (np.cumsum(sizes) - sizes), sizes)
+    hashes = gram_hashes(np.frombuffer(data, dtype=np.uint8), MATCH)[start]
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    before = np.full(len(start), -1, dtype=np.int64)
+    before[order[same + 1]] = start[order[same]]
+    later = np.flatnonzero(before >= 0)
+    s, f = start[later], before[later]
+    cuts = np.flatnonzero(np.concatenate([[True], (np.diff(s) != 1) | (np.diff(f) != 1)])) if len(s) else np.zeros(0, dtype=np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(s)]):
+        n = b - a - 1 + MATCH
+        if data[s[a] : s[a] + n] != data[f[a] : f[a] + n]:
+            before[later[a:b]] = -1
+    later = before >= 0
+    found_at = np.zeros(len(data) + 2, dtype=bool)
+    found_at[start[later] + 1] = found_at[before[later] + 1] = True
+    edges = np.flatnonzero(found_at[1:] != found_at[:-1])
+    runs = [(lo, hi - 1 + MATCH) for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist())]
+    new = np.flatnonzero(~later)
+    kept, at = np.unique(owner[new], return_index=True)
+    first, last = first.copy(), last.copy()
+    first[kept], last[kept] = start[new[at]], start[new[np.concatenate([at[1:], [len(new)]]) - 1]]
+    stay = np.ones(len(place), dtype=bool)
+    stay[again] = False
+    stay[kept] = True
+    return [x[stay] for x in (place, grams, first, last)], runs
+
+
+def anchors(texts: list[bytes]) -> Iterator[tuple[int, list[np.ndarray], list[tuple[int, int]]]]:
+    """(index, anchors, repeated runs) for texts of MATCH bytes or more. Short ones are hashed together. A long one is cut into
+    pieces of CHUNK strings, so that memory follows CHUNK; a string is in one piece only."""
     group: list[int] = []
     size = 0
 
-    def flush() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def flush() -> Iterator[tuple[int, list[np.ndarray], list[tuple[int, int]]]]:
         ends = np.cumsum([len(texts[i]) for i in group])
-        at, grams = _select(np.frombuffer(b"".join([texts[i] for i in group]), dtype=np.uint8), ends)
-        cuts = np.searchsorted(at, ends)
+        found = _select(np.frombuffer(b"".join([texts[i] for i in group]), dtype=np.uint8), ends)
+        cuts = [0, *np.searchsorted(found[0], ends).tolist()]
         for k, i in enumerate(group):
-            own = slice(cuts[k - 1] if k else 0, cuts[k])
-            yield i, at[own] - (ends[k - 1] if k else 0), grams[own]
+            begin = ends[k] - len(texts[i])
+            own = [x[cuts[k] : cuts[k + 1]] for x in found]
+            yield i, *_settle(texts[i], [own[0] - begin, own[1], own[2] - begin, own[3] - begin])
 
     for i, text in enumerate(texts):
         if len(text) < MATCH:
             continue
         if len(text) > CHUNK:
-            found: dict[int, np.uint64] = {}
-            data = np.frombuffer(text, dtype=np.uint8)
-            for start in range(0, len(text) - MATCH + 1, CHUNK - MATCH + 1):
-                piece = data[start : start + CHUNK]
-                at, grams = _select(piece, np.array([len(piece)]))
-                found.update(zip((at + start).tolist(), grams))
-            places = np.array(sorted(found), dtype=np.int64)
-            yield i, places, np.array([found[p] for p in places.tolist()], dtype=np.uint64)
+            for start in range(0, len(text) - MATCH + 1, CHUNK):
+                piece = text[start : start + CHUNK + MATCH - 1]
+                (place, grams, first, last), runs = _settle(piece, _select(np.frombuffer(piece, dtype=np.uint8), np.array([len(piece)])))
+                yield i, [place + start, grams, first + start, last + start], [(lo + start, hi + start) for lo, hi in runs]
             continue
         group.append(i)
         size += len(text)
@@ -114,32 +152,40 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield from flush()
 
 
-MARK, PIECE = "k1 long, k2 long, lo int, hi int", "file long, k1 long, k2 long, lo int, at int, data binary"
+MARK, PIECE = "k1 long, k2 long, lo int, hi int", "file long, k1 long, k2 long, lo int, at int, data binary, m long"
 OCCURRENCE = "k1 long, k2 long, gram long, around long, place int, lo int, hi int"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each anchor: its text's key, its gram, a hash of what is around it, and where that is."""
+    """For each anchor: its text's key, its gram, where the stretch of its strings is, and a hash of that. Rows without
+    a gram are runs that a text repeats within itself."""
     names = [c.split()[0] for c in OCCURRENCE.split(", ")]
     digest = xxhash.xxh3_64_intdigest
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*rows)]
+        none = columns[4] < 0
+        return pa.RecordBatch.from_arrays([pa.array(c, mask=none if n == "gram" else None) for n, c in zip(names, columns)], names)
+
     for batch in slices(batches):
         texts = [t.as_py() or b"" for t in batch.column(2).cast(pa.binary())]
         k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
         rows, held = [], 0
-        for i, at, grams in anchors(texts):
-            text = texts[i]
-            lo, hi = np.maximum(at - AROUND, 0), np.minimum(at + MATCH, len(text))
-            keep = hi - lo >= MATCH
-            at, grams, lo, hi = at[keep], grams[keep], lo[keep], hi[keep]
-            around = [digest(text[a:b], p - a) for a, b, p in zip(lo.tolist(), hi.tolist(), at.tolist())]
-            n = len(at)
-            rows.append((np.full(n, k1[i]), np.full(n, k2[i]), grams.view(np.int64), np.array(around, dtype=np.uint64).view(np.int64), at.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)))
+        for i, (place, grams, first, last), runs in anchors(texts):
+            text, hi = texts[i], last + MATCH
+            around = [digest(text[a:b], p - a) for a, b, p in zip(first.tolist(), hi.tolist(), place.tolist())]
+            lo, end = np.array(runs, dtype=np.int64).reshape(-1, 2).T
+            n, zero = len(place) + len(runs), np.zeros(len(runs), dtype=np.int64)
+            rows.append((
+                np.full(n, k1[i]), np.full(n, k2[i]), np.concatenate([grams.view(np.int64), zero]), np.concatenate([np.array(around, dtype=np.uint64).view(np.int64), zero]),
+                np.concatenate([place, zero - 1]).astype(np.int32), np.concatenate([first, lo]).astype(np.int32), np.concatenate([hi, end]).astype(np.int32),
+            ))
             held += n
             if held > 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names)
+                yield flush(rows)
                 rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names)
+            yield flush(rows)
 
 
 # --- The index of a batch --------------------------------------------------------------------------------
@@ -271,7 +317,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (file, k1, k2, lo, place, data) for the wanted stretches of each text."""
+    """Rows (file, k1, k2, lo, at, data, m) for the wanted stretches of each text."""
     for batch in slices(batches):
         rows: list[tuple] = []
         size = 0
@@ -279,8 +325,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, wanted in enumerate(batch.column(3).to_pylist()):
             text, k1, k2 = texts[i].as_py(), batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
             for w in wanted:
-                rows.append((w["gram"], k1, k2, w["lo"], w["place"] - w["lo"], text[w["lo"] : w["hi"]]))
-                size += len(rows[-1][-1])
+                rows.append((w["gram"], k1, k2, w["lo"], w["place"] - w["lo"], text[w["lo"] : w["hi"]], w["m"]))
+                size += w["hi"] - w["lo"]
             if size > 1 << 22:
                 yield _cut_batch(rows)
                 rows, size = [], 0
@@ -289,8 +335,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["file", "k1", "k2", "lo", "at", "data"])
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["file", "k1", "k2", "lo", "at", "data", "m"])
 
 
 def _split(pieces: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -329,29 +375,27 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     """Marks (k1, k2, lo, hi) of the texts in docs (k1, k2, text): together they cover exactly the bytes
     of strings of MATCH bytes that start at two places. Marks overlap."""
     every = table(docs.mapInArrow(_occurrences, OCCURRENCE), "anchors")
-    again = every.groupBy("gram").count().where("count > 1").select("gram")
-    some = table(every.join(again, "gram", "left_semi"), "repeated")
-    release(every)
+    own = every.where("gram IS NULL").select("k1", "k2", "lo", "hi")
+    every = every.where("gram IS NOT NULL")
+    # Stretches that agree are a class. In a class of two or more all strings repeat.
+    classes = table(every.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place", "lo", "hi")).alias("one")), "classes")
     reclaim(docs.sparkSession)
-    # Anchors with equal surroundings are a class. In a class of two or more all strings with the gram repeat.
-    classes = table(some.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place", "lo", "hi")).alias("one")), "classes")
-    sure = some.join(classes.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").select("k1", "k2", "lo", "hi")
+    sure = table(every.join(classes.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").select("k1", "k2", "lo", "hi"), "sure")
     # Of grams with a class of one and another class, one member of each class goes to the index.
-    still = table(classes.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("n")).where("m > 1 AND n = 1").select("gram", "m"), "open")
-
-    def pieces(grams: DataFrame) -> DataFrame:
-        """Of rows that agree in everything, which share a key, each brings its pieces; they become one segment."""
-        wanted = classes.join(grams.select("gram"), "gram", "left_semi").select("gram", "one.*")
-        wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "place", "lo", "hi")).alias("wanted"))
-        return docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_cut, PIECE)
-
-    parts, marks = [pieces(still.where(F.col("m") <= CROWD))], []
-    crowded = still.where(F.col("m") > CROWD)
+    still = classes.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("n")).where("m > 1 AND n = 1").select("gram", "m")
+    wanted = table(classes.join(still, "gram").select("one.*", "gram", "m"), "wanted")
+    reclaim(docs.sparkSession)
+    # Of rows that agree in everything, which share a key, each brings its pieces; they become one segment.
+    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "place", "lo", "hi", "m")).alias("wanted"))
+    pieces = table(docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_cut, PIECE), "pieces")
+    reclaim(docs.sparkSession)
+    parts, marks = [pieces.where(F.col("m") <= CROWD).drop("m")], []
+    crowded = pieces.where(F.col("m") > CROWD).drop("m")
     if crowded.limit(1).count():
-        more, marks = _split(table(pieces(crowded), "pieces"))
+        more, marks = _split(crowded)
         parts += more
     found = [p.select("file", "k1", "k2", "lo", "data").repartition("file").sortWithinPartitions("file").mapInArrow(_index, MARK) for p in parts]
-    out = sure
+    out = sure.unionByName(own)
     for x in [*found, *marks]:
         out = out.unionByName(x)
     return out

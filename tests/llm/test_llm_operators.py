@@ -373,17 +373,39 @@ def test_repeats_of_shared_passages(spark, monkeypatch, crowd):
     assert _removed(df) == Counter((i, *x) for i, x in enumerate(_brute_removal([t.encode() for t in texts], 400)))
 
 
-def test_long_texts_are_hashed_in_pieces(monkeypatch):
+def test_each_string_has_one_anchor(monkeypatch):
+    """Its first gram of least hash, in texts hashed together and in pieces of a long one."""
     monkeypatch.setattr(rindex, "CHUNK", 2000)
-    data = bytes(random.Random(4).choice(b"abcdef") for _ in range(9000))
-    ((_, at, grams),) = rindex.anchors([data])
-    every = rindex.gram_hashes(np.frombuffer(data, dtype=np.uint8))
-    assert (every[at] == grams).all() and len(set(at.tolist())) == len(at)
-    low = every >> np.uint64(32)
-    chosen = set(at.tolist())
-    for i in range(len(data) - 399):
-        own = low[i : i + rindex.AROUND + 1]
-        assert i + int(own.argmin()) in chosen
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"abcdef") for _ in range(n)) for n in (9000, 700, 399, 400, 1300, 900)]
+    seen = {}
+    for k, (places, grams, first, last), runs in rindex.anchors(texts):
+        every = rindex.gram_hashes(np.frombuffer(texts[k], dtype=np.uint8))
+        assert (every[places] == grams).all() and not runs
+        for p, a, b in zip(places.tolist(), first.tolist(), last.tolist()):
+            for i in range(a, b + 1):
+                assert (k, i) not in seen
+                seen[k, i] = p - i
+                assert p == i + int((every[i : i + rindex.AROUND + 1] >> np.uint64(32)).argmin())
+    assert len(seen) == sum(max(0, len(t) - 399) for t in texts)
+
+
+def test_what_a_text_repeats_is_settled_where_it_is_read(monkeypatch):
+    """Periodic texts leave few anchors and the right runs, at any length."""
+    rng = random.Random(9)
+    line = bytes(rng.choice(b"abcdefgh ") for _ in range(70))
+    text = bytes(rng.choice(b"abcdefgh ") for _ in range(600))
+    for data, most in ((b"a" * 3_000_000, 40), (line * 5000, 40), (text + b"x" + text, 20), (line * 20 + text + line * 20, 20)):
+        found = list(rindex.anchors([data]))
+        assert sum(len(a[0]) for _, a, _ in found) <= most
+        mask = np.zeros(len(data), dtype=bool)
+        for _, _, runs in found:
+            for lo, hi in runs:
+                mask[lo:hi] = True
+        if len(data) <= 5000:
+            assert int(mask.sum()) == _brute_removal([data], 400)[0][1]
+        else:
+            assert mask.all()
 
 
 @pytest.mark.parametrize("n,alphabet", [(6, b"ab"), (10, b"abc"), (20, b"a")])
