@@ -43,7 +43,7 @@ def _texts():
 @pytest.mark.parametrize("crowd", [1, 3, 16])
 def test_near_copies_by_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(jaccard, "CROWD", crowd)
-    monkeypatch.setattr(jaccard, "NEAR", 1 if crowd == 1 else 4)
+    monkeypatch.setattr(jaccard, "SIDE", 5 if crowd == 1 else 512)
     rows = _texts()
     docs = spark.createDataFrame([*rows, rows[9], (None, rows[9][1])], "doc_id long, text string")
     assert Counter(r.doc_id for r in jaccard.keep_one(docs).collect()) == _kept(rows)
