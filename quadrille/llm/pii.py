@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -14,23 +17,27 @@ from pyspark.sql import types as T
 from .common import documents, slices
 
 #: In the order in which spans are listed. The first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "secret")
 BASE = KINDS[:4]
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.6}
-#: Words that make a kind likelier or less likely within REACH code points, and by how much.
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.6, "national_id": 0.4, "secret": 0.4}
+#: Words that make a kind likelier or less likely within REACH code points, and by how much: English, French, Spanish, German.
 FOR = {
-    "email": ("mail", "contact", "write"),
-    "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile"),
-    "iban": ("iban", "bank", "account", "transfer"),
+    "email": ("mail", "contact", "write", "courriel", "écri", "correo", "escrib", "kontakt", "schreib"),
+    "ip": ("ip", "host", "server", "address", "adresse", "serveur", "dirección", "servidor", "rechner"),
+    "card": ("card", "visa", "credit", "payment", "carte", "crédit", "paiement", "tarjeta", "pago", "karte", "zahlung"),
+    "phone": ("phone", "call", "tel", "mobile", "tél", "appel", "llam", "móvil", "anruf", "handy"),
+    "iban": ("iban", "bank", "account", "transfer", "banque", "compte", "virement", "banco", "cuenta", "konto", "überweis"),
+    "national_id": ("identi", "passport", "security", "sécurité", "insee", "dni", "nif", "documento", "ausweis"),
+    "secret": ("token", "key", "secret", "passw", "auth", "credential", "jeton", "clé", "mot de passe", "clave", "contraseña", "schlüssel", "geheim", "kennwort"),
 }
 AGAINST = {
-    "email": ("example of",),
-    "ip": ("version", "release", "section"),
-    "card": ("order", "serial", "invoice"),
-    "phone": ("serial", "part no"),
-    "iban": ("serial", "product"),
+    "email": ("example of", "exemple", "ejemplo", "beispiel"),
+    "ip": ("version", "release", "section", "versión", "abschnitt"),
+    "card": ("order", "serial", "invoice", "commande", "facture", "pedido", "factura", "bestell", "rechnung"),
+    "phone": ("serial", "part no", "série", "serie", "seriennummer"),
+    "iban": ("serial", "product", "produit", "producto", "produkt"),
+    "national_id": ("serial", "order", "série", "serie", "bestell"),
+    "secret": ("sha", "md5", "checksum", "digest", "commit", "revision"),
 }
 REACH, STEP = 40, 0.2
 #: Spans of further kinds count from this score on; base kinds always do.
@@ -43,6 +50,13 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# Spain's number with its letter, France's with its key.
+NATIONAL = re.compile(r"(?<![A-Za-z0-9])(?:[0-9]{8}-?[A-Z]|[12][0-9]{14})(?![A-Za-z0-9])")
+#: The letter for each remainder by 23.
+LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+=*+")
+#: Bits of a secret's characters, at least.
+ENTROPY = 3.0
 _SEPARATORS = str.maketrans("", "", " -().+")
 
 
@@ -64,6 +78,20 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def national(code: str) -> bool:
+    """The letter is that of the remainder by 23; the key makes up the remainder by 97."""
+    if code[-1].isdigit():
+        return int(code[13:]) == 97 - int(code[:13]) % 97
+    return LETTERS[int(code[:8]) % 23] == code[-1]
+
+
+def looks_random(code: str) -> bool:
+    """Letters and digits, mixed as no word is: ENTROPY bits a character or more."""
+    counts = Counter(code)
+    bits = -sum(n * log2(n / len(code)) for n in counts.values()) / len(code)
+    return bits >= ENTROPY and any(c.isdigit() for c in code) and any(c.isalpha() for c in code)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """As [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+ finds them, but from each @ outwards: the
     name is all that stands before it since the last span."""
@@ -98,8 +126,9 @@ def _accounts(text: str) -> Iterator[tuple[int, int]]:
 
 def find_spans(text: str | None) -> list[Span]:
     """Spans of a whole text in code points, by kind, then start. Base kinds are found by their patterns
-    alone, leftmost and without overlap per kind; of their matches that a check refuses nothing is tried again. An
-    account number counts if mod-97 confirms it, its score is LEAST or more, and no base span overlaps it."""
+    alone, leftmost and without overlap per kind; of their matches that a check refuses nothing is tried again. A
+    span of a further kind counts if its check confirms it (mod-97, mod-23, entropy), words nearby don't bring its score under
+    LEAST, or bring it there, and no base span overlaps it."""
     if not text:
         return []
     found = [("email", s, e) for s, e in _emails(text)]
@@ -112,12 +141,27 @@ def find_spans(text: str | None) -> list[Span]:
         if 8 <= len(m[0].translate(_SEPARATORS)) <= 15:
             found.append(("phone", m.start(), m.end()))
     spans = [Span(k, s, e, _score(text, k, s, e)) for k, s, e in found]
-    for s, e in _accounts(text):
-        if (x := _score(text, "iban", s, e)) >= LEAST and not any(s < b and a < e for _, a, b in found):
-            spans.append(Span("iban", s, e, x))
+    further = [("iban", s, e) for s, e in _accounts(text)]
+    further += [("national_id", m.start(), m.end()) for m in NATIONAL.finditer(text) if national(m[0])]
+    further += [("secret", m.start(), m.end()) for m in SECRET.finditer(text) if looks_random(m[0])]
+    taken = {k: ([s for kind, s, _ in found if kind == k], [e for kind, _, e in found if kind == k]) for k in BASE} if further else {}
+    for kind, s, e in further:
+        x = _score(text, kind, s, e)
+        if x >= LEAST and not _overlaps(taken, s, e):
+            spans.append(Span(kind, s, e, x))
     return spans
 
 
+def _overlaps(taken: dict[str, tuple[list[int], list[int]]], start: int, end: int) -> bool:
+    """Whether a base span reaches into this one. Those of one kind lie one after another, so the last that begins before
+    the end decides."""
+    for starts, ends in taken.values():
+        k = bisect_right(starts, end - 1)
+        if k and ends[k - 1] > start:
+            return True
+    return False
+
+
 def redact(text: str, spans: list[Span]) -> str:
     """The text with each span, or run of overlapping spans, replaced by its kind in brackets."""
     out, last = [], 0
@@ -131,40 +175,31 @@ def redact(text: str, spans: list[Span]) -> str:
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def _find(with_text: bool):
+def pii_spans(docs: DataFrame) -> DataFrame:
+    """doc_id and spans of every row of docs (doc_id, text). No shuffle. A null or empty text has no
+    spans; repeated rows each return."""
     entry = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            spans, texts = [], []
-            for x in batch.column("text"):
-                text = x.as_py()
-                spans.append(find_spans(text))
-                if with_text:
-                    texts.append(redact(text, spans[-1]) if spans[-1] else text)
-            columns = {n: batch.column(n) for n in batch.schema.names if n != "text" or not with_text}
-            if with_text:
-                columns["text"] = pa.array(texts, pa.string())
-            else:
-                columns.pop("text")
-            columns["_spans" if with_text else "spans"] = pa.array([[s._asdict() for s in x] for x in spans], pa.list_(entry))
-            yield pa.RecordBatch.from_pydict(columns)
-
-    return run
+            found = [[s._asdict() for s in find_spans(x.as_py())] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(entry))], ["doc_id", "spans"])
 
-
-def pii_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and spans of every row of docs (doc_id, text). No shuffle. A null or empty text has no
-    spans; repeated rows each return."""
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(f"spans {SPANS}").fields])
-    return docs.select("doc_id", "text").mapInArrow(_find(False), schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with the spans of `text` masked; all columns and rows stay, null texts too. No shuffle."""
-    order = [c for c in docs.columns if c != "text"]
-    schema = T.StructType([*[docs.schema[c] for c in order], T.StructField("text", T.StringType()), *T._parse_datatype_string(f"_spans {SPANS}").fields])
-    return docs.select(*order, "text").mapInArrow(_find(True), schema).select(*docs.columns)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = [x.as_py() for x in batch.column(at)]
+            masked = [t and redact(t, find_spans(t)) for t in texts]
+            yield batch.set_column(at, batch.schema.field(at).with_type(pa.string()), pa.array(masked, pa.string()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _listed(spans: Column) -> Column:
@@ -179,4 +214,4 @@ def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *map(count, BASE), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(spans).alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"), *map(count, KINDS[len(BASE) :]), F.transform(spans, lambda s: s["score"]).alias("scores"))
