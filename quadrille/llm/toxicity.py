@@ -77,28 +77,33 @@ def _texts(batch: pa.RecordBatch) -> list:
     return batch.column(batch.schema.get_field_index("text")).to_pylist()
 
 
-def choose_units(rows: DataFrame, categories: Sequence[str]) -> Vocabulary:
+def choose_units(rows: DataFrame, categories: Sequence[str]) -> tuple[Vocabulary, list[list[str]]]:
     """For each category the UNITS units whose presence in a document tells most about it, by chi-square over
-    rows where it isn't null; units in fewer than SUPPORT of them, or below SURE, are chance."""
+    rows where it isn't null; units in fewer than SUPPORT of them, or below SURE, are chance. Also the units that
+    the same rule chooses without each fold."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             found = [[*count_units(t)[0]] for t in _texts(b)]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in categories], pa.array(found, pa.list_(pa.string()))], [*categories, "units"])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in (*categories, "fold")], pa.array(found, pa.list_(pa.string()))], [*categories, "fold", "units"])
 
-    held = rows.select("text", *categories).mapInArrow(distinct, ", ".join([*[f"{c} double" for c in categories], "units array<string>"]))
-    sums = [x for c in categories for x in (F.count(c).alias(f"n_{c}"), F.sum(c).alias(c))]
+    held = rows.select("text", *categories, "fold").mapInArrow(distinct, ", ".join([*[f"{c} double" for c in categories], "fold int", "units array<string>"]))
+    parts = [F.lit(True), *[F.col("fold") != f for f in range(FOLDS)]]
+    sums = [x for k, part in enumerate(parts) for c in categories for x in (F.count(F.when(part, F.col(c))).alias(f"n_{c}_{k}"), F.sum(F.when(part, F.col(c))).alias(f"{c}_{k}"))]
     total = rows.agg(*sums).first()
-    by_unit = held.select(F.explode("units").alias("unit"), *categories).groupBy("unit").agg(*sums)
-    chosen: dict[str, int] = {}
-    for c in categories:
-        yes, among, n = float(total[c] or 0), total[f"n_{c}"], F.col(f"n_{c}")
-        if not 0 < yes < among:
-            continue
-        chi = (F.col(c) * among - n * yes) ** 2 / (n * (among - n + 1.0)) * (among / (yes * (among - yes)))
-        for r in by_unit.where(n >= SUPPORT).where(chi >= SURE).orderBy(F.desc(chi), "unit").limit(UNITS).collect():
-            chosen.setdefault(r.unit, len(chosen))
-    return Vocabulary(chosen)
+    by_unit = table(held.select(F.explode("units").alias("unit"), *categories, "fold").groupBy("unit").agg(*sums).where(reduce(or_, [F.col(f"n_{c}_0") >= SUPPORT for c in categories])), "units")
+    chosen: list[dict[str, int]] = []
+    for k in range(len(parts)):
+        units: dict[str, int] = {}
+        for c in categories:
+            yes, among, n = float(total[f"{c}_{k}"] or 0), total[f"n_{c}_{k}"], F.col(f"n_{c}_{k}")
+            if not 0 < yes < among:
+                continue
+            chi = (F.col(f"{c}_{k}") * among - n * yes) ** 2 / (n * (among - n + 1.0)) * (among / (yes * (among - yes)))
+            for r in by_unit.where(n >= SUPPORT).where(chi >= SURE).orderBy(F.desc(chi), "unit").limit(UNITS).select("unit").collect():
+                units.setdefault(r.unit, len(units))
+        chosen.append(units)
+    return Vocabulary(chosen[0]), [[*units] for units in chosen[1:]]
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -119,20 +124,24 @@ def probability(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit_chain(x: np.ndarray, ys: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
+def fit_chain(x: np.ndarray, ys: np.ndarray, fold: np.ndarray, seen: Sequence[np.ndarray] | None = None) -> list[np.ndarray]:
     """A model per column of ys, fitted on the rows where it isn't NaN; without any its probability is 0. Each but the
     first sees, beside x, what earlier models say of a row when fitted without its fold, so that it learns from
-    guesses as good as those it will get."""
-    models = []
+    guesses as good as those it will get. seen: the columns of x that the models see, then those that were chosen without each
+    fold, which the guesses for that fold see."""
+    seen = seen or [np.arange(x.shape[1])] * (FOLDS + 1)
+    models, guesses = [], np.zeros((len(x), 0))
     for k in range(ys.shape[1]):
         y, known = ys[:, k], ~np.isnan(ys[:, k])
-        models = [*models, logistic(x[known], y[known]) if known.any() else np.append(np.zeros(x.shape[1]), -np.inf)]
+        own = np.hstack([x[:, seen[0]], guesses])
+        models.append(logistic(own[known], y[known]) if known.any() else np.append(np.zeros(own.shape[1]), -np.inf))
         guess = np.full(len(y), y[known].mean() if known.any() else 0.0)
         for f in range(FOLDS):
             others = known & (fold != f)
             if (fold == f).any() and others.any():
-                guess[fold == f] = probability(logistic(x[others], y[others]), x[fold == f])
-        x = np.hstack([x, guess[:, None]])
+                part = np.hstack([x[:, seen[f + 1]], guesses])
+                guess[fold == f] = probability(logistic(part[others], y[others]), part[fold == f])
+        guesses = np.hstack([guesses, guess[:, None]])
     return models
 
 
@@ -179,26 +188,29 @@ class Chain(NamedTuple):
 def fit_toxicity(docs: DataFrame, labels: DataFrame, chain: Sequence[tuple[str, int]] = CHAIN) -> Chain:
     """The chain, each link fitted on about TRAIN rows of docs that have its label, chosen by hash of those that
     aren't held out; so the driver sees TRAIN rows a link of 2 * UNITS numbers whatever the tables' sizes. A label
-    that is null doesn't count, others of its row do. Without labelled rows every probability is 0."""
+    that is null doesn't count, others of its row do. Without labelled rows every probability is below 1e-12."""
     categories = [c for c, _ in chain]
     known = labels.select("doc_id", *[(F.col(c) == yes).cast("double").alias(c) for c, yes in chain]).where(~held_out(F.col("doc_id"))).dropna("all", subset=categories).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
     n = known.agg(*[F.count(c).alias(c) for c in categories]).first()
     if max(n) > TRAIN:
         place = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20))
         known = known.where(reduce(or_, [F.col(c).isNotNull() & (place < int(min(1, TRAIN / max(n[c], 1)) * (1 << 20))) for c in categories]))
-    rows = table(docs.select("doc_id", "text").join(known, "doc_id"), "training")
-    vocabulary = choose_units(rows, categories)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
+    # About TRAIN rows a link, whatever the tables' sizes.
+    rows = table(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", *categories, fold), "training")
+    vocabulary, without = choose_units(rows, categories)
+    every = Vocabulary({u: k for k, u in enumerate(dict.fromkeys([*vocabulary.index, *[u for units in without for u in units]]))})
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x = pa.array([vocabulary.features(t).astype(np.float32).tobytes() for t in _texts(b)], pa.binary())
+            x = pa.array([every.features(t).astype(np.float32).tobytes() for t in _texts(b)], pa.binary())
             yield pa.RecordBatch.from_arrays([x, *[b.column(b.schema.get_field_index(c)) for c in (*categories, "fold")]], ["x", *categories, "fold"])
 
-    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
-    seen = rows.select("text", *categories, fold).mapInArrow(examples, ", ".join(["x binary", *[f"{c} double" for c in categories], "fold int"])).toPandas()
+    seen = rows.mapInArrow(examples, ", ".join(["x binary", *[f"{c} double" for c in categories], "fold int"])).toPandas()
     if len(seen):
         x = np.stack([np.frombuffer(v, dtype=np.float32) for v in seen.x]).astype(np.float64)
-        models = fit_chain(x, seen[categories].to_numpy(), seen.fold.to_numpy())
+        columns = [np.array([*[every.index[u] for u in units], len(every.index)]) for units in (vocabulary.index, *without)]
+        models = fit_chain(x, seen[categories].to_numpy(), seen.fold.to_numpy(), columns)
     else:
         models = [np.append(np.zeros(len(vocabulary.index) + 1 + k), -np.inf) for k in range(len(categories))]
     return Chain(tuple(categories), vocabulary, models)
