@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..storage import shared_dir
 
@@ -45,13 +46,15 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
-def row_keys(*columns: str, names: tuple[str, str] = ("k1", "k2")) -> list[Column]:
-    """128 bits under two names that tell rows apart by these columns; equal rows have equal keys."""
-    return [F.xxhash64(*columns).alias(names[0]), F.xxhash64(F.lit("row"), *reversed(columns)).alias(names[1])]
+def row_keys(*columns: Column | str) -> list[Column]:
+    """k1, k2: 128 bits that tell rows apart by these columns; equal rows have equal keys."""
+    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit("row"), *reversed(columns)).alias("k2")]
 
 
-#: Names for keys beside columns that a caller chose.
-OWN = ("_k1", "_k2")
+def whole_rows(df: DataFrame) -> DataFrame:
+    """row (all columns of df) and k1, k2: 128 bits that tell rows apart by all their columns, nulls included."""
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return df.select(F.struct(*own).alias("row"), *row_keys(*[x for c in own for x in (F.isnull(c), c)]))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -87,6 +90,11 @@ def reclaim(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def one_of_equal(rows: DataFrame) -> DataFrame:
+    """One of the rows (row, k1, k2, ...) with equal keys."""
+    return rows.withColumn("nth", F.row_number().over(W.partitionBy("k1", "k2").orderBy("k1"))).where("nth = 1")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the (u, v) edges can reach.
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import OWN, WORD, documents, release, row_keys, table
+from ..storage import rank_rows
+from .common import WORD, documents, one_of_equal, release, row_keys, table, whole_rows
 
 #: Weights of the sources in code-point order, repeating; share of all words; most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -24,22 +25,22 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     """skey, source_size, target of each source: weights share SHARE of all words, no target stands
     above MOST times its source's size, and what is cut off is shared again by weight.
 
-    Sharing the excess until none is above ends at one level t with target = min(cap, weight * t). In
-    the order of cap / weight, t is the level of the first source that stays below its cap.
+    Sharing the excess until none is above ends at one level t with target = min(cap, weight * t). Each round takes
+    the sources at their cap out and shares the rest anew; t only rises, so it ends after at most as many rounds as there are
+    ratios of cap and weight, in practice a few. A round is two sums over the sources.
     """
-    by_name = W.orderBy("none", "source")
-    n = F.row_number().over(by_name) - 1
-    rows = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (n % len(WEIGHTS) + 1).cast("int")).cast("double"))
-    rows = rows.withColumn("cap", F.lit(float(MOST)) * F.col("source_size"))
-    by_ratio = W.orderBy(F.col("cap") / F.col("weight"), "skey")
-    before = F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by_ratio.rowsBetween(0, W.unboundedFollowing))
-    whole = F.lit(SHARE) * F.sum("source_size").over(by_ratio.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    rows = rows.withColumn("level", (whole - before) / rest)
-    free = F.col("cap") >= F.col("weight") * F.col("level")
-    t = F.min(F.when(free, F.struct("place", "level"))).over(by_ratio.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))["level"]
-    rows = rows.withColumn("place", F.row_number().over(by_ratio))
-    return rows.select("skey", "source_size", F.coalesce(F.least(F.col("cap"), F.col("weight") * t), F.col("cap")).alias("target"))
+    named = rank_rows(sizes, "none", "source", name="place")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("place") - 1) % len(WEIGHTS) + 1).cast("int")).cast("double")
+    rows = table(named.select("skey", "source_size", weight.alias("weight"), (F.col("source_size") * MOST).alias("cap")), "weights")
+    total = rows.agg(F.sum("source_size")).first()[0] or 0.0
+    level, at_cap = 0.0, -1
+    while True:
+        full = F.col("cap") < F.col("weight") * F.lit(level)
+        r = rows.agg(F.count(F.when(full, 1)), F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(~full, F.col("weight")))).first()
+        if r[0] == at_cap or not r[2]:
+            break
+        at_cap, level = r[0], (SHARE * total - r[1]) / r[2]
+    return rows.select("skey", "source_size", F.least("cap", F.col("weight") * F.lit(level)).alias("target"))
 
 
 def _rate(dual: Column, size: Column) -> Column:
@@ -112,7 +113,7 @@ def round_copies(cells: DataFrame, duals: DataFrame) -> DataFrame:
 def _mixed(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2, size, source_size, target, copies of every row of docs (doc_id, source, text, k1, k2)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = table(docs.select("doc_id", "k1", "k2", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), size.alias("size"), F.xxhash64("doc_id").alias("h")), "sizes")
+    rows = table(docs.select("doc_id", "k1", "k2", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), size.alias("size"), F.xxhash64("doc_id", "k1").alias("h")), "sizes")
     cells = table(rows.groupBy("skey", "size").agg(F.count("*").alias("n"), F.first("source").alias("source")), "cells")
     sizes = cells.groupBy("skey").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).cast("double").alias("source_size")).withColumn("none", F.col("source").isNull())
     targets = table(source_targets(sizes), "targets")
@@ -123,7 +124,7 @@ def _mixed(docs: DataFrame) -> DataFrame:
     buckets = rows.groupBy(*cell, "bucket").count()
     buckets = buckets.withColumn("before", F.sum("count").over(W.partitionBy(*cell).orderBy("bucket")) - F.col("count"))
     buckets = buckets.join(copies.select(*cell, F.floor(F.col("copies") / F.col("n")).alias("each"), (F.col("copies") % F.col("n")).alias("extra")), cell).join(targets, "skey").drop("count")
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(*cell, "bucket").orderBy("h", "doc_id", "k1"))).join(buckets, [*cell, "bucket"])
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(*cell, "bucket").orderBy("h", "doc_id", "k1"))).join(buckets.hint("merge"), [*cell, "bucket"])
     many = F.col("each") + (F.col("before") + F.col("rank") <= F.col("extra")).cast("long")
     return ranked.select("doc_id", "k1", "k2", "size", F.col("source_size").cast("long").alias("source_size"), "target", many.alias("copies"))
 
@@ -140,13 +141,12 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def take_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; all columns stay."""
-    keyed = docs.select("*", *row_keys("doc_id", "text", "source", names=OWN))
-    mixed = _mixed(keyed.select("doc_id", "source", "text", F.col("_k1").alias("k1"), F.col("_k2").alias("k2")))
-    many = mixed.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    nth = F.row_number().over(W.partitionBy(*OWN).orderBy("_k1"))
-    once = keyed.join(many, [*OWN]).withColumn("_nth", nth).where("_nth = 1")
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it; all columns stay. Rows that agree in everything are told apart
+    by nothing: together they return as often as they are taken together."""
+    whole = whole_rows(docs)
+    mixed = _mixed(whole.select("row.doc_id", "row.source", "row.text", "k1", "k2"))
+    many = mixed.groupBy("k1", "k2").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    return one_of_equal(whole.join(many, ["k1", "k2"])).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

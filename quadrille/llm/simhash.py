@@ -10,10 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import OWN, components, documents, row_keys, slices, table, word_parts
+from .common import components, documents, one_of_equal, slices, table, whole_rows, word_parts
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Four blocks of 16 bits: fingerprints within two bits agree on two blocks at least.
@@ -111,17 +110,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near_duplicates: that of the smallest doc_id, null ids last, and of
-    equal rows one. All columns stay."""
-    rows = table(fingerprints(docs.select("doc_id", *row_keys("doc_id", "text"), "text")), "fingerprints")
-    return keep_least(docs, _groups(rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")))
+    """docs with one row of each group of near_duplicates: that of the smallest doc_id, null ids last. Rows that agree in
+    everything are one; of rows with one id, hashes of all columns choose. All columns stay."""
+    whole = whole_rows(docs)
+    rows = table(fingerprints(whole.select("row.doc_id", "k1", "k2", "row.text")), "fingerprints")
+    return keep_least(whole, _groups(rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")))
 
 
-def keep_least(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """The row of docs that is the least of each root in own (root, least: a struct that ends in its row keys k1, k2)."""
-    first = own.groupBy("root").agg(F.min("least").alias("one")).select(F.col("one.k1").alias("_k1"), F.col("one.k2").alias("_k2"))
-    kept = docs.select("*", *row_keys("doc_id", "text", names=OWN)).join(first, [*OWN], "left_semi")
-    return kept.withColumn("_nth", F.row_number().over(W.partitionBy(*OWN).orderBy("_k1"))).where("_nth = 1").select(*docs.columns)
+def keep_least(whole: DataFrame, own: DataFrame) -> DataFrame:
+    """The row of whole (whole_rows) that is the least of each root in own (root, least: a struct that ends in its keys)."""
+    first = own.groupBy("root").agg(F.min("least").alias("one")).select("one.k1", "one.k2")
+    return one_of_equal(whole.join(first, ["k1", "k2"], "left_semi")).select("row.*")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
