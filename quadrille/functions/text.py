@@ -34,7 +34,7 @@ def join_fields(*fields: Column) -> Column:
 
 
 def normalize_label(label: Column) -> Column:
-    return F.translate(F.translate(F.trim(F.lower(label)), "-", "_"), " ", "_")
+    return F.translate(F.translate(strip(F.lower(label)), "-", "_"), " ", "_")
 
 
 def label_name(label: Column, names: Sequence[str]) -> Column:
@@ -68,8 +68,7 @@ def parse_response(response: Column) -> Column:
     """struct(ok, reasoning, answer) of a judge's reply: the object from the first brace on, whatever stands
     around it. Both fields must be there with their own types, or ok is false."""
     body = F.substring(response, F.greatest(F.instr(response, "{"), F.lit(1)), F.length(response))
-    fields = F.from_json(body, "reasoning string, is_ab_less_than_cd string")
-    reason_is_text = F.regexp_like(body, F.lit(r'"reasoning"\s*:\s*"'))
-    flag_is_bare = F.regexp_like(body, F.lit(r'"is_ab_less_than_cd"\s*:\s*(true|false)\s*[,}]'))
-    ok = F.coalesce(fields["reasoning"].isNotNull() & reason_is_text & flag_is_bare, F.lit(False))
-    return F.struct(ok.alias("ok"), F.when(ok, fields["reasoning"]).alias("reasoning"), F.when(ok, fields["is_ab_less_than_cd"] == "true").alias("answer"))
+    fields = F.from_json(body, "reasoning variant, is_ab_less_than_cd variant")
+    said, flag = fields["reasoning"], fields["is_ab_less_than_cd"]
+    ok = F.coalesce((F.schema_of_variant(said) == "STRING") & (F.schema_of_variant(flag) == "BOOLEAN"), F.lit(False))
+    return F.struct(ok.alias("ok"), F.when(ok, F.try_variant_get(said, "$", "string")).alias("reasoning"), F.when(ok, F.try_variant_get(flag, "$", "boolean")).alias("answer"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Least normal half-precision number, the smallest divisor of a normalisation.
 TINY = 2.0**-14
+#: Greatest finite half-precision number.
+LARGEST = 65504.0
 _SPLIT = 2.0**42 + 1.0
 
 
@@ -14,6 +16,11 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
+def _there(total: Column) -> Column:
+    """A sum over two vectors, which is null where a component of either is."""
+    return F.coalesce(total, F.raise_error(F.lit("vectors are missing, unequal in length or hold nulls")).cast("double"))
+
+
 def as_double(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -27,8 +34,9 @@ def squared_norm(v: Column) -> Column:
 
 
 def squared_distance(a: Column, b: Column) -> Column:
-    """Sum of squared differences in doubles, from the first dimension on."""
-    return F.greatest(_total(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))), F.lit(0.0))
+    """Sum of squared differences in doubles, from the first dimension on. Vectors that are missing, unequal in length
+    or hold nulls are errors."""
+    return _there(_total(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))))
 
 
 def normalize(v: Column) -> Column:
@@ -38,10 +46,9 @@ def normalize(v: Column) -> Column:
 
 
 def half(x: Column) -> Column:
-    """x rounded to half precision (11 significant bits, subnormals in steps of 2^-24) as a double.
-    Numbers past its range are not made infinite."""
+    """x rounded to half precision (11 significant bits, subnormals in steps of 2^-24) as a double; infinite past its range."""
     wide = x * F.lit(_SPLIT)
-    return F.when(F.abs(x) >= TINY, wide - (wide - x)).otherwise(F.rint(x * F.lit(2.0**24)) / F.lit(2.0**24))
+    return F.when(F.abs(x) >= LARGEST + 16.0, F.signum(x) * float("inf")).when(F.abs(x) >= TINY, wide - (wide - x)).otherwise(F.rint(x * F.lit(2.0**24)) / F.lit(2.0**24))
 
 
 def half_vector(v: Column) -> Column:
@@ -53,7 +60,8 @@ def half_distance(a: Column, b: Column) -> Column:
     sums within norms and products taken wide."""
     a, b = half_vector(a), half_vector(b)
     both = half(half(squared_norm(a)) + half(squared_norm(b)))
-    return F.greatest(half(both - F.lit(2.0) * half(dot(a, b))), F.lit(0.0))
+    d = half(both - F.lit(2.0) * half(_there(dot(a, b))))
+    return F.when(d < 0, F.lit(0.0)).otherwise(d)
 
 
 def finite(v: Column) -> Column:

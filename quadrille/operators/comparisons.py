@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import half_distance, squared_distance
@@ -22,11 +22,11 @@ class Comparator(Protocol):
 
 
 def pair_distances(pairs: DataFrame, items: DataFrame, profile: str = "f64") -> DataFrame:
-    """pairs (left_id, right_id) with their distance d; an id without vector drops out."""
+    """pairs (left_id, right_id) with their distance d; an id without vector is an error."""
     distance = PROFILES[profile]
     left = items.select(F.col("id").alias("left_id"), F.col("embedding").alias("_a"))
     right = items.select(F.col("id").alias("right_id"), F.col("embedding").alias("_b"))
-    return pairs.join(left, "left_id").join(right, "right_id").withColumn("d", distance(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    return pairs.join(left, "left_id", "left").join(right, "right_id", "left").withColumn("d", distance(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
 def distance_matrix(left: DataFrame, right: DataFrame, profile: str = "f64") -> DataFrame:
@@ -38,7 +38,8 @@ def distance_matrix(left: DataFrame, right: DataFrame, profile: str = "f64") ->
 
 
 class VectorComparator:
-    """Answers from vectors of a table (id, embedding)."""
+    """Answers from vectors of a table (id, embedding). An id without vector is an error. The distances are kept, and reasoning
+    says them."""
 
     def __init__(self, items: DataFrame, profile: str = "f64") -> None:
         self.items, self.distance = items.select("id", "embedding"), PROFILES[profile]
@@ -46,9 +47,15 @@ class VectorComparator:
     def compare(self, quads: DataFrame) -> DataFrame:
         out = quads
         for c in "abcd":
-            out = out.join(self.items.select(F.col("id").alias(c), F.col("embedding").alias(f"_{c}")), c)
+            out = out.join(self.items.select(F.col("id").alias(c), F.col("embedding").alias(f"_{c}")), c, "left")
         out = out.withColumn("d_ab", self.distance(F.col("_a"), F.col("_b"))).withColumn("d_cd", self.distance(F.col("_c"), F.col("_d")))
-        return out.drop("_a", "_b", "_c", "_d").withColumn("answer", F.col("d_ab") < F.col("d_cd"))
+        said = F.concat(F.lit("distances "), F.col("d_ab").cast("string"), F.lit(" and "), F.col("d_cd").cast("string"))
+        return out.drop("_a", "_b", "_c", "_d").withColumn("answer", F.col("d_ab") < F.col("d_cd")).withColumn("reasoning", said)
+
+
+def closer(comparator: Comparator, spark: SparkSession, a: str, b: str, c: str, d: str) -> bool:
+    """One question, one answer: whether a and b are closer than c and d."""
+    return comparator.compare(spark.createDataFrame([(a, b, c, d)], "a string, b string, c string, d string")).select("answer").first()[0]
 
 
 def grouped_majority(answers: DataFrame, invert: str | None = None) -> DataFrame:

@@ -54,9 +54,8 @@ def non_sample(active: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
 
 def edge_order(one: DataFrame, two: DataFrame) -> DataFrame:
     """s, v, d, xr: edges between the samples, nearest first, ties in the order of the samples. Their number
-    depends on k only."""
-    found = edges(one, two)
-    return found.select(F.col("left_id").alias("s"), F.col("right_id").alias("v"), "d", F.row_number().over(W.orderBy("d", "left_p", "right_p")).alias("xr"))
+    depends on k only, but on its square; so they are ranked by ranges."""
+    return rank_rows(edges(one, two), "d", "left_p", "right_p", name="xr").select(F.col("left_id").alias("s"), F.col("right_id").alias("v"), "d", "xr")
 
 
 def _ranked(ordered: DataFrame) -> DataFrame:
@@ -181,9 +180,9 @@ def test_edges(found: DataFrame, test: EdgeTest) -> DataFrame:
 
 def sort_edges(one: DataFrame, candidates: DataFrame, test: EdgeTest, seed: int, node: int = NODE) -> DataFrame:
     """s, v, ord: edges of samples to candidates in the order of a quicksort by the test, which isn't transitive, so the
-    order depends on pivots; these follow a hash of seed and edge. Nodes of more than `node` edges are split by
-    one distributed pass a level; smaller ones are finished within tasks."""
-    rows = one.select(F.col("id").alias("s")).crossJoin(candidates.select(F.col("id").alias("v")))
+    order depends on pivots: of a node's edges the one with the least hash of seed and edge. Nodes of more than `node` edges are
+    split by one distributed pass a level, smaller ones are finished within tasks, in the same order."""
+    rows = one.select(F.col("id").alias("s")).crossJoin(candidates.select(F.col("id").alias("v"))).withColumn("h", F.xxhash64(F.lit(seed), "s", "v"))
     vectors = candidates.select(F.col("id").alias("v"), "embedding")
     n = rows.count()
     live = rows.withColumn("lo", F.lit(0).cast("long")).withColumn("hi", F.lit(n).cast("long"))
@@ -194,28 +193,26 @@ def sort_edges(one: DataFrame, candidates: DataFrame, test: EdgeTest, seed: int,
         live = live.where(large)
         if not live.limit(1).count():
             break
-        pivots = live.groupBy("lo").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "lo", "s", "v").alias("h"), F.col("s").alias("pivot_s"), F.col("v").alias("pivot_v"))).alias("p")).select("lo", "p.pivot_s", "p.pivot_v")
+        pivots = live.groupBy("lo").agg(F.min(F.struct("h", F.col("s").alias("pivot_s"), F.col("v").alias("pivot_v"))).alias("p")).select("lo", "p.pivot_s", "p.pivot_v")
         pivots = pivots.join(vectors.withColumnRenamed("embedding", "pivot"), pivots.pivot_v == vectors.v).drop("v")
         tested = table(test_edges(live.join(pivots, "lo").join(vectors, "v"), test).withColumn("own", (F.col("s") == F.col("pivot_s")) & (F.col("v") == F.col("pivot_v"))), "level")
         mid = tested.where("less AND NOT own").groupBy("lo").count().withColumnRenamed("count", "less_n")
         split = tested.join(mid, "lo", "left").withColumn("at", F.col("lo") + F.coalesce("less_n", F.lit(0)))
         done.append(split.where("own").select("s", "v", F.col("at").alias("ord")))
         below = F.col("less")
-        live = table(split.where("NOT own").select("s", "v", F.when(below, F.col("lo")).otherwise(F.col("at") + 1).alias("lo"), F.when(below, F.col("at")).otherwise(F.col("hi")).alias("hi")), "level")
+        live = table(split.where("NOT own").select("s", "v", "h", F.when(below, F.col("lo")).otherwise(F.col("at") + 1).alias("lo"), F.when(below, F.col("at")).otherwise(F.col("hi")).alias("hi")), "level")
 
     def finish(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["v", "s"], kind="stable").reset_index(drop=True)
+        f = f.sort_values(["h", "s", "v"], kind="stable").reset_index(drop=True)
         s, x = f["s"].map(test.s).to_numpy(), _matrix(f["embedding"])
         d, own = ((test.s_vectors[s] - x) ** 2).cumsum(axis=1)[:, -1], test.distances(x, test.vectors)
-        rng = np.random.default_rng([seed, int(f["lo"].iat[0])])
         place, todo = np.empty(len(f), dtype=np.int64), [(np.arange(len(f)), 0)]
         while todo:
             at, low = todo.pop()
             if len(at) < 2:
                 place[at] = low
                 continue
-            i = int(rng.integers(len(at)))
-            p, rest = at[i], np.delete(at, i)
+            p, rest = at[0], at[1:]
             less = test.before(s[rest], own[rest], d[rest], int(s[p]), own[p], float(d[p]))
             place[p] = low + int(less.sum())
             todo += [(rest[less], low), (rest[~less], int(place[p]) + 1)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -37,6 +38,15 @@ class OfflineModel:
         return out
 
 
+def usable(response: str | None) -> bool:
+    """Whether parse_response() takes the reply: an object with a text and a truth value under the two names."""
+    try:
+        found, _ = json.JSONDecoder().raw_decode(response[response.index("{") :])
+    except (ValueError, AttributeError, TypeError):
+        return False
+    return isinstance(found.get("reasoning"), str) and isinstance(found.get("is_ab_less_than_cd"), bool)
+
+
 def with_key(quads: DataFrame) -> DataFrame:
     return quads.withColumn("key", cache_key(F.col("a"), F.col("b"), F.col("c"), F.col("d")))
 
@@ -60,7 +70,7 @@ def ask(questions: DataFrame, model: Callable[[], ChatModel], *, batch: int = 16
                 messages = [[{"role": m["role"], "content": m["content"]} for m in x] for x in part["messages"]]
                 for turn in range(retries + 1):
                     answers = client.generate(messages)
-                    if len(answers) == len(messages) and all(a and "{" in a for a in answers):
+                    if len(answers) == len(messages) and all(map(usable, answers)):
                         break
                     if turn == retries:
                         raise RuntimeError("the model gave no usable answers")
@@ -79,6 +89,14 @@ def cached_compare(quads: DataFrame, model: Callable[[], ChatModel], cache: Data
     return keyed.join(known, "key"), new
 
 
+def cache_counts(keyed: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """One row: of quads with key, how many the cache answers (hits), how many it doesn't (misses), and how many different
+    questions these are (asked)."""
+    known = F.lit(False) if cache is None else F.col("known").isNotNull()
+    rows = keyed.select("key") if cache is None else keyed.select("key").join(cache.select("key", F.lit(1).alias("known")), "key", "left")
+    return rows.agg(F.count_if(known).alias("hits"), F.count_if(~known).alias("misses"), F.count_distinct(F.when(~known, F.col("key"))).alias("asked"))
+
+
 def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     """The cache with what it didn't know; the first answer of a key stays."""
     return cache.unionByName(new.join(cache.select("key"), "key", "left_anti"))

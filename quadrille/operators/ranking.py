@@ -9,12 +9,11 @@ from pyspark.sql import Window as W
 from ..storage import rank_rows
 from .comparisons import PROFILES
 
-_MODULUS = 1 << 31
-
 
 def shuffled(pos: Column, seed: int) -> Column:
-    """A number that puts places in a seeded order, the same on every engine: a linear congruence of pos."""
-    return F.pmod(F.pmod(pos, F.lit(_MODULUS)) * 1103515245 + (12345 + 7919 * seed), F.lit(_MODULUS))
+    """What puts places in a seeded order, the same on every engine: a digest of seed and place, so that two seeds give
+    orders that have nothing to do with each other."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), pos.cast("string")))
 
 
 def sample(rows: DataFrame, n: int, seed: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import text as X
 from ..functions import vectors as E
 from ..operators import assign, comparisons, judge, kmeans, metrics, ranking
 from ..sources.text_rows import first_by_text, text_rows, with_vectors
+from ..storage import shared_dir
 from .fixtures import ANCHOR, ASSIGNED, K, SEED, VIEW, T, V, centers, dist, half_sql, key_sql, norm2, query, sample_sql
 
 # --- Sources and expressions -----------------------------------------------------------------------------
@@ -53,11 +56,10 @@ def dedup_text(spark: SparkSession, d: str) -> DataFrame:
     return first_by_text(docs).select(F.md5("text").alias("text_md5"), "pos", "source")
 
 
-@query(f"{VIEW} SELECT a.id, a.pos, a.e[1]::DOUBLE AS x0 FROM v a WHERE a.pos % 3 = 0")
+@query(f"{VIEW} SELECT a.id, a.pos, a.e[1]::DOUBLE AS x0 FROM v a")
 def text_to_vector_join(spark: SparkSession, d: str) -> DataFrame:
     rows = V(spark, d)
-    wanted = rows.where(F.col("pos") % 3 == 0).select("id", "pos")
-    return with_vectors(wanted, rows, "id").select("id", "pos", F.col("embedding")[0].cast("double").alias("x0"))
+    return with_vectors(rows.select("id", "pos"), rows, "id").select("id", "pos", F.col("embedding")[0].cast("double").alias("x0"))
 
 
 @query(f"{VIEW} SELECT id, round(e[1]::DOUBLE / greatest(sqrt({norm2('e')}), 0.00006103515625), 6) AS x0, round(e[64]::DOUBLE / greatest(sqrt({norm2('e')}), 0.00006103515625), 6) AS x63 FROM v")
@@ -271,15 +273,16 @@ def kmeans_cluster(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    """Quadruplets of short texts, most of them asked more than once and in either order within a pair."""
-    t = T(spark, d).select("doc_id", F.regexp_replace(F.substring("text", 1, 24), "\n", " ").alias("x"), (F.col("doc_id") % 5).alias("m"))
-    return t.select("doc_id", F.when(F.col("m") < 2, F.col("x")).otherwise(F.lit("alpha")).alias("a"), F.when(F.col("m") < 2, F.lit("b\"eta")).otherwise(F.col("m").cast("string")).alias("b"), F.when(F.col("doc_id") % 2 == 0, F.lit("gamma")).otherwise(F.lit("delté")).alias("c"), F.when(F.col("doc_id") % 2 == 0, F.lit("delté")).otherwise(F.lit("gamma")).alias("d"))
+    """Quadruplets of the whole texts of all documents; copies ask the same again, in either order within a pair."""
+    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("x"), F.coalesce("lang", F.lit("")).alias("y"))
+    one, two = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0
+    beta, gamma = F.lit("b\"eta"), F.lit("gammé")
+    return t.select("doc_id", F.when(one, F.col("x")).otherwise(beta).alias("a"), F.when(one, beta).otherwise(F.col("x")).alias("b"), F.when(two, F.col("y")).otherwise(gamma).alias("c"), F.when(two, gamma).otherwise(F.col("y")).alias("d"))
 
 
-_Q = """t AS (SELECT doc_id, replace(substring(text, 1, 24), chr(10), ' ') AS x, doc_id % 5 AS m FROM documents JOIN labels USING (doc_id)),
-q AS (SELECT doc_id, CASE WHEN m < 2 THEN x ELSE 'alpha' END AS a, CASE WHEN m < 2 THEN 'b"eta' ELSE m::VARCHAR END AS b, CASE WHEN doc_id % 2 = 0 THEN 'gamma' ELSE 'delté' END AS c, CASE WHEN doc_id % 2 = 0 THEN 'delté' ELSE 'gamma' END AS d FROM t),
+_Q = """t AS (SELECT doc_id, coalesce(text, '') AS x, coalesce(lang, '') AS y FROM documents),
+q AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN x ELSE 'b"eta' END AS a, CASE WHEN doc_id % 2 = 0 THEN 'b"eta' ELSE x END AS b, CASE WHEN doc_id % 3 = 0 THEN y ELSE 'gammé' END AS c, CASE WHEN doc_id % 3 = 0 THEN 'gammé' ELSE y END AS d FROM t),
 k AS (SELECT *, '{"a": ' || to_json(least(a, b))::VARCHAR || ', "b": ' || to_json(greatest(a, b))::VARCHAR || ', "c": ' || to_json(least(c, d))::VARCHAR || ', "d": ' || to_json(greatest(c, d))::VARCHAR || ', "version": 1}' AS key FROM q)"""
-_LENGTHS = "abs(length(a) - length(b)) < abs(length(c) - length(d))"
 
 
 @query(f"WITH {_Q} SELECT doc_id, key FROM k")
@@ -294,8 +297,13 @@ def oracle_dedup_fanout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cache(keyed: DataFrame) -> DataFrame:
-    """A cache that knows every third question."""
-    return keyed.groupBy("key").agg(F.min("doc_id").alias("one")).where(F.col("one") % 3 == 0).select("key", F.lit("known").alias("reasoning"), (F.col("one") % 2 == 0).alias("answer"))
+    """A cache file, written in two turns, that knows about every third question."""
+    spark = keyed.sparkSession
+    path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    known = keyed.groupBy("key").agg(F.min("doc_id").alias("one")).where(F.col("one") % 3 == 0).select("key", F.lit("known").alias("reasoning"), (F.col("one") % 2 == 0).alias("answer"))
+    for turn in range(2):
+        judge.append_to_cache(path, known.where(F.pmod(F.xxhash64("key"), F.lit(2)) <= turn))
+    return spark.read.parquet(path)
 
 
 _CACHE = "h AS (SELECT key, 'known' AS reasoning, min(doc_id) % 2 = 0 AS answer FROM k GROUP BY 1 HAVING min(doc_id) % 3 = 0)"
@@ -330,8 +338,8 @@ def oracle_parse(spark: SparkSession, d: str) -> DataFrame:
     return events.select("event_id", X.parse_response(said).alias("p")).select("event_id", "p.ok", "p.reasoning", "p.answer")
 
 
-@query(f"""WITH {_Q}, {_CACHE}, o AS (SELECT key, min(a) AS a, min(b) AS b, min(c) AS c, min(d) AS d FROM k GROUP BY 1)
-SELECT k.doc_id, coalesce(h.reasoning, 'by length') AS reasoning, coalesce(h.answer, (SELECT abs(length(o.a) - length(o.b)) < abs(length(o.c) - length(o.d)) FROM o WHERE o.key = k.key)) AS answer FROM k LEFT JOIN h USING (key)""")
+@query(f"""WITH {_Q}, {_CACHE}, o AS (SELECT DISTINCT key, abs(length(a) - length(b)) < abs(length(c) - length(d)) AS answer FROM k)
+SELECT k.doc_id, coalesce(h.reasoning, 'by length') AS reasoning, coalesce(h.answer, o.answer) AS answer FROM k JOIN o USING (key) LEFT JOIN h USING (key)""")
 def oracle_cached_compare(spark: SparkSession, d: str) -> DataFrame:
     quads = _questions(spark, d)
     found, _ = judge.cached_compare(quads, judge.OfflineModel, _cache(judge.with_key(quads)))

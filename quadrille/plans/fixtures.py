@@ -59,7 +59,7 @@ def half_sql(x: str) -> str:
 
 
 def key_sql(pos: str, seed: int) -> str:
-    return f"(({pos} % 2147483648) * 1103515245 + {12345 + 7919 * seed}) % 2147483648"
+    return f"md5('{seed}:' || {pos})"
 
 
 def sample_sql(name: str, source: str, n: str, seed: int) -> str:

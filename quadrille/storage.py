@@ -40,7 +40,7 @@ def rank_rows(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFr
     Rows are dealt out by ranges of the order and numbered within their partition; sizes of the
     partitions before give the rest. The order must be total, or the places of tied rows are undefined.
     """
-    dealt = table(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranks")
-    part = F.shiftright("_at", 33)
-    before = dealt.groupBy(part.alias("_part")).count().withColumn("_before", F.sum("count").over(W.orderBy("_part")) - F.col("count")).drop("count")
-    return dealt.withColumn("_part", part).join(before, "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_before", "_at")
+    dealt = table(df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")), "ranks")
+    part = F.shiftright("at", 33)
+    before = dealt.groupBy(part.alias("part")).count().withColumn("before", F.sum("count").over(W.orderBy("part")) - F.col("count")).drop("count")
+    return dealt.withColumn("part", part).join(before, "part").select("row.*", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))

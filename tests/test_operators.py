@@ -1,6 +1,7 @@
 """Edge rules of the operators, by hand and by chance."""
 
 import json
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -333,3 +334,92 @@ def test_the_library_stands_without_the_llm_folders():
 
     code = "import sys; sys.modules['quadrille.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and not [q for q in e.queries() if q.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+# --- Sampling, vectors that can't be compared, judgements ------------------------------------------------------
+
+
+def test_seeds_give_unrelated_samples(spark):
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.col("id").alias("pos"))
+    drawn = [{r.id for r in ranking.sample(rows, 200, s).collect()} for s in (0, 1, 2, 5, 50)]
+    shared = [len(a & b) for i, a in enumerate(drawn) for b in drawn[:i]]
+    assert all(len(x) == 200 for x in drawn) and max(shared) < 45 and 12 < sum(shared) / len(shared) < 28
+    assert drawn[0] == {r.id for r in ranking.sample(rows.repartition(7), 200, 0).collect()}
+
+
+@pytest.mark.parametrize("other", [None, [1.0, 2.0], [1.0, None, 3.0]])
+def test_vectors_that_cannot_be_compared_are_errors(spark, other):
+    rows = spark.createDataFrame([("0", 0, "x", [1.0, 2.0, 3.0]), ("1", 1, "y", other)], "id string, pos long, label_name string, embedding array<float>")
+    for profile in ("f64", "f16"):
+        with pytest.raises(Exception, match="unequal in length"):
+            ranking.rank_by_anchor(rows, "0", profile).collect()
+
+
+def test_unknown_ids_are_errors(spark):
+    items = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "id string, embedding array<float>")
+    comparator = comparisons.VectorComparator(items)
+    assert comparisons.closer(comparator, spark, "a", "a", "a", "b") and not comparisons.closer(comparator, spark, "a", "b", "a", "b")
+    with pytest.raises(Exception, match="missing"):
+        comparisons.closer(comparator, spark, "a", "b", "a", "z")
+    with pytest.raises(Exception, match="missing"):
+        comparisons.pair_distances(spark.createDataFrame([("a", "z")], "left_id string, right_id string"), items).collect()
+    said = comparator.compare(spark.createDataFrame([("a", "b", "a", "a")], "a string, b string, c string, d string")).first()
+    assert said.reasoning == "distances 1.0 and 0.0"
+
+
+def test_half_precision_overflows(spark):
+    got = [r[0] for r in spark.createDataFrame([(65504.0,), (65519.0,), (65520.0,), (-1e9,)], "x double").select(E.half(F.col("x"))).collect()]
+    assert got == [65504.0, 65504.0, float("inf"), float("-inf")]
+
+
+def test_labels_lose_white_space_of_all_kinds(spark):
+    assert spark.createDataFrame([("\tOut-Of Scope\n",)], "x string").select(X.normalize_label(F.col("x"))).first()[0] == "out_of_scope"
+
+
+def test_judgements_have_their_own_types(spark):
+    """Nested objects and text behind the object don't lend their types."""
+    cases = {
+        'x {"reasoning": "a", "is_ab_less_than_cd": true} tail': True,
+        '{"o": {"is_ab_less_than_cd": true}, "reasoning": "r", "is_ab_less_than_cd": "true"}': False,
+        '{"reasoning": "r", "is_ab_less_than_cd": "true"} "is_ab_less_than_cd": true}': False,
+        '{"reasoning": 5, "is_ab_less_than_cd": false}': False,
+        '{"reasoning": "a", "is_ab_less_than_cd": true': False,
+        "none": False,
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "s string").select("s", X.parse_response(F.col("s")).alias("p")).collect()
+    assert {r.s: r.p.ok for r in rows} == cases and all(judge.usable(c) == ok for c, ok in cases.items())
+
+
+def test_malformed_judgements_are_asked_again(spark, tmp_path):
+    class Flaky:
+        def __init__(self):
+            self.turn = 0
+
+        def generate(self, messages):
+            self.turn += 1
+            return ['{"reasoning": "r", "is_ab_less_than_cd": "tr' if self.turn == 1 else '{"reasoning": "r", "is_ab_less_than_cd": true}'] * len(messages)
+
+    quads = spark.createDataFrame([("a", "b", "c", "d")] * 3, "a string, b string, c string, d string")
+    found, new = judge.cached_compare(quads, Flaky)
+    assert [r.answer for r in found.collect()] == [True] * 3 and new.count() == 1
+    counts = judge.cache_counts(judge.with_key(quads.unionByName(quads.withColumn("a", F.lit("z")))), new).first()
+    assert (counts.hits, counts.misses, counts.asked) == (3, 3, 1)
+
+
+def test_order_of_edges_is_the_same_at_any_node_size(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(str(i), i, f"l{i % 3}", rng.normal(size=4).tolist()) for i in range(160)], "id string, pos long, label_name string, embedding array<double>")
+    sizes = coreset.round_sizes(160, 2)
+    one, two = coreset.samples(rows, sizes, 0)
+    ordered = coreset.edge_order(one, two).cache()
+    kernel = coreset.kernels(ordered, sizes)
+    test = coreset.edge_test(one, kernel, coreset.core_prime(one, kernel, sizes), rows)
+    rest = coreset.non_sample(rows, one, two).select("id", "pos", "embedding").limit(30)
+    found = [Counter(map(tuple, coreset.sort_edges(one, rest, test, 1, node).select("s", "v", "ord").collect())) for node in (1_000_000, 40)]
+    assert found[0] == found[1] and sorted(o for _, _, o in found[0]) == list(range(len(found[0])))
+
+
+def test_names_are_found_at_the_package():
+    import quadrille
+
+    assert all(callable(getattr(quadrille, n)) or n.isupper() for n in quadrille.__all__) and "rank_by_anchor" in dir(quadrille)
