@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, reclaim, row_keys, slices, table
+from .common import documents, reclaim, release, row_keys, slices, table
 
-#: Bytes of a match, and of an anchor's gram. A string of MATCH bytes holds AROUND more than the gram.
+#: Bytes of a match, and of an anchor's gram.
 MATCH, GRAM = 400, 32
-AROUND = MATCH - GRAM
+#: A passage: bytes of strings that are looked for in other texts, and words that a run of them has at least.
+PASSAGE, WORDS = 256, 51
 #: Stretches that one gram may bring into a batch; bytes of a batch; bytes that are hashed at once.
 CROWD, BATCH, CHUNK = 8192, 1 << 21, 1 << 18
 
@@ -65,15 +66,15 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(back[:m], ahead[n - 1 : n - 1 + m])
 
 
-def _select(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Anchors of texts laid end to end: places, hashes, and the starts of the first and the last string of MATCH bytes that
+def _select(data: np.ndarray, ends: np.ndarray, match: int) -> list[np.ndarray]:
+    """Anchors of texts laid end to end: places, hashes, and the starts of the first and the last string of `match` bytes that
     each is the anchor of. The anchor of a string is its first gram of least hash. No string reaches across an end."""
-    if len(data) < MATCH:
+    if len(data) < match:
         return [np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.int64, np.int64)]
     grams = gram_hashes(data)
-    at = (_sliding_min((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), AROUND + 1) & _LOW).astype(np.int64)
+    at = (_sliding_min((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), match - GRAM + 1) & _LOW).astype(np.int64)
     for e in ends[:-1]:
-        at[max(0, e - MATCH + 1) : e] = -1
+        at[max(0, e - match + 1) : e] = -1
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:], [len(at)]]) - 1
     place = at[first]
@@ -81,7 +82,7 @@ def _select(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     return [x[own] for x in (place, grams[place], first, last)]
 
 
-def _settle(data: bytes, found: list[np.ndarray]) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+def _settle(data: bytes, found: list[np.ndarray], match: int) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
     """What a text repeats within itself: the anchors with the strings that hadn't been there before, and the runs of bytes
     of strings that are there again. Hashes propose, bytes decide."""
     place, grams, first, last = found
@@ -92,7 +93,7 @@ def _settle(data: bytes, found: list[np.ndarray]) -> tuple[list[np.ndarray], lis
     sizes = (last - first + 1)[again]
     owner = np.repeat(again, sizes)
     start = np.arange(int(sizes.sum())) + np.repeat(first[again] - (np.cumsum(sizes) - sizes), sizes)
-    hashes = gram_hashes(np.frombuffer(data, dtype=np.uint8), MATCH)[start]
+    hashes = gram_hashes(np.frombuffer(data, dtype=np.uint8), match)[start]
     order = np.argsort(hashes, kind="stable")
     same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
     before = np.full(len(start), -1, dtype=np.int64)
@@ -101,14 +102,14 @@ def _settle(data: bytes, found: list[np.ndarray]) -> tuple[list[np.ndarray], lis
     s, f = start[later], before[later]
     cuts = np.flatnonzero(np.concatenate([[True], (np.diff(s) != 1) | (np.diff(f) != 1)])) if len(s) else np.zeros(0, dtype=np.int64)
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(s)]):
-        n = b - a - 1 + MATCH
+        n = b - a - 1 + match
         if data[s[a] : s[a] + n] != data[f[a] : f[a] + n]:
             before[later[a:b]] = -1
     later = before >= 0
     found_at = np.zeros(len(data) + 2, dtype=bool)
     found_at[start[later] + 1] = found_at[before[later] + 1] = True
     edges = np.flatnonzero(found_at[1:] != found_at[:-1])
-    runs = [(lo, hi - 1 + MATCH) for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist())]
+    runs = [(lo, hi - 1 + match) for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist())]
     new = np.flatnonzero(~later)
     kept, at = np.unique(owner[new], return_index=True)
     first, last = first.copy(), last.copy()
@@ -119,28 +120,28 @@ def _settle(data: bytes, found: list[np.ndarray]) -> tuple[list[np.ndarray], lis
     return [x[stay] for x in (place, grams, first, last)], runs
 
 
-def anchors(texts: list[bytes]) -> Iterator[tuple[int, list[np.ndarray], list[tuple[int, int]]]]:
-    """(index, anchors, repeated runs) for texts of MATCH bytes or more. Short ones are hashed together. A long one is cut into
+def anchors(texts: list[bytes], match: int = MATCH) -> Iterator[tuple[int, list[np.ndarray], list[tuple[int, int]]]]:
+    """(index, anchors, repeated runs) for texts of `match` bytes or more. Short ones are hashed together. A long one is cut into
     pieces of CHUNK strings, so that memory follows CHUNK; a string is in one piece only."""
     group: list[int] = []
     size = 0
 
     def flush() -> Iterator[tuple[int, list[np.ndarray], list[tuple[int, int]]]]:
         ends = np.cumsum([len(texts[i]) for i in group])
-        found = _select(np.frombuffer(b"".join([texts[i] for i in group]), dtype=np.uint8), ends)
+        found = _select(np.frombuffer(b"".join([texts[i] for i in group]), dtype=np.uint8), ends, match)
         cuts = [0, *np.searchsorted(found[0], ends).tolist()]
         for k, i in enumerate(group):
             begin = ends[k] - len(texts[i])
             own = [x[cuts[k] : cuts[k + 1]] for x in found]
-            yield i, *_settle(texts[i], [own[0] - begin, own[1], own[2] - begin, own[3] - begin])
+            yield i, *_settle(texts[i], [own[0] - begin, own[1], own[2] - begin, own[3] - begin], match)
 
     for i, text in enumerate(texts):
-        if len(text) < MATCH:
+        if len(text) < match:
             continue
         if len(text) > CHUNK:
-            for start in range(0, len(text) - MATCH + 1, CHUNK):
-                piece = text[start : start + CHUNK + MATCH - 1]
-                (place, grams, first, last), runs = _settle(piece, _select(np.frombuffer(piece, dtype=np.uint8), np.array([len(piece)])))
+            for start in range(0, len(text) - match + 1, CHUNK):
+                piece = text[start : start + CHUNK + match - 1]
+                (place, grams, first, last), runs = _settle(piece, _select(np.frombuffer(piece, dtype=np.uint8), np.array([len(piece)]), match), match)
                 yield i, [place + start, grams, first + start, last + start], [(lo + start, hi + start) for lo, hi in runs]
             continue
         group.append(i)
@@ -156,7 +157,7 @@ MARK, PIECE = "k1 long, k2 long, lo int, hi int", "file long, k1 long, k2 long,
 OCCURRENCE = "k1 long, k2 long, gram long, around long, place int, lo int, hi int"
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _occurrences(batches: Iterator[pa.RecordBatch], match: int) -> Iterator[pa.RecordBatch]:
     """For each anchor: its text's key, its gram, where the stretch of its strings is, and a hash of that. Rows without
     a gram are runs that a text repeats within itself."""
     names = [c.split()[0] for c in OCCURRENCE.split(", ")]
@@ -171,8 +172,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t.as_py() or b"" for t in batch.column(2).cast(pa.binary())]
         k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
         rows, held = [], 0
-        for i, (place, grams, first, last), runs in anchors(texts):
-            text, hi = texts[i], last + MATCH
+        for i, (place, grams, first, last), runs in anchors(texts, match):
+            text, hi = texts[i], last + match
             around = [digest(text[a:b], p - a) for a, b, p in zip(first.tolist(), hi.tolist(), place.tolist())]
             lo, end = np.array(runs, dtype=np.int64).reshape(-1, 2).T
             n, zero = len(place) + len(runs), np.zeros(len(runs), dtype=np.int64)
@@ -264,9 +265,10 @@ def matching_statistics(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats(pieces: list[tuple[object, int, bytes]]) -> list[tuple[object, int, int]]:
-    """(key, start, end) of runs of bytes covered by strings of MATCH bytes that start at two places of the pieces
+def repeats(pieces: list[tuple[object, int, bytes]], match: int | None = None) -> list[tuple[object, int, int]]:
+    """(key, start, end) of runs of bytes covered by strings of `match` bytes (MATCH) that start at two places of the pieces
     (key of a text, place in it, bytes). Pieces of one text that overlap are one segment: a place is there once."""
+    match = match or MATCH
     segments: list[list] = []
     for key, lo, data in sorted(pieces, key=lambda p: (p[0], p[1], -len(p[2]))):
         if segments and segments[-1][0] == key and lo <= segments[-1][1] + len(segments[-1][2]):
@@ -282,23 +284,23 @@ def repeats(pieces: list[tuple[object, int, bytes]]) -> list[tuple[object, int,
         text[at : at + len(data)] = np.frombuffer(bytes(data), dtype=np.uint8)
         text[at : at + len(data)] += 1
         left[at : at + len(data) + 1] = np.arange(len(data), -1, -1)
-    found = np.concatenate([[False], matching_statistics(text, left) >= MATCH, [False]])
+    found = np.concatenate([[False], matching_statistics(text, left) >= match, [False]])
     edges = np.flatnonzero(found[1:] != found[:-1])
     out = []
     for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
         k = int(np.searchsorted(begin, s, side="right")) - 1
         key, lo, _ = segments[k]
-        out.append((key, lo + s - int(begin[k]), lo + e - 1 + MATCH - int(begin[k])))
+        out.append((key, lo + s - int(begin[k]), lo + e - 1 + match - int(begin[k])))
     return out
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch], match: int) -> Iterator[pa.RecordBatch]:
     """Marks from rows (file, k1, k2, lo, data) in the order of file; a batch holds whole files."""
     held: list[tuple] = []
     size, last = 0, None
 
     def marks() -> pa.RecordBatch:
-        found = repeats(held)
+        found = repeats(held, match)
         columns = [[k[0] for k, _, _ in found], [k[1] for k, _, _ in found], [s for _, s, _ in found], [e for _, _, e in found]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["k1", "k2", "lo", "hi"])
 
@@ -339,24 +341,25 @@ def _cut_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["file", "k1", "k2", "lo", "at", "data", "m"])
 
 
-def _split(pieces: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+def _split(pieces: DataFrame, match: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """(pieces by file, with no crowded file; marks found on the way) of the pieces of crowded files.
 
-    A crowded file is split by what stands next to the gram. Two pieces that match with the gram at one place of MATCH
+    A crowded file is split by what stands next to the gram. Two pieces that match with the gram at one place of `match`
     bytes share, of the bytes still open, at least half on its left or half on its right. So each piece goes to the file of
     its left half and to that of its right half. What is shared on one side bounds how far a match reaches on the other,
-    so pieces get shorter; those that are now equal are settled, one of them stays for the others. At MATCH bytes all pieces of a
+    so pieces get shorter; those that are now equal are settled, one of them stays for the others. At `match` bytes all pieces of a
     file are equal. No match is lost, and pieces that share a gram by chance part at once.
     """
+    around = match - GRAM
     whole: list[DataFrame] = []
     marks: list[DataFrame] = []
     level = pieces.withColumn("l", F.lit(0)).withColumn("r", F.lit(0))
     while level.limit(1).count():
-        half = F.ceil((F.lit(AROUND) - F.col("l") - F.col("r")) / 2).cast("int")
+        half = F.ceil((F.lit(around) - F.col("l") - F.col("r")) / 2).cast("int")
         sides = F.array(F.struct((F.col("l") + F.col("half")).alias("l"), F.col("r").alias("r")), F.struct(F.col("l").alias("l"), (F.col("r") + F.col("half")).alias("r")))
         after = F.octet_length("data") - F.col("at") - GRAM
         both = level.withColumn("half", half).select("file", "k1", "k2", "lo", "at", "data", F.explode(sides).alias("side")).where((F.col("at") >= F.col("side.l")) & (after >= F.col("side.r")))
-        both = both.withColumn("left", F.least(F.col("at"), F.lit(AROUND) - F.col("side.r"))).withColumn("right", F.least(after, F.lit(AROUND) - F.col("side.l"))).where(F.col("left") + F.col("right") >= AROUND)
+        both = both.withColumn("left", F.least(F.col("at"), F.lit(around) - F.col("side.r"))).withColumn("right", F.least(after, F.lit(around) - F.col("side.l"))).where(F.col("left") + F.col("right") >= around)
         shared = F.substring("data", F.col("at") - F.col("side.l") + 1, F.col("side.l") + F.col("side.r") + GRAM)
         data = F.substring("data", F.col("at") - F.col("left") + 1, F.col("left") + F.col("right") + GRAM)
         hot = both.select(F.xxhash64("file", "side.l", "side.r", shared).alias("file"), "k1", "k2", (F.col("lo") + F.col("at") - F.col("left")).alias("lo"), F.col("left").alias("at"), data.alias("data"), F.col("side.l").alias("l"), F.col("side.r").alias("r"))
@@ -371,19 +374,22 @@ def _split(pieces: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     return whole, marks
 
 
-def find_repeats(docs: DataFrame) -> DataFrame:
+def find_repeats(docs: DataFrame, match: int = MATCH, within: bool = True) -> DataFrame:
     """Marks (k1, k2, lo, hi) of the texts in docs (k1, k2, text): together they cover exactly the bytes
-    of strings of MATCH bytes that start at two places. Marks overlap."""
-    every = table(docs.mapInArrow(_occurrences, OCCURRENCE), "anchors")
-    own = every.where("gram IS NULL").select("k1", "k2", "lo", "hi")
-    every = every.where("gram IS NOT NULL")
+    of strings of `match` bytes that start at two places; within=False leaves out what is there again only in a text itself
+    (in the same CHUNK of it). Marks overlap."""
+    found = table(docs.mapInArrow(lambda batches: _occurrences(batches, match), OCCURRENCE), "anchors")
+    every = found.where("gram IS NOT NULL")
     # Stretches that agree are a class. In a class of two or more all strings repeat.
     classes = table(every.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place", "lo", "hi")).alias("one")), "classes")
     reclaim(docs.sparkSession)
-    sure = table(every.join(classes.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").select("k1", "k2", "lo", "hi"), "sure")
+    sure = every.join(classes.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").select("k1", "k2", "lo", "hi")
+    sure = table(sure.unionByName(found.where("gram IS NULL").select("k1", "k2", "lo", "hi")) if within else sure, "sure")
+    release(found)
     # Of grams with a class of one and another class, one member of each class goes to the index.
     still = classes.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("n")).where("m > 1 AND n = 1").select("gram", "m")
     wanted = table(classes.join(still, "gram").select("one.*", "gram", "m"), "wanted")
+    release(classes)
     reclaim(docs.sparkSession)
     # Of rows that agree in everything, which share a key, each brings its pieces; they become one segment.
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "place", "lo", "hi", "m")).alias("wanted"))
@@ -392,50 +398,60 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     parts, marks = [pieces.where(F.col("m") <= CROWD).drop("m")], []
     crowded = pieces.where(F.col("m") > CROWD).drop("m")
     if crowded.limit(1).count():
-        more, marks = _split(crowded)
+        more, marks = _split(crowded, match)
         parts += more
-    found = [p.select("file", "k1", "k2", "lo", "data").repartition("file").sortWithinPartitions("file").mapInArrow(_index, MARK) for p in parts]
-    out = sure.unionByName(own)
+    found = [p.select("file", "k1", "k2", "lo", "data").repartition("file").sortWithinPartitions("file").mapInArrow(lambda batches: _index(batches, match), MARK) for p in parts]
+    out = sure
     for x in [*found, *marks]:
         out = out.unionByName(x)
     return out
 
 
+def _runs(marks: list[dict] | None) -> list[dict]:
+    """Marks that touch or overlap made one, in order."""
+    runs: list[dict] = []
+    for m in sorted(marks or [], key=lambda m: m["lo"]):
+        if runs and m["lo"] <= runs[-1]["hi"]:
+            runs[-1]["hi"] = max(runs[-1]["hi"], m["hi"])
+        else:
+            runs.append(dict(m))
+    return runs
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    entry = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
     for batch in slices(batches):
-        kept, spans = [], []
-        for text, marks in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
-            data, last, parts, runs = text.as_py() or b"", 0, [], []
-            for m in sorted(marks or [], key=lambda m: m["lo"]):
-                if runs and m["lo"] <= runs[-1]["hi"]:
-                    runs[-1]["hi"] = max(runs[-1]["hi"], m["hi"])
-                else:
-                    runs.append(dict(m))
-            for r in runs:
-                parts.append(data[last : r["lo"]])
-                last = r["hi"]
-            kept.append(b"".join([*parts, data[last:]]))
-            spans.append(runs)
-        entry = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
-        sizes = pa.array([len(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(kept, pa.binary()), pa.array(spans, pa.list_(entry))], ["doc_id", "n_bytes", "kept", "spans"])
+        texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
+        spans = [_runs(m) for m in batch.column(2).to_pylist()]
+        shared = [[r for r in _runs(m) if len(t[r["lo"] : r["hi"]].split()) >= WORDS] for t, m in zip(texts, batch.column(3).to_pylist())]
+        kept = []
+        for data, runs in zip(texts, spans):
+            starts, ends = [0, *[r["hi"] for r in runs]], [*[r["lo"] for r in runs], len(data)]
+            kept.append(b"".join(data[a:b] for a, b in zip(starts, ends)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(entry)), pa.array(shared, pa.list_(entry))], ["doc_id", "n_bytes", "kept", "spans", "passages"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, kept (the remaining bytes), spans (removed runs) of every row of docs (doc_id, text).
+    """doc_id, n_bytes, kept (the remaining bytes), spans (removed runs), passages of every row of docs (doc_id, text).
 
     A null text counts as empty. Texts under MATCH bytes lose nothing. Rows that agree in everything repeat
     each other, so each of them loses all its strings of MATCH bytes. A removed run may end within a
-    character, which is why kept is binary. Rows are told apart by two 64-bit hashes of id and text.
+    character, which is why kept is binary. passages are runs of WORDS words or more, cut words at their ends included, of strings of
+    PASSAGE bytes that other texts have too; they stay where no string of MATCH bytes takes them. Rows are told apart by two 64-bit
+    hashes of id and text.
     """
     rows = docs.select("doc_id", "text", *row_keys("doc_id", "text"))
-    marks = table(find_repeats(rows.select("k1", "k2", "text")), "marks")
+    keyed = rows.select("k1", "k2", "text")
+    marks = table(find_repeats(keyed).withColumn("removed", F.lit(True)), "marks")
+    reclaim(docs.sparkSession)
+    marks = marks.unionByName(table(find_repeats(keyed, PASSAGE, within=False).withColumn("removed", F.lit(False)), "marks"))
     reclaim(docs.sparkSession)
-    marks = marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_bytes long, kept binary, spans array<struct<lo:int,hi:int>>").fields])
-    return rows.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "marks").mapInArrow(_remove, schema)
+    place = F.struct("lo", "hi")
+    marks = marks.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("removed"), place)).alias("marks"), F.collect_set(F.when(~F.col("removed"), place)).alias("shared"))
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_bytes long, kept binary, spans array<struct<lo:int,hi:int>>, passages array<struct<lo:int,hi:int>>").fields])
+    return rows.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "marks", "shared").mapInArrow(_remove, schema)
 
 
 def op10_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.size("passages").cast("long").alias("n_passages"))

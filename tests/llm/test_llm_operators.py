@@ -373,6 +373,20 @@ def test_repeats_of_shared_passages(spark, monkeypatch, crowd):
     assert _removed(df) == Counter((i, *x) for i, x in enumerate(_brute_removal([t.encode() for t in texts], 400)))
 
 
+def test_passages_that_other_texts_have(spark):
+    """Over 50 words and 256 bytes or more, in other texts only; too short for removal they stay."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    passage, short, line = words(55), words(38), words(60)
+    assert 256 < len(passage) < 400
+    texts = [words(90) + " " + passage + " " + words(40), passage + " " + words(200), words(50) + " " + short, short + " " + words(70), (line[:150] + " ") * 12, words(300), "", None]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r for r in rindex.remove_repeats(df).collect()}
+    assert {d for d, r in found.items() if r.passages} == {0, 1} and not found[0].spans and found[4].spans
+    (run,) = found[0].passages
+    assert passage[:-1] in texts[0][run.lo : run.hi] or passage in texts[0][run.lo : run.hi + 1]
+
+
 def test_each_string_has_one_anchor(monkeypatch):
     """Its first gram of least hash, in texts hashed together and in pieces of a long one."""
     monkeypatch.setattr(rindex, "CHUNK", 2000)
@@ -386,7 +400,7 @@ def test_each_string_has_one_anchor(monkeypatch):
             for i in range(a, b + 1):
                 assert (k, i) not in seen
                 seen[k, i] = p - i
-                assert p == i + int((every[i : i + rindex.AROUND + 1] >> np.uint64(32)).argmin())
+                assert p == i + int((every[i : i + 369] >> np.uint64(32)).argmin())
     assert len(seen) == sum(max(0, len(t) - 399) for t in texts)
 
 
