@@ -418,12 +418,19 @@ def _runs(marks: list[dict] | None) -> list[dict]:
     return runs
 
 
+def _whole_words(text: bytes, lo: int, hi: int) -> int:
+    """Words of text[lo:hi], without those that go on beyond its ends."""
+    run = text[lo:hi]
+    cut = sum(0 < at < len(text) and len(b" ".join(text[at - 1 : at + 1].split())) == 2 for at in (lo, hi))
+    return len(run.split()) - cut
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     entry = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
     for batch in slices(batches):
         texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
         spans = [_runs(m) for m in batch.column(2).to_pylist()]
-        shared = [[r for r in _runs(m) if len(t[r["lo"] : r["hi"]].split()) >= WORDS] for t, m in zip(texts, batch.column(3).to_pylist())]
+        shared = [[r for r in _runs(m) if _whole_words(t, r["lo"], r["hi"]) >= WORDS] for t, m in zip(texts, batch.column(3).to_pylist())]
         kept = []
         for data, runs in zip(texts, spans):
             starts, ends = [0, *[r["hi"] for r in runs]], [*[r["lo"] for r in runs], len(data)]
@@ -436,7 +443,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty. Texts under MATCH bytes lose nothing. Rows that agree in everything repeat
     each other, so each of them loses all its strings of MATCH bytes. A removed run may end within a
-    character, which is why kept is binary. passages are runs of WORDS words or more, cut words at their ends included, of strings of
+    character, which is why kept is binary. passages are runs of WORDS whole words or more, of strings of
     PASSAGE bytes that other texts have too; they stay where no string of MATCH bytes takes them. Rows are told apart by two 64-bit
     hashes of id and text.
     """
