@@ -45,7 +45,7 @@ def _png(data: memoryview, at: int) -> int:
         size = int.from_bytes(data[place : place + 4], "big")
         kind = bytes(data[place + 4 : place + 8])
         end = place + 12 + size
-        if end > len(data) or first != (kind == b"IHDR") or zlib.crc32(data[place + 4 : end - 4]) != int.from_bytes(data[end - 4 : end], "big"):
+        if end > len(data) or first != (kind == b"IHDR") or first and size != 13 or zlib.crc32(data[place + 4 : end - 4]) != int.from_bytes(data[end - 4 : end], "big"):
             return 0
         if kind == b"IEND":
             return end - at
@@ -53,6 +53,12 @@ def _png(data: memoryview, at: int) -> int:
     return 0
 
 
+@lru_cache(maxsize=1)
+def _last(data: bytes, mark: bytes) -> int:
+    """The last place of a mark, looked for once however many headers ask."""
+    return data.rfind(mark)
+
+
 def _jpeg(data: memoryview, at: int) -> int:
     """Marker segments up to the scan, then entropy-coded bytes up to the end marker."""
     place = at + 2
@@ -65,11 +71,9 @@ def _jpeg(data: memoryview, at: int) -> int:
             break
     else:
         return 0
-    while place + 2 <= len(data):
-        if data[place] == 0xFF and data[place + 1] == 0xD9:
-            return place + 2 - at
-        place += 1
-    return 0
+    if place > _last(data.obj, b"\xff\xd9"):
+        return 0
+    return data.obj.find(b"\xff\xd9", place) + 2 - at
 
 
 def _gif(data: memoryview, at: int) -> int:

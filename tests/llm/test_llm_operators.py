@@ -513,3 +513,13 @@ def test_schema_types_follow_the_id(spark):
     named = spark.createDataFrame([("a", "one two three"), (None, None)], "doc_id string, text string")
     assert isinstance(pii.pii_spans(named).schema["doc_id"].dataType, T.StringType)
     assert {r.component_id for r in simhash.near_duplicates(named).collect()} == {"a", None}
+
+
+def test_many_headers_without_an_end_take_linear_time():
+    import time
+
+    data = b"\xff\xd8\xff\xda\x00\x02ab" * (1 << 17)
+    begun = time.process_time()
+    assert not any(media._jpeg(memoryview(data), at) for at in range(0, len(data), 8))
+    assert time.process_time() - begun < 5
+    assert media._jpeg(memoryview(data + b"\xff\xd9"), 0) == len(data) + 2
