@@ -523,3 +523,41 @@ def test_many_headers_without_an_end_take_linear_time():
     assert not any(media._jpeg(memoryview(data), at) for at in range(0, len(data), 8))
     assert time.process_time() - begun < 5
     assert media._jpeg(memoryview(data + b"\xff\xd9"), 0) == len(data) + 2
+
+
+def test_chain_by_direct_computation():
+    """Each link's guesses for a fold come from a fit without that fold, on the columns that were chosen without it."""
+    rng = np.random.default_rng(7)
+    x, fold = rng.normal(size=(300, 6)), np.arange(300) % toxicity.FOLDS
+    ys = np.stack([(x[:, 0] + 0.5 * rng.normal(size=300) > 0), (x[:, 1] + x[:, 0] > 0)], axis=1).astype(float)
+    ys[::11, 0] = np.nan
+    seen = [np.arange(4), *[np.array([f % 6, 0, 1]) for f in range(toxicity.FOLDS)]]
+    models = toxicity.fit_chain(x, ys, fold, seen)
+
+    def newton(a, y):
+        """The penalised likelihood's root, by plain steps on its own gradient."""
+        a, w = np.hstack([a, np.ones((len(a), 1))]), np.zeros(a.shape[1] + 1)
+        ridge = np.append(np.full(a.shape[1] - 1, toxicity.RIDGE), 1e-6)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-a @ w))
+            w = w - np.linalg.inv(a.T @ np.diag(p * (1 - p)) @ a + np.diag(ridge)) @ (a.T @ (p - y) + ridge * w)
+        return w
+
+    known = ~np.isnan(ys[:, 0])
+    assert np.allclose(models[0], newton(x[known][:, seen[0]], ys[known, 0]), atol=1e-3)
+    guess = np.zeros(300)
+    for f in range(toxicity.FOLDS):
+        w = newton(x[known & (fold != f)][:, seen[f + 1]], ys[known & (fold != f), 0])
+        guess[fold == f] = 1 / (1 + np.exp(-(x[fold == f][:, seen[f + 1]] @ w[:-1] + w[-1])))
+    assert np.allclose(models[1], newton(np.hstack([x[:, seen[0]], guess[:, None]]), ys[:, 1]), atol=5e-2)
+
+
+def test_similar_blocks_by_brute_force():
+    from quadrille.llm import jaccard
+
+    rng = np.random.default_rng(1)
+    base = rng.choice(5000, 300, replace=False)
+    sets = [np.unique(np.concatenate([rng.choice(base, 270, replace=False), rng.integers(0, 9000, 20)])) for _ in range(60)] + [np.unique(rng.integers(0, 9000, 50)) for _ in range(40)]
+    a, b = sets[:55], sets[40:]
+    want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if len(np.intersect1d(x, y)) >= 0.75 * len(np.union1d(x, y))}
+    assert {(int(i), int(j)) for i, j in zip(*jaccard.similar(a, b, 0.75))} == want and 0 < len(want) < len(a) * len(b)
