@@ -284,6 +284,18 @@ def test_top_k_with_large_numbers():
     assert [*topk.search_block(pack([0], q), pack([1, 2, 3], c), 2)] == [(0, 2, 2**61 + 2**40 + 1), (0, 1, 2**61 + 5)]
 
 
+def test_top_k_in_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = {i: [float(x) for x in rng.normal(size=12) * (1 + i % 7)] for i in range(400)}
+    df = spark.createDataFrame([*v.items()], "vec_id long, embedding array<double>").repartition(3)
+    ints = {i: np.floor(256 * np.array(x)).astype(int) for i, x in v.items()}
+    want = {(i, n + 1, j, -s) for i in v if i % 50 == 0 for n, (s, j) in enumerate(sorted((-int(ints[i] @ ints[j]), j) for j in v if j != i)[:5])}
+    for candidates, queries, seed, size in ((16, 2, 8, 0), (64, 3, 3, 1 << 20)):
+        for name, value in (("CANDIDATES", candidates), ("QUERIES", queries), ("SEED", seed), ("BROADCAST", size)):
+            monkeypatch.setattr(topk, name, value)
+        assert {tuple(r) for r in topk.top_k(df).collect()} == want
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
