@@ -1,10 +1,11 @@
-"""python -m quadrille.cli TASK PATH: one task over a table of vectors, its document on stdout."""
+"""python -m quadrille.cli --task TASK PATH: one task over a table of vectors, or over a dataset of texts and the vectors of its
+rows; its document on stdout."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.coreset import coreset_cluster
@@ -12,7 +13,7 @@ from .operators.kmeans import kmeans_cluster
 from .operators.ranking import rank_by_anchor, rank_metrics, sample
 from .operators.report import INLINE, clustering_document, dumps, rank_document, with_clusters
 from .operators.successive import successive_sampling
-from .sources.text_rows import vectors
+from .sources.text_rows import ONTOLOGY_NAMES, load_dataset, vectors, with_vectors
 
 TASKS = ("rank", "cluster", "weak-comparison-cluster", "embedding-cluster")
 
@@ -20,7 +21,12 @@ TASKS = ("rank", "cluster", "weak-comparison-cluster", "embedding-cluster")
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--task", choices=TASKS, default="rank")
-    p.add_argument("path", help="Parquet with vec_id, embedding, label")
+    p.add_argument("path", help="Parquet with vec_id, embedding, label; with a dataset vec_id is the id of a text row")
+    p.add_argument("--dataset", help="name of the dataset that --dataset-id holds")
+    p.add_argument("--dataset-id", action="append", help="file of text rows, {split} in it stands for the split; if repeated, the first that can be read")
+    p.add_argument("--split", help="test for intents and train for the ontology if unset")
+    p.add_argument("--include-oos", action="store_true", help="keep out-of-scope intents")
+    p.add_argument("--id-field", help="column of the text rows that holds their ids; their places if unset")
     p.add_argument("--output", help=f"new folder for all ranked rows or clusters, as JSON lines; needed beyond {INLINE} rows")
     p.add_argument("--anchor-index", type=int, default=0)
     p.add_argument("--candidate-limit", type=int, default=20, help="0: all")
@@ -40,13 +46,34 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def is_ontology(a: argparse.Namespace) -> bool:
+    return a.dataset.lower().replace("-", "_") in ONTOLOGY_NAMES
+
+
+def split_of(a: argparse.Namespace) -> str:
+    return a.split or ("train" if is_ontology(a) else "test")
+
+
+def text_rows_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
+    """The dataset that the options name."""
+    if a.dataset is None:
+        return None
+    options = {"id_field": a.id_field} | ({} if is_ontology(a) else {"remove_oos": not a.include_oos})
+    return load_dataset(spark, a.dataset, [x.replace("{split}", split_of(a)) for x in a.dataset_id], **options)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = parser()
     a = p.parse_args(argv)
+    if (a.dataset is None) != (a.dataset_id is None):
+        p.error("--dataset and --dataset-id go together")
     if a.task != "rank" and (a.cluster_count is None or a.cluster_count < 1):
         p.error("--cluster-count is required and at least 1")
     spark = SparkSession.builder.getOrCreate()
-    rows = vectors(spark, a.path)
+    rows, texts = vectors(spark, a.path), text_rows_of(spark, a)
+    source = {"path": a.path}
+    if texts is not None:
+        rows, source = with_vectors(texts, rows, "id"), {"path": a.path, "name": a.dataset, "split": split_of(a), "include_oos": a.include_oos}
     if a.task == "rank":
         anchor = rows.where(F.col("pos") == a.anchor_index).select("id").first()
         if anchor is None:
@@ -56,7 +83,7 @@ def main(argv: list[str] | None = None) -> int:
         if not a.output and chosen.count() > INLINE:
             p.error(f"--output is needed for more than {INLINE} rows")
         both = chosen.unionByName(rows.where(F.col("id") == anchor.id))
-        print(dumps(rank_document(rank_by_anchor(both, anchor.id, a.profile), rank_metrics(both, anchor.id, a.profile), anchor.id, {"path": a.path}, output=a.output)))
+        print(dumps(rank_document(rank_by_anchor(both, anchor.id, a.profile), rank_metrics(both, anchor.id, a.profile), anchor.id, source, output=a.output)))
         return 0
     if a.candidate_limit:
         rows = sample(rows, a.candidate_limit, a.candidate_seed).drop("p")
@@ -71,7 +98,7 @@ def main(argv: list[str] | None = None) -> int:
         result = coreset_cluster(rows, k, correctness=a.weak_comparison_correctness_probability, first=a.weak_comparison_sample1_multiplier, second=a.weak_comparison_sample2_multiplier, max_rounds=a.weak_comparison_max_rounds, seed=a.cluster_seed, final=final)
     else:
         result = kmeans_cluster(rows, k, seed=a.cluster_seed, n_init=a.embedding_kmeans_n_init, max_iter=a.embedding_kmeans_max_iter)
-    print(dumps(with_clusters(a.task, clustering_document(a.task, result, {"path": a.path}), result, a.output)))
+    print(dumps(with_clusters(a.task, clustering_document(a.task, result, source), result, a.output, texts)))
     return 0
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -38,14 +40,14 @@ def cluster_sizes(assigned: DataFrame) -> DataFrame:
     return rank_rows(sizes, F.desc("size"), "center_id", name="place")
 
 
-def nested_clusters(assigned: DataFrame, page: int = 1000) -> DataFrame:
-    """center_id, size, page, members: ids in input order (pos), in pages of bounded length, so that no
-    task gathers a whole cluster."""
-    ranked = rank_rows(assigned.select("center_id", "pos", "id"), "center_id", "pos", "id")
+def nested_clusters(assigned: DataFrame, page: int = 1000, fields: Sequence[str] = ()) -> DataFrame:
+    """center_id, size, page, members: ids in input order (pos), or structs of id and fields, in pages of bounded length,
+    so that no task gathers a whole cluster."""
+    ranked = rank_rows(assigned.select("center_id", "pos", "id", *fields), "center_id", "pos", "id")
     first = ranked.groupBy("center_id").agg(F.min("rank").alias("first"), F.count("*").alias("size"))
     paged = ranked.join(first, "center_id").withColumn("page", F.floor((F.col("rank") - F.col("first")) / page))
-    members = F.array_sort(F.collect_list(F.struct("rank", "id")))
-    return paged.groupBy("center_id", "size", "page").agg(F.transform(members, lambda m: m["id"]).alias("members"))
+    members = F.array_sort(F.collect_list(F.struct("rank", F.struct("id", *fields).alias("row"))))
+    return paged.groupBy("center_id", "size", "page").agg(F.transform(members, lambda m: m["row"] if fields else m["row"]["id"]).alias("members"))
 
 
 def largest_clusters(assigned: DataFrame, k: int) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +15,10 @@ from .successive import Clustering
 
 
 def centroids(assigned: DataFrame, rows: DataFrame) -> DataFrame:
-    """center_id, dim, mean of the members of each cluster: one partial aggregate per dimension, long form."""
-    long = assigned.select("id", "center_id").join(rows.select("id", "embedding"), "id").select("center_id", F.posexplode("embedding").alias("dim", "x"))
-    return long.groupBy("center_id", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    """center_id, dim, mean of the members of each cluster, in long form: whole vectors are summed before the shuffle, and only the
+    means are spread out."""
+    members = assigned.select("id", "center_id").join(rows.select("id", array_to_vector(as_double(F.col("embedding"))).alias("x")), "id")
+    return members.groupBy("center_id").agg(Summarizer.mean(F.col("x")).alias("m")).select("center_id", F.posexplode(vector_to_array("m")).alias("dim", "mean"))
 
 
 def lloyd_step(rows: DataFrame, centers: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .assign import nested_clusters
@@ -19,25 +19,39 @@ ALGORITHMS = {"cluster": "mettu_plaxton_successive_sampling", "weak-comparison-c
 INLINE = 1000
 
 
+#: What a document says of a row beside its id and the name of its label.
+FIELDS = ("text", "label")
+
+
+def fields_of(rows: DataFrame) -> list[str]:
+    return [c for c in FIELDS if c in rows.columns]
+
+
 def clusters_json(assigned: DataFrame) -> DataFrame:
-    """One JSON line per page of a cluster: center, size, page, rows."""
-    return nested_clusters(assigned).select(F.to_json(F.struct(F.col("center_id").alias("center"), "size", "page", F.col("members").alias("rows"))).alias("json"))
+    """One JSON line per page of a cluster: center, size, page, rows (ids, or objects where there are texts)."""
+    return nested_clusters(assigned, fields=_shown(assigned)).select(F.to_json(F.struct(F.col("center_id").alias("center"), "size", "page", F.col("members").alias("rows"))).alias("json"))
+
+
+def _shown(assigned: DataFrame) -> list[str]:
+    return [*fields_of(assigned), "label_name"] if "text" in assigned.columns else []
 
 
 def listed_clusters(assigned: DataFrame) -> list[dict]:
     """All clusters of a small table, the largest first."""
     pages: dict = {}
-    for r in sorted(nested_clusters(assigned).collect(), key=lambda r: r.page):
-        pages.setdefault((-r["size"], r.center_id), []).extend(r.members)
+    for r in sorted(nested_clusters(assigned, fields=_shown(assigned)).collect(), key=lambda r: r.page):
+        pages.setdefault((-r["size"], r.center_id), []).extend(m.asDict() if isinstance(m, Row) else m for m in r.members)
     return [{"center": c, "size": -n, "rows": rows} for (n, c), rows in sorted(pages.items())]
 
 
-def with_clusters(task: str, body: dict, result: Clustering, output: str | None) -> dict:
-    """The document with all final and candidate clusters, or with the names of the folders that they are written to."""
+def with_clusters(task: str, body: dict, result: Clustering, output: str | None, texts: DataFrame | None = None) -> dict:
+    """The document with all final and candidate clusters, or with the names of the folders that they are written to. texts
+    (id, text, label) are said of the rows."""
     parts = {"clusters": result.assigned}
     if result.compressed:
         parts["candidate_clusters" if task == "cluster" else "coreset_clusters"] = result.candidates
     for name, assigned in parts.items():
+        assigned = assigned if texts is None else assigned.join(texts.select("id", *fields_of(texts)), "id")
         if output:
             body[name] = f"{output}/{name}"
             clusters_json(assigned).write.text(body[name])
@@ -60,11 +74,12 @@ def clustering_document(task: str, result: Clustering, dataset: dict) -> dict:
 
 def rank_document(ranked: DataFrame, metrics: DataFrame, anchor_id: str, dataset: dict, rows: int = INLINE, output: str | None = None) -> dict:
     """The first rows of a ranking with its metrics; all rows are in `ranked`, or written as JSON lines to a folder in output."""
+    shown = ["id", *fields_of(ranked), "label_name", "rank", "d"] if "text" in ranked.columns else ["id", "label_name", "rank", "d"]
     if output:
         path = f"{output}/ranked_rows"
-        ranked.select("id", "label_name", "rank", "d").write.json(path)
+        ranked.select(*shown).write.json(path)
         return {"dataset": dataset, "anchor": anchor_id, "metrics": metrics.first().asDict(), "ranked_rows": path}
-    first = ranked.orderBy("rank").limit(rows).select("id", "label_name", "rank", "d").collect()
+    first = ranked.orderBy("rank").limit(rows).select(*shown).collect()
     return {"dataset": dataset, "anchor": anchor_id, "metrics": metrics.first().asDict(), "ranked_rows": [r.asDict() for r in first]}
 
 

@@ -328,6 +328,32 @@ def test_documents_are_whole(spark, capsys, tmp_path):
         assert len(said["clusters"]) == 4 and (other or "candidate_clusters" not in said)
 
 
+def test_documents_of_texts(spark, capsys, tmp_path):
+    words = ["oos" if i == 7 else f"intent_{i % 3}" for i in range(12)]
+    (tmp_path / "test.jsonl").write_text("".join(json.dumps({"key": 100 + i, "text": f"text {i}", "intent": w}) + "\n" for i, w in enumerate(words)))
+    spark.createDataFrame([(100 + i, [float(i % 3), float(i)], 0) for i in range(12)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "v"))
+    args = ["--dataset", "clinc", "--dataset-id", str(tmp_path / "{split}.jsonl"), "--id-field", "key", "--candidate-limit", "0", str(tmp_path / "v")]
+    for more, n in (([], 10), (["--include-oos"], 11)):
+        assert cli.main([*args, *more]) == 0
+        said = json.loads(capsys.readouterr().out)
+        ranked = said["ranked_rows"]
+        assert said["dataset"]["split"] == "test" and len(ranked) == n
+        assert {(r["id"], r["text"], r["label"], r["label_name"]) for r in ranked} == {(str(100 + i), f"text {i}", w, w) for i, w in enumerate(words) if i and (more or w != "oos")}
+        assert [r["d"] for r in ranked] == sorted(r["d"] for r in ranked)
+    assert cli.main(["--task", "embedding-cluster", "--cluster-count", "3", "--embedding-kmeans-n-init", "1", *args]) == 0
+    said = json.loads(capsys.readouterr().out)
+    assert {(r["id"], r["text"], r["label"]) for c in said["clusters"] for r in c["rows"]} == {(str(100 + i), f"text {i}", w) for i, w in enumerate(words) if w != "oos"}
+    assert cli.main(["--task", "cluster", "--cluster-count", "3", "--output", str(tmp_path / "out"), *args]) == 0
+    named = json.loads(capsys.readouterr().out)
+    for name in ("clusters", "candidate_clusters"):
+        assert sorted(x["text"] for r in spark.read.text(named[name]).collect() for x in json.loads(r.value)["rows"]) == sorted(f"text {i}" for i in range(12) if i != 7)
+    with pytest.raises(SystemExit):
+        cli.main(["--dataset", "clinc", str(tmp_path / "v")])
+    spark.createDataFrame([(100, [0.0, 0.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "few"))
+    with pytest.raises(FAILS, match="no vector for"):
+        cli.main([*args[:-1], str(tmp_path / "few")])
+
+
 def test_the_library_stands_without_the_llm_folders():
     import subprocess
     import sys
