@@ -29,7 +29,9 @@ MATCH, GRAM = 400, 32
 #: A passage: bytes of strings that are looked for in other texts, and words that a run of them has at least.
 PASSAGE, WORDS = 256, 51
 #: Stretches that one gram may bring into a batch; bytes of a batch; bytes that are hashed at once.
-CROWD, BATCH, CHUNK = 8192, 1 << 21, 1 << 18
+CROWD, BATCH, CHUNK = 8192, 1 << 17, 1 << 18
+#: Bytes whose hashes, with what they are made from, stay in a processor's cache.
+CACHED = 1 << 14
 
 _RANDOM = np.random.default_rng(20).integers(0, 1 << 63, size=270, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE, _ODD = _RANDOM[:256], _RANDOM[256:]
@@ -40,19 +42,32 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 
 def gram_hashes(data: np.ndarray, n: int = GRAM) -> np.ndarray:
-    """A 64-bit hash of the n bytes from each place on; hashes of powers of two are joined."""
-    wide, size = {1: _BYTE[data]}, 1
+    """A 64-bit hash of the n bytes from each place on."""
+    out = np.empty(len(data) - n + 1, dtype=np.uint64)
+    for at in range(0, len(out), CACHED):
+        out[at : at + CACHED] = _joined_hashes(data[at : at + CACHED + n - 1], n)
+    return out
+
+
+def _joined_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """gram_hashes() of few bytes: hashes of powers of two are joined."""
+    x, size, parts = _BYTE[data], 1, {}
     while 2 * size <= n:
-        x = wide[size]
-        wide[2 * size] = x[:-size] * _ODD[size.bit_length()] + x[size:]
-        size *= 2
-    done, out = size, wide[size]
-    for part in reversed([1 << b for b in range(size.bit_length() - 1) if n & (1 << b)]):
+        if n & size:
+            parts[size] = x
+        y = x[:-size] * _ODD[size.bit_length()]
+        y += x[size:]
+        x, size = y, 2 * size
+    done = size
+    for part in sorted(parts, reverse=True):
         left = len(data) - done - part + 1
-        out = out[:left] * _ODD[9] + wide[part][done : done + left]
-        done += part
-    out = (out ^ (out >> np.uint64(29))) * _ODD[10]
-    return out ^ (out >> np.uint64(32))
+        y = x[:left] * _ODD[9]
+        y += parts[part][done : done + left]
+        x, done = y, done + part
+    x ^= x >> np.uint64(29)
+    x *= _ODD[10]
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -146,7 +161,7 @@ def anchors(texts: list[bytes], match: int = MATCH) -> Iterator[tuple[int, list[
             continue
         group.append(i)
         size += len(text)
-        if size >= CHUNK:
+        if size >= CACHED:
             yield from flush()
             group, size = [], 0
     if group:
