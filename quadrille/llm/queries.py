@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .media import op4_media_columns
+from .merkle import MERKLE_SQL, op12_merkle_manifest
 from .mixing import op8_entropy_mixing
 from .packing import op1_packing
 from .pii import op6_pii_spans
@@ -26,7 +27,8 @@ QUERIES = {
         op8_entropy_mixing,
         op9_rendezvous_sharding,
         op10_run_length_index,
+        op12_merkle_manifest,
     )
 }
 
-SQL: dict[str, str] = {"op2_branch_and_bound": TOP_K_SQL}
+SQL: dict[str, str] = {"op2_branch_and_bound": TOP_K_SQL, "op12_merkle_manifest": MERKLE_SQL}
