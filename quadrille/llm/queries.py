@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .align import op13_cross_tokenizer
+from .langid import op11_kneser_ney_language
 from .media import op4_media_columns
 from .merkle import MERKLE_SQL, op12_merkle_manifest
 from .mixing import op8_entropy_mixing
@@ -28,6 +29,7 @@ QUERIES = {
         op8_entropy_mixing,
         op9_rendezvous_sharding,
         op10_run_length_index,
+        op11_kneser_ney_language,
         op12_merkle_manifest,
         op13_cross_tokenizer,
     )
