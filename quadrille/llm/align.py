@@ -26,7 +26,7 @@ from .common import documents, slices, table
 #: Files of the two tokenizers.
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts that are aligned at once; tokens that a worker keeps; pairs of ids that are summed in a worker.
-BATCH, KEPT, SUMMED = 1 << 20, 1 << 22, 1 << 19
+BATCH, KEPT, SUMMED = 1 << 20, 1 << 21, 1 << 19
 #: Pairs of ids whose counts travel to tasks at once, at 17 bytes each.
 BROADCAST = 1 << 22
 #: A unit: spaces, then everything up to a space that follows something else than white space.
@@ -159,6 +159,9 @@ def merged(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray
 
 def parts(text: str) -> Iterator[tuple[list[str], int]]:
     """The units of a space and the text, in lists of about BATCH bytes or of one longer unit, with their bytes."""
+    if len(text) < BATCH // 4:
+        yield UNIT.findall(" " + text), len(text.encode()) + 1
+        return
     units, size = [], 0
     for m in UNIT.finditer(" " + text):
         units.append(m.group())
