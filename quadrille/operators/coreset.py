@@ -1,7 +1,7 @@
 """A coreset from weak comparisons: rounds that sample, order edges by a noisy-proof test, and peel off the safe half.
 
-What depends on k alone (samples, their edges, kernels, guards, cores) is small and travels to tasks; what follows the
-rows (candidates and their edges) stays distributed.
+Samples, their edges, kernels and cores are tables, as candidates and their edges are. Only vectors of samples travel to tasks, in
+blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -11,25 +11,25 @@ from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.vectors import squared_distance
-from ..storage import rank_rows, table
+from ..storage import rank_rows, release, table
 from .assign import compression_centers, nearest_center
 from .comparisons import edges
+from .edge_sort import BLOCK, DELTA, blocks, distances, edge_table, matrix, sort_edges
 from .ranking import sample
 from .successive import Clustering
 
-#: Rows below which no round starts; the gap behind a kernel; edges of a node that one task sorts.
-TERMINAL, DELTA, NODE = 100, 5, 20_000
+#: Rows below which no round starts.
+TERMINAL = 100
 
 
 @dataclass(frozen=True)
 class Sizes:
-    """Sizes of a round over n rows."""
+    """Sizes of a round over n rows. The numbers in round_sizes() are fixed values of the algorithm."""
 
     first: int
     second: int
@@ -88,17 +88,41 @@ def core_prime(one: DataFrame, kernel: DataFrame, sizes: Sizes) -> DataFrame:
     return kept.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("t"), "v")
 
 
-def proximity(rest: DataFrame, one: DataFrame, guard: DataFrame) -> DataFrame:
-    """rest with prox: the most guards of any one sample that lie farther from it than the row does; 0 without guards.
-    The samples and their guards travel as one row, so rows aren't shuffled."""
-    held = guard.groupBy("s").agg(F.collect_list("d").alias("g")).join(one.select(F.col("id").alias("s"), F.col("embedding").alias("e")), "s")
-    packed = held.agg(F.collect_list(F.struct("e", "g")).alias("samples"))
+def proximity(rest: DataFrame, one: DataFrame, guard: DataFrame, limit: int = BLOCK) -> DataFrame:
+    """rest with prox: the most guards of any one sample that lie farther from it than the row does; 0 without guards. Samples
+    with guards travel in blocks of `limit` bytes of vectors, so rows aren't shuffled and what travels doesn't grow with k."""
+    held = table(guard.groupBy("s").agg(F.sort_array(F.collect_list("d")).alias("g")).join(one.select(F.col("id").alias("s"), "p", "embedding"), "s").select("p", "embedding", "g"), "guards")
+    size = held.agg(F.max(F.size("embedding")), F.max("p"), F.max(F.size("g"))).first()
+    out = rest.withColumn("prox", F.lit(0))
+    step = max(1, limit // (8 * max(1, (size[0] or 0) + (size[2] or 0))))
+    for low in range(0, size[1] or 0, step):
+        found = held.where(F.col("p").between(low + 1, low + step)).orderBy("p").toArrow()
+        if len(found):
+            lists = found.column("g").combine_chunks()
+            g = np.full((len(found), size[2]), -np.inf)
+            for i, own in enumerate(lists.to_pylist()):
+                g[i, : len(own)] = own
+            out = out.mapInArrow(_nearer(rest.sparkSession.sparkContext.broadcast((matrix(found.column("embedding").combine_chunks()), g))), out.schema)
+    release(held)
+    return out
+
 
-    def farther(s):
-        d = squared_distance(s["e"], F.col("embedding"))
-        return F.size(F.filter(s["g"], lambda g: d < g))
+def _nearer(shared):
+    """Raise prox of rows (embedding, prox) by a block of samples (vectors, distances of guards)."""
 
-    return rest.crossJoin(F.broadcast(packed)).withColumn("prox", F.coalesce(F.array_max(F.transform("samples", farther)), F.lit(0))).drop("samples")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, g = shared.value
+        step = max(1, (1 << 20) // max(1, g.size))
+        for b in batches:
+            x, prox = matrix(b.column("embedding")), b.column("prox").to_numpy()
+            for low in range(0, len(x), step):
+                d = distances(x[low : low + step], vectors)
+                most = (d[:, :, None] < g).sum(axis=2).max(axis=1)
+                prox = np.concatenate([prox[:low], np.maximum(prox[low : low + step], most), prox[low + step :]])
+            columns = [pa.array(prox.astype(np.int32)) if c == "prox" else b.column(c) for c in b.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+
+    return run
 
 
 def guard_filter(rest: DataFrame, one: DataFrame, guard: DataFrame) -> DataFrame:
@@ -108,126 +132,6 @@ def guard_filter(rest: DataFrame, one: DataFrame, guard: DataFrame) -> DataFrame
     return ranked.where(F.col("rank") <= 3 * n // 4).drop("rank")
 
 
-class EdgeTest:
-    """Whether edge (s1, v1) comes before (s2, v2): most of a core agrees. A count of "not nearer" answers above half
-    of L is a comparison with the (L // 2 + 1)-th least distance to the core, so no answer is asked one by one."""
-
-    def __init__(self, one: pd.DataFrame, kernel: pd.DataFrame, core: pd.DataFrame, vectors: pd.DataFrame) -> None:
-        self.s = {s: i for i, s in enumerate(one["id"])}
-        self.s_vectors = np.stack(one["embedding"].to_numpy()).astype(np.float64)
-        at = {v: i for i, v in enumerate(vectors["id"])}
-        self.vectors = np.stack(vectors["embedding"].to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, self.s_vectors.shape[1]))
-        self.cores: dict[tuple[int, int], np.ndarray] = {}
-        for (s, t), g in pd.concat([kernel.assign(t=kernel["s"]), core])[["s", "t", "v"]].groupby(["s", "t"], sort=False):
-            self.cores[self.s[s], self.s[t]] = np.array([at[v] for v in g["v"]])
-
-    @staticmethod
-    def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Squared distances of all pairs, summed dimension by dimension as the column expression does."""
-        out = np.zeros((len(x), len(y)))
-        for j in range(x.shape[1]):
-            out += (x[:, j : j + 1] - y[:, j]) ** 2
-        return out
-
-    def before(self, s: np.ndarray, own: np.ndarray, d: np.ndarray, s2: int, own2: np.ndarray, d2: float) -> np.ndarray:
-        """own: distances to all kernel vertices. d: of the edges themselves."""
-        out = np.ones(len(s), dtype=bool)
-        if (s2, s2) not in self.cores:
-            return out
-        for s1 in np.unique(s):
-            at = np.flatnonzero(s == s1)
-            mine, its = self.cores.get((int(s1), s2)), self.cores.get((s2, int(s1)))
-            if (int(s1), int(s1)) not in self.cores:
-                continue
-            if mine is not None:
-                out[at] = d[at] < np.sort(own2[mine])[len(mine) // 2]
-            elif its is not None and s1 != s2:
-                out[at] = np.partition(own[np.ix_(at, its)], len(its) // 2, axis=1)[:, len(its) // 2] <= d2
-        return out
-
-
-def edge_test(one: DataFrame, kernel: DataFrame, core: DataFrame, active: DataFrame) -> EdgeTest:
-    """The test of a round; all of it has a size that depends on k only."""
-    ids = kernel.select(F.col("v").alias("id")).distinct()
-    return EdgeTest(one.orderBy("p").select("id", "embedding").toPandas(), kernel.select("s", "v").toPandas(), core.toPandas(), active.join(ids, "id", "left_semi").select("id", "embedding").toPandas())
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
-
-
-def test_edges(found: DataFrame, test: EdgeTest) -> DataFrame:
-    """found (s, v, embedding of v, pivot_s, pivot of v2's vector; other columns stay) with less. Edges come in
-    Arrow batches; the distances of a batch to the kernels are one matrix."""
-    kept = [c for c in found.columns if c not in ("embedding", "pivot")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            s = f["s"].map(test.s).to_numpy()
-            x = _matrix(f["embedding"])
-            d, own = ((test.s_vectors[s] - x) ** 2).cumsum(axis=1)[:, -1], test.distances(x, test.vectors)
-            less = np.empty(len(f), dtype=bool)
-            for _, g in f.groupby(["pivot_s", "pivot_v"], sort=False).indices.items():
-                s2, v2 = test.s[f["pivot_s"].iat[g[0]]], np.asarray(f["pivot"].iat[g[0]], dtype=np.float64)[None]
-                less[g] = test.before(s[g], own[g], d[g], s2, test.distances(v2, test.vectors)[0], float(((test.s_vectors[s2] - v2[0]) ** 2).cumsum()[-1]))
-            yield f[kept].assign(less=less)
-
-    fields = ", ".join(f"`{c}` {t}" for c, t in found.select(*kept).dtypes)
-    return found.mapInPandas(run, f"{fields}, less boolean")
-
-
-def sort_edges(one: DataFrame, candidates: DataFrame, test: EdgeTest, seed: int, node: int = NODE) -> DataFrame:
-    """s, v, ord: edges of samples to candidates in the order of a quicksort by the test, which isn't transitive, so the
-    order depends on pivots: of a node's edges the one with the least hash of seed and edge. Nodes of more than `node` edges are
-    split by one distributed pass a level, smaller ones are finished within tasks, in the same order."""
-    rows = one.select(F.col("id").alias("s")).crossJoin(candidates.select(F.col("id").alias("v"))).withColumn("h", F.xxhash64(F.lit(seed), "s", "v"))
-    vectors = candidates.select(F.col("id").alias("v"), "embedding")
-    n = rows.count()
-    live = rows.withColumn("lo", F.lit(0).cast("long")).withColumn("hi", F.lit(n).cast("long"))
-    done, small = [], []
-    while True:
-        large = F.col("hi") - F.col("lo") > node
-        small.append(live.where(~large))
-        live = live.where(large)
-        if not live.limit(1).count():
-            break
-        pivots = live.groupBy("lo").agg(F.min(F.struct("h", F.col("s").alias("pivot_s"), F.col("v").alias("pivot_v"))).alias("p")).select("lo", "p.pivot_s", "p.pivot_v")
-        pivots = pivots.join(vectors.withColumnRenamed("embedding", "pivot"), pivots.pivot_v == vectors.v).drop("v")
-        tested = table(test_edges(live.join(pivots, "lo").join(vectors, "v"), test).withColumn("own", (F.col("s") == F.col("pivot_s")) & (F.col("v") == F.col("pivot_v"))), "level")
-        mid = tested.where("less AND NOT own").groupBy("lo").count().withColumnRenamed("count", "less_n")
-        split = tested.join(mid, "lo", "left").withColumn("at", F.col("lo") + F.coalesce("less_n", F.lit(0)))
-        done.append(split.where("own").select("s", "v", F.col("at").alias("ord")))
-        below = F.col("less")
-        live = table(split.where("NOT own").select("s", "v", "h", F.when(below, F.col("lo")).otherwise(F.col("at") + 1).alias("lo"), F.when(below, F.col("at")).otherwise(F.col("hi")).alias("hi")), "level")
-
-    def finish(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["h", "s", "v"], kind="stable").reset_index(drop=True)
-        s, x = f["s"].map(test.s).to_numpy(), _matrix(f["embedding"])
-        d, own = ((test.s_vectors[s] - x) ** 2).cumsum(axis=1)[:, -1], test.distances(x, test.vectors)
-        place, todo = np.empty(len(f), dtype=np.int64), [(np.arange(len(f)), 0)]
-        while todo:
-            at, low = todo.pop()
-            if len(at) < 2:
-                place[at] = low
-                continue
-            p, rest = at[0], at[1:]
-            less = test.before(s[rest], own[rest], d[rest], int(s[p]), own[p], float(d[p]))
-            place[p] = low + int(less.sum())
-            todo += [(rest[less], low), (rest[~less], int(place[p]) + 1)]
-        return pd.DataFrame({"s": f["s"], "v": f["v"], "ord": f["lo"] + place})
-
-    rest = small[0]
-    for x in small[1:]:
-        rest = rest.unionByName(x)
-    kind = dict(rows.dtypes)
-    out = rest.join(vectors, "v").groupBy("lo").applyInPandas(finish, f"s {kind['s']}, v {kind['v']}, ord long")
-    for x in done:
-        out = out.unionByName(x)
-    return out
-
-
 def nearest_edges(ordered: DataFrame) -> DataFrame:
     """s, v, ord: of each v the edge that comes first."""
     return ordered.groupBy("v").agg(F.min(F.struct("ord", "s")).alias("e")).select("e.s", "v", "e.ord")
@@ -247,8 +151,9 @@ def one_round(active: DataFrame, n: int, k: int, seed: int, first: float = 1.0,
     ordered = table(edge_order(one, two), "edges")
     kernel = kernels(ordered, sizes)
     chosen = table(guard_filter(rest, one, guards(ordered, sizes)).select("id", "pos", "embedding"), "candidates")
-    test = edge_test(one, kernel, core_prime(one, kernel, sizes), active)
-    near = nearest_edges(sort_edges(one, chosen, test, seed)) if chosen.limit(1).count() else None
+    near = None
+    if chosen.limit(1).count():
+        near = nearest_edges(sort_edges(edge_table(chosen, blocks(one, kernel, active, sizes.kernel), seed), sizes.kernel))
     out = one.select("id", F.col("id").alias("center_id"))
     if near is not None:
         out = out.unionByName(safe_prefix(near, n).select(F.col("v").alias("id"), F.col("s").alias("center_id")))

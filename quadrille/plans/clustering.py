@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import coreset, ranking, successive
+from ..operators import coreset, edge_sort, ranking, successive
 from .fixtures import K, SEED, VIEW, V, dist, query, sample_sql
 
 # --- Successive sampling ---------------------------------------------------------------------------------
@@ -146,10 +146,10 @@ def _tested(spark: SparkSession, d: str) -> DataFrame:
     """Every edge to a candidate against the edge of the first sample and the first candidate."""
     rows, sizes, one, ordered, chosen = _candidates(spark, d)
     kernel = coreset.kernels(ordered, sizes)
-    test = coreset.edge_test(one, kernel, coreset.core_prime(one, kernel, sizes), rows)
-    pivot = one.where("p = 1").select(F.col("id").alias("pivot_s")).crossJoin(chosen.orderBy("pos").limit(1).select(F.col("id").alias("pivot_v"), F.col("embedding").alias("pivot")))
-    found = one.select(F.col("id").alias("s")).crossJoin(chosen.select(F.col("id").alias("v"), "embedding")).crossJoin(F.broadcast(pivot))
-    return coreset.test_edges(found, test)
+    found = coreset.table(edge_sort.edge_table(chosen, edge_sort.blocks(one, kernel, rows, sizes.kernel), SEED), "edges")
+    first = chosen.orderBy("pos").limit(1).select(F.col("id").alias("v"))
+    pivot = found.where("p = 1").join(F.broadcast(first), "v").select(*[F.col(c).alias(f"pivot_{c}") for c in found.columns])
+    return edge_sort.test_edges(found.crossJoin(F.broadcast(pivot)), sizes.kernel)
 
 
 _ALL_TO_TEST = (_REST, _X, _KERNELS, _GUARDS, _CORE, _FILTER, _Y, _PIVOT, _TEST)

@@ -25,13 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table(df: DataFrame, label: str = "table") -> DataFrame:
     """df written once and read back: cuts the lineage, and a lost executor costs no recomputation. The
-    files go when the application ends."""
+    files go when the application ends, or with release()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, place = _files(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a table() whose rows no later plan reads."""
+    files, place = _files(df.sparkSession, df._table_path)
+    files.delete(place, True)
+
+
+def _files(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def rank_rows(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:

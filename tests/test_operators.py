@@ -138,40 +138,6 @@ def test_coreset_leaves_small_tables_alone(spark):
             coreset.coreset_cluster(items, 3, **bad)
 
 
-def test_coreset_by_levels_and_in_one_task(spark, monkeypatch):
-    rng = np.random.default_rng(6)
-    items = _items(spark, rng.normal(size=(160, 4)))
-    sizes = coreset.round_sizes(160, 2)
-    one, two = coreset.samples(items, sizes, 0)
-    ordered = coreset.edge_order(one, two)
-    kernel = coreset.kernels(ordered, sizes)
-    test = coreset.edge_test(one, kernel, coreset.core_prime(one, kernel, sizes), items)
-    rest = coreset.non_sample(items, one, two)
-    for node in (60, 10_000):
-        got = coreset.sort_edges(one, rest, test, 1, node).collect()
-        assert sorted(r.ord for r in got) == list(range(len(got))) and len(got) == sizes.first * rest.count()
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.integers(0, 10**6))
-def test_edge_test_is_the_literal_vote(seed):
-    """One order statistic against asking every member of the core."""
-    rng = np.random.default_rng(seed)
-    s, v, c = (rng.integers(0, 3, (n, 2)).astype(float) for n in (2, 2, 5))
-    own_core, cross = list(rng.permutation(5)[: rng.integers(1, 5)]), list(rng.permutation(5)[: rng.integers(0, 5)])
-    frame = lambda rows: pd.DataFrame(rows, columns=["s", "v"])
-    core = pd.DataFrame([("b", "a", x) for x in cross], columns=["s", "t", "v"])
-    test = coreset.EdgeTest(pd.DataFrame({"id": ["a", "b"], "embedding": list(s)}), frame([(x, y) for x in "ab" for y in own_core]), core, pd.DataFrame({"id": range(5), "embedding": list(c)}))
-    d = lambda x, y: float(((x - y) ** 2).sum())
-    got = test.before(np.array([0, 0]), test.distances(v, test.vectors), np.array([d(s[0], v[0]), d(s[0], v[1])]), 1, test.distances(v[1:], test.vectors)[0], d(s[1], v[1]))
-    for i in range(2):
-        no = sum(not d(s[1], v[1]) < d(c[x], v[i]) for x in cross)
-        assert got[i] == (no > len(cross) // 2 if cross else True)
-    same = test.before(np.array([1]), test.distances(v[:1], test.vectors), np.array([d(s[1], v[0])]), 1, test.distances(v[1:], test.vectors)[0], d(s[1], v[1]))
-    no = sum(not d(s[1], v[0]) < d(c[x], v[1]) for x in own_core)
-    assert same[0] == (not no > len(own_core) // 2)
-
-
 def test_kmeans(spark):
     rng = np.random.default_rng(8)
     items = _items(spark, np.concatenate([rng.normal(size=(30, 2)) * 0.1 + c for c in ([0, 0], [5, 5], [0, 9])]), ["abc"[i // 30] for i in range(90)])
@@ -432,19 +398,6 @@ def test_malformed_judgements_are_asked_again(spark, tmp_path):
     assert (counts.hits, counts.misses, counts.asked) == (3, 3, 1)
 
 
-def test_order_of_edges_is_the_same_at_any_node_size(spark):
-    rng = np.random.default_rng(3)
-    rows = spark.createDataFrame([(str(i), i, f"l{i % 3}", rng.normal(size=4).tolist()) for i in range(160)], "id string, pos long, label_name string, embedding array<double>")
-    sizes = coreset.round_sizes(160, 2)
-    one, two = coreset.samples(rows, sizes, 0)
-    ordered = coreset.edge_order(one, two).cache()
-    kernel = coreset.kernels(ordered, sizes)
-    test = coreset.edge_test(one, kernel, coreset.core_prime(one, kernel, sizes), rows)
-    rest = coreset.non_sample(rows, one, two).select("id", "pos", "embedding").limit(30)
-    found = [Counter(map(tuple, coreset.sort_edges(one, rest, test, 1, node).select("s", "v", "ord").collect())) for node in (1_000_000, 40)]
-    assert found[0] == found[1] and sorted(o for _, _, o in found[0]) == list(range(len(found[0])))
-
-
 def test_names_are_found_at_the_package():
     import quadrille
 
