@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as E
 from ..operators import assign, comparisons, judge, kmeans, metrics, ranking
-from ..sources.text_rows import first_by_text, text_rows, with_vectors
+from ..sources.text_rows import first_by_text, shared_vectors, text_rows, with_vectors
 from ..storage import shared_dir
 from .fixtures import ANCHOR, ASSIGNED, K, SEED, VIEW, T, V, centers, dist, half_sql, key_sql, norm2, query, sample_sql
 
@@ -29,6 +29,22 @@ def scan_text_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "text", "label", "label_name", F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"))
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id::VARCHAR AS id, source FROM documents")
+def source_places(spark: SparkSession, d: str) -> DataFrame:
+    """Places of all documents in their files; the files hold them in the order of doc_id."""
+    raw = spark.read.parquet(f"{d}/documents.parquet")
+    rows = text_rows(raw, label_field="lang", id_field="doc_id")
+    return rows.select(F.col("id").cast("long").alias("doc_id"), "pos", "id", F.col("metadata")["source"].alias("source"))
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text)::DOUBLE AS e0, first_value(n_chars) OVER (PARTITION BY text ORDER BY doc_id)::DOUBLE AS e1 FROM documents")
+def text_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """Equal texts with unequal vectors take the vector of the first."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = docs.select("text", F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), F.array(F.col("doc_id").cast("double"), F.col("n_chars").cast("double")).alias("embedding"))
+    return shared_vectors(rows).select(F.col("pos").alias("doc_id"), F.col("embedding")[0].alias("e0"), F.col("embedding")[1].alias("e1"))
+
+
 @query("""SELECT p_partkey, array_to_string(list_filter([trim(coalesce(p_name, '')), trim(coalesce(p_brand, '')), trim(CASE WHEN p_size % 7 = 0 THEN '' ELSE coalesce(p_type, '') END)],
   lambda x: x <> ''), chr(10) || chr(10)) AS text FROM part""")
 def scan_join_text_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -303,7 +319,7 @@ def _cache(keyed: DataFrame) -> DataFrame:
     known = keyed.groupBy("key").agg(F.min("doc_id").alias("one")).where(F.col("one") % 3 == 0).select("key", F.lit("known").alias("reasoning"), (F.col("one") % 2 == 0).alias("answer"))
     for turn in range(2):
         judge.append_to_cache(path, known.where(F.pmod(F.xxhash64("key"), F.lit(2)) <= turn))
-    return spark.read.parquet(path)
+    return judge.read_cache(spark, path)
 
 
 _CACHE = "h AS (SELECT key, 'known' AS reasoning, min(doc_id) % 2 = 0 AS answer FROM k GROUP BY 1 HAVING min(doc_id) % 3 = 0)"

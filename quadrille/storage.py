@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -47,6 +48,17 @@ def _files(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def running_total(df: DataFrame, value: str, *order: Column | str, name: str = "before") -> DataFrame:
+    """df with the sum of `value` over the rows before each in a total order, without any task that sees all rows: rows are dealt out by
+    ranges of the order and summed within their partition; sums of the partitions before give the rest."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at"))
+    dealt = table(dealt.withColumn("part", F.shiftright("at", 33)), "ranges")
+    own = dealt.groupBy("part").agg(F.sum(f"row.{value}").alias("whole"))
+    earlier = own.select("part", (F.sum("whole").over(W.orderBy("part")) - F.col("whole")).alias("earlier"))
+    within = F.sum(f"row.{value}").over(W.partitionBy("part").orderBy("at")) - F.col(f"row.{value}")
+    return dealt.withColumn("within", within).join(earlier, "part").select("row.*", (F.col("earlier") + F.col("within")).alias(name))
+
+
 def rank_rows(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """df with its 1-based place in a total order, without any task that sees all rows.
 
@@ -57,3 +69,20 @@ def rank_rows(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFr
     part = F.shiftright("at", 33)
     before = dealt.groupBy(part.alias("part")).count().withColumn("before", F.sum("count").over(W.orderBy("part")) - F.col("count")).drop("count")
     return dealt.withColumn("part", part).join(before, "part").select("row.*", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
+
+
+def number_rows(df: DataFrame, name: str = "pos") -> DataFrame:
+    """df with its place from 0 on, without gaps, in the order of its source; a column of that name is replaced.
+
+    Rows of files go by the files' paths, then by their places in the file, whatever splits Spark makes: rows are counted by split, and
+    the splits before give each its first place. Nothing is sorted and no row is shuffled by its place. Where df doesn't
+    come from files, its partitions give the order."""
+    try:
+        source = df.metadataColumn("_metadata")
+        keyed = df.select("*", source["file_path"].alias("_file"), source["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        keyed = df.select("*", F.lit("").alias("_file"), F.shiftright(at, 33).alias("_block"), at.alias("_at"))
+    splits = table(keyed.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows")), "splits")
+    before = running_total(splits, "_rows", "_file", "_block", name="_before").drop("_rows")
+    return keyed.join(before, ["_file", "_block"]).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first")).drop("_file", "_block", "_at", "_first", "_before")

@@ -379,7 +379,7 @@ def test_judgements_have_their_own_types(spark):
         "none": False,
     }
     rows = spark.createDataFrame([(c,) for c in cases], "s string").select("s", X.parse_response(F.col("s")).alias("p")).collect()
-    assert {r.s: r.p.ok for r in rows} == cases and all(judge.usable(c) == ok for c, ok in cases.items())
+    assert {r.s: r.p.ok for r in rows} == cases and all((judge.judgement(c) is not None) == ok for c, ok in cases.items())
 
 
 def test_malformed_judgements_are_asked_again(spark, tmp_path):
