@@ -72,3 +72,21 @@ def parse_response(response: Column) -> Column:
     said, flag = fields["reasoning"], fields["is_ab_less_than_cd"]
     ok = F.coalesce((F.schema_of_variant(said) == "STRING") & (F.schema_of_variant(flag) == "BOOLEAN"), F.lit(False))
     return F.struct(ok.alias("ok"), F.when(ok, F.try_variant_get(said, "$", "string")).alias("reasoning"), F.when(ok, F.try_variant_get(flag, "$", "boolean")).alias("answer"))
+
+
+def six_digits(x: Column) -> Column:
+    """A number with six significant digits, without zeros at the end; with an exponent below 0.0001 and from a million on."""
+    written = F.format_string("%.5e", F.abs(x))
+    digits = F.concat(F.substring(written, 1, 1), F.substring(written, 3, 5))
+    e = F.regexp_extract(written, r"e([+-]\d+)$", 1).cast("int")
+    zeros = F.repeat(F.lit("0"), F.greatest(-e - 1, F.lit(0)))
+    whole = F.when(e >= 0, F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, F.lit(6)))).otherwise(F.concat(F.lit("0."), zeros, digits))
+    power = F.concat(F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+    far = F.concat(_plain(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))), F.when(F.abs(e) > 99, F.concat(F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.abs(e).cast("string"))).otherwise(power))
+    text = F.when(x == 0, "0").when((e < -4) | (e >= 6), far).otherwise(_plain(whole))
+    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), text))
+
+
+def _plain(number: Column) -> Column:
+    """Without zeros and a point at the end."""
+    return F.regexp_replace(number, r"\.?0*$", "")

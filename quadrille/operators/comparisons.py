@@ -8,6 +8,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import six_digits
 from ..functions.vectors import half_distance, squared_distance
 
 Distance = Callable[[Column, Column], Column]
@@ -45,12 +46,14 @@ class VectorComparator:
         self.items, self.distance = items.select("id", "embedding"), PROFILES[profile]
 
     def compare(self, quads: DataFrame) -> DataFrame:
+        """quads with d_ab, d_cd, answer and reasoning. Vectors of one pair at a time take part: those of a and b are gone before c and d are joined."""
         out = quads
-        for c in "abcd":
-            out = out.join(self.items.select(F.col("id").alias(c), F.col("embedding").alias(f"_{c}")), c, "left")
-        out = out.withColumn("d_ab", self.distance(F.col("_a"), F.col("_b"))).withColumn("d_cd", self.distance(F.col("_c"), F.col("_d")))
-        said = F.concat(F.lit("distances "), F.col("d_ab").cast("string"), F.lit(" and "), F.col("d_cd").cast("string"))
-        return out.drop("_a", "_b", "_c", "_d").withColumn("answer", F.col("d_ab") < F.col("d_cd")).withColumn("reasoning", said)
+        for x, y in ("ab", "cd"):
+            for c in (x, y):
+                out = out.join(self.items.select(F.col("id").alias(c), F.col("embedding").alias(f"_{c}")), c, "left")
+            out = out.withColumn(f"d_{x}{y}", self.distance(F.col(f"_{x}"), F.col(f"_{y}"))).drop(f"_{x}", f"_{y}")
+        said = F.concat(F.lit("embedding_sq_l2_ab="), six_digits(F.col("d_ab")), F.lit("; embedding_sq_l2_cd="), six_digits(F.col("d_cd")))
+        return out.withColumn("answer", F.col("d_ab") < F.col("d_cd")).withColumn("reasoning", said)
 
 
 def closer(comparator: Comparator, spark: SparkSession, a: str, b: str, c: str, d: str) -> bool:
@@ -58,10 +61,14 @@ def closer(comparator: Comparator, spark: SparkSession, a: str, b: str, c: str,
     return comparator.compare(spark.createDataFrame([(a, b, c, d)], "a string, b string, c string, d string")).select("answer").first()[0]
 
 
-def grouped_majority(answers: DataFrame, invert: str | None = None) -> DataFrame:
+def grouped_majority(answers: DataFrame, invert: str | None = None, groups: DataFrame | None = None) -> DataFrame:
     """grp, n, no, majority of answers (grp, answer): whether more than half, rounded down, say no. An
-    inverted group turns the verdict. A tie is no majority."""
-    found = answers.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(~F.col("answer")).alias("no"), *([F.first(invert).alias("_invert")] if invert else []))
+    inverted group turns the verdict. A tie is no majority. groups (grp, and the column that inverts) says which groups there are: one without answers has no
+    majority either; without it, groups are those that have answers."""
+    found = answers.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(~F.col("answer")).alias("no"), *([F.first(invert).alias("_invert")] if invert and groups is None else []))
+    if groups is not None:
+        every = groups.select("grp", *([F.col(invert).alias("_invert")] if invert else []))
+        found = every.join(found, "grp", "left").fillna(0, ["n", "no"])
     verdict = F.col("no") > F.floor(F.col("n") / 2)
     return found.withColumn("majority", F.when(F.col("_invert"), ~verdict).otherwise(verdict) if invert else verdict).select("grp", "n", "no", "majority")
 

@@ -6,7 +6,7 @@ blocks of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import ceil
 
@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..storage import rank_rows, release, table
+from ..storage import nth_row, rank_rows, release, table, up_to
 from .assign import compression_centers, nearest_center
 from .comparisons import edges
 from .edge_sort import BLOCK, DELTA, blocks, distances, edge_table, matrix, sort_edges
 from .ranking import sample
-from .successive import Clustering
+from .successive import Clustering, unique_ids
 
 #: Rows below which no round starts.
 TERMINAL = 100
@@ -126,10 +126,9 @@ def _nearer(shared):
 
 
 def guard_filter(rest: DataFrame, one: DataFrame, guard: DataFrame) -> DataFrame:
-    """The three quarters of the rows, rounded down, of least proximity, ties by place."""
-    ranked = rank_rows(proximity(rest, one, guard), "prox", "pos")
-    n = ranked.count()
-    return ranked.where(F.col("rank") <= 3 * n // 4).drop("rank")
+    """The three quarters of the rows, rounded down, of least proximity, ties by place (places don't repeat)."""
+    found = table(proximity(rest, one, guard), "proximity")
+    return found.where(up_to(nth_row(found, 3 * found.count() // 4, "prox", "pos"), "prox", "pos"))
 
 
 def nearest_edges(ordered: DataFrame) -> DataFrame:
@@ -139,8 +138,9 @@ def nearest_edges(ordered: DataFrame) -> DataFrame:
 
 def safe_prefix(nearest: DataFrame, n_active: int) -> DataFrame:
     """The first half, of the number of active rows, of the nearest edges: at least one of them, all if fewer."""
-    ranked = rank_rows(nearest, "ord", "v")
-    return ranked.where(F.col("rank") <= max(1, n_active // 2)).drop("rank")
+    found = table(nearest, "nearest")
+    cut = nth_row(found, max(1, n_active // 2), "ord", "v")
+    return found if cut is None else found.where(up_to(cut, "ord", "v"))
 
 
 def one_round(active: DataFrame, n: int, k: int, seed: int, first: float = 1.0, second: float = 1.0) -> tuple[DataFrame, dict]:
@@ -162,24 +162,24 @@ def one_round(active: DataFrame, n: int, k: int, seed: int, first: float = 1.0,
     return out, {"active": n, "sample1": sizes.first, "sample2": sizes.second, "kernel": sizes.kernel, "assigned": left}
 
 
-def coreset_cluster(rows: DataFrame, k: int, *, correctness: float = 0.85, first: float = 1.0, second: float = 1.0, window_multiplier: float = 2.0, terminal_multiplier: float = 0.01, sample_fraction_cap: float | None = None, window_size: int | None = None, max_rounds: int | None = None, seed: int = 0, final: int | None = None) -> Clustering:
+def coreset_cluster(rows: DataFrame, k: int, *, correctness: float = 0.85, first: float = 1.0, second: float = 1.0, window_multiplier: float = 2.0, terminal_multiplier: float = 0.01, sample_fraction_cap: float | None = None, window_size: int | None = None, max_rounds: int | None = None, seed: int = 0, final: int | None = None, on_round: Callable[[dict], None] | None = None) -> Clustering:
     """Rounds until TERMINAL rows are left or the rounds are used up; what is left are centers of their own. final:
     exactly so many centers, padded from the largest clusters, and all rows assigned anew. correctness and the window and
-    terminal multipliers are recorded and change nothing; the cap and the window size can't be set."""
+    terminal multipliers are recorded and change nothing; the cap and the window size can't be set. on_round is told of each round."""
     if sample_fraction_cap is not None or window_size is not None:
         raise ValueError("sample_fraction_cap and window_size can't be set")
     if k < 1 or not 0 <= correctness <= 1 or min(first, second, window_multiplier, terminal_multiplier) <= 0 or (max_rounds is not None and max_rounds < 1) or (final is not None and final < 1):
         raise ValueError("a parameter is out of range")
     rows = table(rows.select("id", "pos", "label_name", "embedding"), "rows")
-    n = rows.count()
-    if rows.select("id").distinct().count() != n:
-        raise ValueError("ids repeat")
+    n = unique_ids(rows)
     limit = max_rounds or max(n, 2).bit_length()
     active, left, parts, rounds = rows, n, [], []
     while left > TERMINAL and len(rounds) < limit:
         out, log = one_round(active, left, k, seed + len(rounds), first, second)
         parts.append(out)
         rounds.append(log)
+        if on_round:
+            on_round(log)
         active = table(active.join(out.select("id"), "id", "left_anti"), "active")
         left -= log["assigned"]
     placed = active.select("id", F.col("id").alias("center_id"))

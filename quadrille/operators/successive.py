@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import rank_rows, table
+from ..storage import nth_row, rank_rows, release, table, up_to
 from .assign import largest_clusters, nearest_center
 from .ranking import sample
 
@@ -36,33 +37,52 @@ def sorted_round(remaining: DataFrame, centers: DataFrame, profile: str = "f64")
     return rank_rows(nearest_center(remaining, centers, profile), F.desc("is_self"), "d", "id")
 
 
-def successive_sampling(rows: DataFrame, k: int, *, multiplier: float = 1.0, cover: float = 0.5, seed: int = 0, final: int | None = None, profile: str = "f64") -> Clustering:
+def unique_ids(rows: DataFrame) -> int:
+    """The number of rows; ids that repeat are an error, as assignments go by id."""
+    n, ids = rows.agg(F.count("*"), F.count_distinct("id")).first()
+    if ids != n:
+        raise ValueError("ids repeat or are null")
+    return n
+
+
+def successive_sampling(rows: DataFrame, k: int, *, multiplier: float = 1.0, cover: float = 0.5, seed: int = 0, final: int | None = None, profile: str = "f64", on_round: Callable[[dict], None] | None = None) -> Clustering:
     """Each round samples k * multiplier centers, and the nearest `cover` of the remaining rows join them. Rows that are
     left when no more than a sample remains become their own centers. final: keep so many of the largest clusters
-    (fewer if there are fewer) and assign all rows to their centers anew. One job sequence a round, logarithmically many."""
+    (fewer if there are fewer) and assign all rows to their centers anew. Logarithmically many rounds, each of which writes the remaining rows
+    once, with their nearest centers; the border of what joins is found from histograms of the distances. on_round is told of each."""
     if k < 1 or multiplier <= 0 or not 0 < cover < 1 or (final is not None and final < 1):
         raise ValueError("k and final are at least 1, the multiplier positive, cover between 0 and 1")
     rows = table(rows.select("id", "pos", "label_name", "embedding"), "rows")
-    n = rows.count()
+    n = unique_ids(rows)
     m, remaining, left = sample_size(n, k, multiplier), rows, n
-    rounds, parts = [], []
+    rounds, parts, held = [], [], []
     while left > m:
         centers = table(sample(remaining, m, seed + len(rounds)), "centers")
         covered = min(left, max(1, ceil(cover * left)))
-        placed = table(sorted_round(remaining, centers, profile).where(F.col("rank") <= covered).select("id", "center_id"), "covered")
-        parts.append(placed)
+        near = nearest_center(remaining, centers, profile, keep=("pos", "embedding"))
+        near = table(near.withColumn("key", F.when(F.col("is_self"), -1.0).otherwise(F.col("d"))), "near")
+        release(centers)
+        held.append(near)
+        inside = up_to(nth_row(near, covered, "key", "id"), "key", "id")
+        parts.append(near.where(inside).select("id", "center_id"))
         rounds.append({"remaining": left, "sampled": m, "covered": covered})
-        remaining = table(remaining.join(placed.select("id"), "id", "left_anti"), "remaining")
+        if on_round:
+            on_round(rounds[-1])
+        remaining = near.where(~inside).select("id", "pos", "label_name", "embedding")
         left -= covered
     parts.append(remaining.select("id", F.col("id").alias("center_id")))
     candidates = parts[0]
     for p in parts[1:]:
         candidates = candidates.unionByName(p)
     candidates = table(candidates.join(rows.select("id", "pos", "label_name"), "id"), "candidates")
+    for x in held:
+        release(x)
     assigned = candidates
     if final is not None:
         kept = largest_clusters(candidates, final)
         ordered = rank_rows(kept, F.desc("size"), "center_id", name="p").select(F.col("center_id").alias("id"), "p")
-        centers = ordered.join(rows.select("id", "embedding"), "id")
-        assigned = table(nearest_center(rows, centers, profile).select("id", "center_id").join(rows.select("id", "pos", "label_name"), "id"), "assigned")
+        centers = table(ordered.join(rows.select("id", "embedding"), "id"), "centers")
+        assigned = table(nearest_center(rows, centers, profile, keep=("pos",)).select("id", "center_id", "pos", "label_name"), "assigned")
+        release(centers)
+    release(rows)
     return Clustering(assigned, candidates, rounds, {"k": k, "multiplier": multiplier, "cover": cover, "seed": seed, "final": final})

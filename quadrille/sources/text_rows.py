@@ -19,7 +19,7 @@ ONTOLOGY_NAMES = ("dbpedia", "dbpedia_14", "dbpedia_ontology")
 
 
 def text_rows(raw: DataFrame, *, text_fields: Sequence[str] = (), label_field: str | None = None, id_field: str | None = None, pos_field: str | None = None, label_names: Sequence[str] = (), drop_labels: Sequence[str] = (), provenance: dict[str, str] | None = None) -> DataFrame:
-    """COLUMNS of a raw table. Fields are inferred where none is named; other columns, the names of the fields and the
+    """COLUMNS of a raw table. Fields are inferred where none is named; other columns and the
     provenance become metadata.
 
     Without pos_field rows are numbered from 0 in the order of the source. The id is the id field, else the column `id`, else the
@@ -31,12 +31,12 @@ def text_rows(raw: DataFrame, *, text_fields: Sequence[str] = (), label_field: s
         raise ValueError(f"no column {', '.join(missing)}")
     rest = [c for c in raw.columns if c not in {*fields, label_field, id_field, pos_field}]
     id_field = id_field or ("id" if "id" in rest else None)
-    said = {"label_field": label_field, **({"text_field": fields[0]} if len(fields) == 1 else {"text_fields": ", ".join(fields)}), **(provenance or {})}
+    said = provenance or {}
     pairs = [x for c in rest if c not in said for x in (F.lit(c), F.col(f"`{c}`").cast("string"))] + [x for k, v in said.items() for x in (F.lit(k), F.lit(v).cast("string"))]
     numbered = raw.withColumn("_pos", F.col(pos_field).cast("long")) if pos_field else number_rows(raw, "_pos")
     place = F.col("_pos").cast("string")
     ids = F.coalesce(F.col(f"`{id_field}`").cast("string"), place) if id_field else place
-    rows = numbered.select(F.col("_pos").alias("pos"), ids.alias("id"), join_fields(*[F.col(f"`{f}`") for f in fields]).alias("text"), F.col(f"`{label_field}`").cast("string").alias("label"), label_name(F.col(f"`{label_field}`"), label_names).alias("label_name"), F.create_map(*pairs).alias("metadata"))
+    rows = numbered.select(F.col("_pos").alias("pos"), ids.alias("id"), join_fields(*[F.col(f"`{f}`") for f in fields]).alias("text"), F.col(f"`{label_field}`").cast("string").alias("label"), label_name(F.col(f"`{label_field}`"), label_names).alias("label_name"), (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("metadata"))
     if drop_labels:
         gone = [x.lower().strip().replace("-", "_").replace(" ", "_") for x in drop_labels]
         rows = rows.where(~F.coalesce(normalize_label(F.col("label_name")).isin(gone), F.lit(False)))

@@ -71,6 +71,51 @@ def rank_rows(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFr
     return dealt.withColumn("part", part).join(before, "part").select("row.*", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
 
 
+#: Bins of a histogram of keys; rows of its border that are put in order.
+BINS, BORDER = 1024, 100_000
+
+
+def nth_row(df: DataFrame, n: int, key: str, tie: str, border: int = BORDER) -> tuple | None:
+    """(key, tie) of the n-th row, counted from 1, in the order of key (finite numbers) and tie; None if there are fewer. Rows up to it are those with
+    a less key, or an equal one and no greater tie.
+
+    A histogram of the keys tells in which bin the row is; that bin is divided until it holds `border` rows at most, and these
+    alone are put in order. Each turn is one aggregate over df, which should be a table; nothing is shuffled but counts. A key that more than
+    `border` rows share is decided by ranking their ties in a distributed way."""
+    if n < 1:
+        return None
+    held = df.select(F.col(key).cast("double").alias("key"), F.col(tie).alias("tie"))
+    low, high, size = held.agg(F.min("key"), F.max("key"), F.count("*")).first()
+    before = 0
+    if size < n:
+        return None
+    while size > border and low < high:
+        width = (high - low) / BINS
+        if not low + width > low:
+            break
+        at = F.least(F.floor((F.col("key") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1))
+        bins = held.where(F.col("key").between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("bin").collect()
+        for b in bins:
+            if before + b.n >= n:
+                low, high, size = b.low, b.high, b.n
+                break
+            before += b.n
+    inside = held.where(F.col("key").between(low, high))
+    if size <= border:
+        found = inside.orderBy("key", "tie").limit(n - before).orderBy(F.desc("key"), F.desc("tie")).first()
+    else:
+        found = rank_rows(inside, "key", "tie").where(F.col("rank") == n - before).first()
+    return found["key"], found["tie"]
+
+
+def up_to(cut: tuple | None, key: str, tie: str) -> Column:
+    """Whether a row comes no later than nth_row() in the order; without one, no row does."""
+    if cut is None:
+        return F.lit(False)
+    k = F.col(key).cast("double")
+    return (k < F.lit(cut[0])) | ((k == F.lit(cut[0])) & (F.col(tie) <= F.lit(cut[1])))
+
+
 def number_rows(df: DataFrame, name: str = "pos") -> DataFrame:
     """df with its place from 0 on, without gaps, in the order of its source; a column of that name is replaced.
 

@@ -54,7 +54,7 @@ def test_an_id_column_is_the_id(spark, tmp_path):
     lines = [{"id": "q7", "text": "a", "label": "x", "_metadata": 1}, {"id": None, "text": "b", "label": "y", "_metadata": 2}]
     (tmp_path / "rows.json").write_text("\n".join(map(json.dumps, lines)))
     raw = text_rows.read_any(spark, str(tmp_path / "rows.json"))
-    got = sorted(text_rows.text_rows(raw).collect(), key=lambda r: r.pos)
+    got = sorted(text_rows.text_rows(raw, provenance={"text_field": "text"}).collect(), key=lambda r: r.pos)
     assert [r.id for r in got] == ["q7", "1"] and got[0].metadata["_metadata"] == "1" and got[0].metadata["text_field"] == "text"
     assert [r.id for r in text_rows.text_rows(raw, id_field="text").orderBy("pos").collect()] == ["a", "b"]
     with pytest.raises(ValueError):
