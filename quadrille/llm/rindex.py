@@ -389,9 +389,9 @@ def _split(pieces: DataFrame, match: int) -> tuple[list[DataFrame], list[DataFra
     return whole, marks
 
 
-def find_repeats(docs: DataFrame, match: int = MATCH, within: bool = True) -> DataFrame:
-    """Marks (k1, k2, lo, hi) of the texts in docs (k1, k2, text): together they cover exactly the bytes
-    of strings of `match` bytes that start at two places; within=False leaves out what is there again only in a text itself
+def find_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
+    """Marks (k1, k2, lo, hi, own) of the texts in docs (k1, k2, text): together they cover exactly the bytes
+    of strings of `match` bytes that start at two places; own: of what is there again in the text itself
     (in the same CHUNK of it). Marks overlap."""
     found = table(docs.mapInArrow(lambda batches: _occurrences(batches, match), OCCURRENCE), "anchors")
     every = found.where("gram IS NOT NULL")
@@ -399,10 +399,12 @@ def find_repeats(docs: DataFrame, match: int = MATCH, within: bool = True) -> Da
     classes = table(every.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place", "lo", "hi")).alias("one")), "classes")
     reclaim(docs.sparkSession)
     sure = every.join(classes.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").select("k1", "k2", "lo", "hi")
-    sure = table(sure.unionByName(found.where("gram IS NULL").select("k1", "k2", "lo", "hi")) if within else sure, "sure")
+    sure = sure.withColumn("own", F.lit(False)).unionByName(found.where("gram IS NULL").select("k1", "k2", "lo", "hi", F.lit(True).alias("own")))
+    sure = table(sure, "sure")
     release(found)
     # Of grams with a class of one and another class, one member of each class goes to the index.
-    still = classes.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("n")).where("m > 1 AND n = 1").select("gram", "m")
+    # They are a table, so that the join below reads two plain shuffles and Spark can split the classes of a hot gram.
+    still = table(classes.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("n")).where("m > 1 AND n = 1").select("gram", "m"), "still")
     wanted = table(classes.join(still, "gram").select("one.*", "gram", "m"), "wanted")
     release(classes)
     reclaim(docs.sparkSession)
@@ -418,7 +420,7 @@ def find_repeats(docs: DataFrame, match: int = MATCH, within: bool = True) -> Da
     found = [p.select("file", "k1", "k2", "lo", "data").repartition("file").sortWithinPartitions("file").mapInArrow(lambda batches: _index(batches, match), MARK) for p in parts]
     out = sure
     for x in [*found, *marks]:
-        out = out.unionByName(x)
+        out = out.unionByName(x.withColumn("own", F.lit(False)))
     return out
 
 
@@ -440,6 +442,34 @@ def _whole_words(text: bytes, lo: int, hi: int) -> int:
     return len(run.split()) - cut
 
 
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k1, k2, text, marks) to (k1, k2, at, text): the runs of marks that hold MATCH bytes or more, and where they start."""
+    for batch in slices(batches):
+        rows = []
+        for i, marks in enumerate(batch.column(3).to_pylist()):
+            runs = [r for r in _runs(marks) if r["hi"] - r["lo"] >= MATCH]
+            text = batch.column(2)[i].as_buffer().to_pybytes() if runs else b""
+            rows += [(i, r["lo"], text[r["lo"] : r["hi"]]) for r in runs]
+        if rows:
+            row, at, text = zip(*rows)
+            keys = [batch.column(k).take(pa.array(row)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(at, pa.int32()), pa.array(text, pa.binary())], ["k1", "k2", "at", "text"])
+
+
+def find_in_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """find_repeats() for MATCH bytes, where runs (k1, k2, lo, hi) mark what shorter strings repeat: a longer string that repeats lies in one
+    run, so only runs of MATCH bytes or more are read, each as a text of its own."""
+    marks = runs.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
+    cut = docs.join(marks, ["k1", "k2"]).select("k1", "k2", F.encode("text", "UTF-8").alias("text"), "marks")
+    cut = cut.mapInArrow(_segments, "k1 long, k2 long, at int, text binary")
+    segments = table(cut.select("*", *[k.alias(f"s{n}") for n, k in enumerate(row_keys("k1", "k2", "at"), 1)]), "segments")
+    reclaim(docs.sparkSession)
+    found = find_repeats(segments.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), "text"))
+    whose = segments.select("k1", "k2", "at", "s1", "s2").distinct()
+    found = found.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "lo", "hi").join(whose, ["s1", "s2"])
+    return found.select("k1", "k2", (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi"))
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     entry = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
     for batch in slices(batches):
@@ -464,9 +494,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", *row_keys("doc_id", "text"))
     keyed = rows.select("k1", "k2", "text")
-    marks = table(find_repeats(keyed).withColumn("removed", F.lit(True)), "marks")
+    short = table(find_repeats(keyed, PASSAGE), "marks")
     reclaim(docs.sparkSession)
-    marks = marks.unionByName(table(find_repeats(keyed, PASSAGE, within=False).withColumn("removed", F.lit(False)), "marks"))
+    marks = table(find_in_runs(keyed, short.drop("own")), "marks").withColumn("removed", F.lit(True))
+    marks = marks.unionByName(short.where("NOT own").drop("own").withColumn("removed", F.lit(False)))
     reclaim(docs.sparkSession)
     place = F.struct("lo", "hi")
     marks = marks.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("removed"), place)).alias("marks"), F.collect_set(F.when(~F.col("removed"), place)).alias("shared"))
