@@ -151,15 +151,22 @@ def one_round(active: DataFrame, n: int, k: int, seed: int, first: float = 1.0,
     ordered = table(edge_order(one, two), "edges")
     kernel = kernels(ordered, sizes)
     chosen = table(guard_filter(rest, one, guards(ordered, sizes)).select("id", "pos", "embedding"), "candidates")
-    near = None
-    if chosen.limit(1).count():
+    near, safe = None, 0
+    filtered = chosen.count()
+    if filtered:
         near = nearest_edges(sort_edges(edge_table(chosen, blocks(one, kernel, active, sizes.kernel), seed), sizes.kernel))
     out = one.select("id", F.col("id").alias("center_id"))
     if near is not None:
         out = out.unionByName(safe_prefix(near, n).select(F.col("v").alias("id"), F.col("s").alias("center_id")))
     out = table(out, "round")
     left = out.count()
-    return out, {"active": n, "sample1": sizes.first, "sample2": sizes.second, "kernel": sizes.kernel, "assigned": left}
+    names = [[r.id for r in x.orderBy("p").select("id").collect()] for x in (one, two)]
+    safe = left - len(names[0])
+    log = {"n_active_before": n, "sample1_size": len(names[0]), "sample2_size": len(names[1]), "edge_sample_count": ordered.count(), "window_size": sizes.kernel, "dislocation_bound": DELTA}
+    log |= {"filtered_count": filtered, "safe_count": safe, "removed_count": left, "n_active_after": n - left, "sample1_center_ids": names[0], "sample2_center_ids": names[1]}
+    for x in (one, two, ordered, chosen):
+        release(x)
+    return out, log
 
 
 def coreset_cluster(rows: DataFrame, k: int, *, correctness: float = 0.85, first: float = 1.0, second: float = 1.0, window_multiplier: float = 2.0, terminal_multiplier: float = 0.01, sample_fraction_cap: float | None = None, window_size: int | None = None, max_rounds: int | None = None, seed: int = 0, final: int | None = None, on_round: Callable[[dict], None] | None = None) -> Clustering:
@@ -177,11 +184,11 @@ def coreset_cluster(rows: DataFrame, k: int, *, correctness: float = 0.85, first
     while left > TERMINAL and len(rounds) < limit:
         out, log = one_round(active, left, k, seed + len(rounds), first, second)
         parts.append(out)
-        rounds.append(log)
+        rounds.append({"index": len(rounds) + 1, **log})
         if on_round:
-            on_round(log)
+            on_round(rounds[-1])
         active = table(active.join(out.select("id"), "id", "left_anti"), "active")
-        left -= log["assigned"]
+        left -= log["removed_count"]
     placed = active.select("id", F.col("id").alias("center_id"))
     for p in parts:
         placed = placed.unionByName(p)
@@ -190,4 +197,4 @@ def coreset_cluster(rows: DataFrame, k: int, *, correctness: float = 0.85, first
     if final is not None:
         centers = compression_centers(candidates, final).join(rows.select("id", "embedding"), "id")
         assigned = table(nearest_center(rows, centers).select("id", "center_id").join(rows.select("id", "pos", "label_name"), "id"), "assigned")
-    return Clustering(assigned, candidates, rounds, {"k": k, "correctness": correctness, "window_multiplier": window_multiplier, "terminal_multiplier": terminal_multiplier, "seed": seed, "final": final})
+    return Clustering(assigned, candidates, rounds, {"target_clusters": k, "oracle_correctness_probability": correctness, "sample1_multiplier": first, "sample2_multiplier": second, "window_multiplier": window_multiplier, "terminal_multiplier": terminal_multiplier, "sample_fraction_cap": None, "nearest_edge_strategy": "adversarial_sort", "seed": seed, "final_center_count": final})

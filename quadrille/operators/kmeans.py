@@ -263,4 +263,4 @@ def kmeans_cluster(rows: DataFrame, k: int, *, seed: int = 0, n_init: int = 10,
     named = table(rows.select("id", "embedding").mapInArrow(place, f"id {dict(rows.dtypes)['id']}, center_id string"), "placed")
     heads = center_rows(named, rows)
     out = table(named.join(heads, "center_id").select("id", F.col("row_id").alias("center_id")).join(rows.select("id", "pos", "label_name"), "id"), "assigned")
-    return Clustering(out, out, log, {"k": k, "init": init, "n_init": n_init, "max_iter": max_iter, "tol": tol, "seed": seed, "steps": steps, "inertia": cost})
+    return Clustering(out, out, log, {"target_clusters": k, "seed": seed, "kmeans_init": init, "kmeans_n_init": n_init, "kmeans_max_iter": max_iter, "tol": tol, "steps": steps, "embedding_shape": [n, len(best[0])], "inertia": cost})

@@ -37,7 +37,9 @@ def _shown(assigned: DataFrame) -> list[str]:
 
 
 def listed_clusters(assigned: DataFrame) -> list[dict]:
-    """All clusters of a small table, the largest first."""
+    """All clusters of a table of up to INLINE rows, the largest first; more rows are an error."""
+    if assigned.limit(INLINE + 1).count() > INLINE:
+        raise ValueError(f"clusters of more than {INLINE} rows need an output folder")
     pages: dict = {}
     for r in sorted(nested_clusters(assigned, fields=_shown(assigned)).collect(), key=lambda r: r.page):
         pages.setdefault((-r["size"], r.center_id), []).extend(m.asDict() if isinstance(m, Row) else m for m in r.members)
@@ -48,7 +50,7 @@ def with_clusters(task: str, body: dict, result: Clustering, output: str | None,
     """The document with all final and candidate clusters, or with the names of the folders that they are written to. texts
     (id, text, label) are said of the rows."""
     parts = {"clusters": result.assigned}
-    if result.compressed:
+    if task != "embedding-cluster":
         parts["candidate_clusters" if task == "cluster" else "coreset_clusters"] = result.candidates
     for name, assigned in parts.items():
         assigned = assigned if texts is None else assigned.join(texts.select("id", *fields_of(texts)), "id")
@@ -64,23 +66,38 @@ def metrics_of(assigned: DataFrame) -> dict:
     return evaluate(assigned).first().asDict()
 
 
-def clustering_document(task: str, result: Clustering, dataset: dict) -> dict:
-    """What a run says of itself; with_clusters() adds the clusters themselves."""
-    body = {"dataset": dataset, "clustering": {"algorithm": ALGORITHMS[task], "rounds": result.rounds, **result.parameters}, "metrics": metrics_of(result.assigned)}
-    if result.compressed:
+def clustering_document(task: str, result: Clustering, dataset: dict, **parts: dict) -> dict:
+    """What a run says of itself, with parts (model, comparison) as given; with_clusters() adds the clusters themselves."""
+    centers = lambda x: x.select("center_id").distinct().count()
+    said = {"algorithm": ALGORITHMS[task], **result.parameters, "rounds": result.rounds}
+    said["n_final_centers"] = centers(result.assigned)
+    if task != "embedding-cluster":
+        said["exact_k_compression"] = result.compressed
+        said["n_candidate_centers" if task == "cluster" else "n_coreset_centers"] = centers(result.candidates)
+    body = {"dataset": dataset, **parts, "clustering": said, "metrics": metrics_of(result.assigned)}
+    if task != "embedding-cluster":
         body["candidate_metrics" if task == "cluster" else "coreset_metrics"] = metrics_of(result.candidates)
     return body
 
 
-def rank_document(ranked: DataFrame, metrics: DataFrame, anchor_id: str, dataset: dict, rows: int = INLINE, output: str | None = None) -> dict:
-    """The first rows of a ranking with its metrics; all rows are in `ranked`, or written as JSON lines to a folder in output."""
+def row_of(row: Row) -> dict:
+    """What a document says of one row."""
+    return {c: row[c] for c in ("id", *FIELDS, "label_name") if c in row}
+
+
+def rank_document(ranked: DataFrame, metrics: DataFrame, anchor: str | Row, dataset: dict, rows: int = INLINE, output: str | None = None, **parts: dict) -> dict:
+    """A ranking with its metrics, all its rows in the document or, as JSON lines, in a folder in output. More than `rows` rows without
+    output are an error. anchor: an id, or the row itself; parts (model, comparison) as given."""
     shown = ["id", *fields_of(ranked), "label_name", "rank", "d"] if "text" in ranked.columns else ["id", "label_name", "rank", "d"]
+    body = {"dataset": dataset, **parts, "anchor": anchor if isinstance(anchor, str) else row_of(anchor), "metrics": metrics.first().asDict()}
     if output:
         path = f"{output}/ranked_rows"
         ranked.select(*shown).write.json(path)
-        return {"dataset": dataset, "anchor": anchor_id, "metrics": metrics.first().asDict(), "ranked_rows": path}
-    first = ranked.orderBy("rank").limit(rows).select(*shown).collect()
-    return {"dataset": dataset, "anchor": anchor_id, "metrics": metrics.first().asDict(), "ranked_rows": [r.asDict() for r in first]}
+        return {**body, "ranked_rows": path}
+    first = ranked.orderBy("rank").limit(rows + 1).select(*shown).collect()
+    if len(first) > rows:
+        raise ValueError(f"a ranking of more than {rows} rows needs an output folder")
+    return {**body, "ranked_rows": [r.asDict() for r in first]}
 
 
 def dumps(document: dict) -> str:

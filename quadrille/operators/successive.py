@@ -59,13 +59,14 @@ def successive_sampling(rows: DataFrame, k: int, *, multiplier: float = 1.0, cov
     while left > m:
         centers = table(sample(remaining, m, seed + len(rounds)), "centers")
         covered = min(left, max(1, ceil(cover * left)))
+        ids = [r.id for r in centers.orderBy("p").select("id").collect()]
         near = nearest_center(remaining, centers, profile, keep=("pos", "embedding"))
         near = table(near.withColumn("key", F.when(F.col("is_self"), -1.0).otherwise(F.col("d"))), "near")
         release(centers)
         held.append(near)
         inside = up_to(nth_row(near, covered, "key", "id"), "key", "id")
         parts.append(near.where(inside).select("id", "center_id"))
-        rounds.append({"remaining": left, "sampled": m, "covered": covered})
+        rounds.append({"index": len(rounds) + 1, "n_remaining_before": left, "sample_size": m, "sample_center_ids": ids, "covered_count": covered, "n_remaining_after": left - covered})
         if on_round:
             on_round(rounds[-1])
         remaining = near.where(~inside).select("id", "pos", "label_name", "embedding")
@@ -85,4 +86,4 @@ def successive_sampling(rows: DataFrame, k: int, *, multiplier: float = 1.0, cov
         assigned = table(nearest_center(rows, centers, profile, keep=("pos",)).select("id", "center_id", "pos", "label_name"), "assigned")
         release(centers)
     release(rows)
-    return Clustering(assigned, candidates, rounds, {"k": k, "multiplier": multiplier, "cover": cover, "seed": seed, "final": final})
+    return Clustering(assigned, candidates, rounds, {"target_clusters": k, "sample_size": m, "sample_multiplier": multiplier, "cover_fraction": cover, "seed": seed, "final_center_count": final})

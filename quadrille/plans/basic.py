@@ -23,7 +23,7 @@ def scan_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT d.doc_id::VARCHAR AS id, regexp_replace(d.text, '^\\s+|\\s+$', '', 'g') AS text, l.quality::VARCHAR AS label,
-  CASE l.quality WHEN 1 THEN 'good' ELSE 'bad' END AS label_name, d.lang, d.source FROM documents d JOIN labels l USING (doc_id)""")
+  CASE l.quality WHEN 1 THEN 'good' WHEN 0 THEN 'bad' END AS label_name, d.lang, d.source FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def scan_text_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = text_rows(T(spark, d), label_field="quality", pos_field="doc_id", label_names=("bad", "good"))
     return rows.select("id", "text", "label", "label_name", F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"))
@@ -72,16 +72,27 @@ def dedup_text(spark: SparkSession, d: str) -> DataFrame:
     return first_by_text(docs).select(F.md5("text").alias("text_md5"), "pos", "source")
 
 
-@query(f"{VIEW} SELECT a.id, a.pos, a.e[1]::DOUBLE AS x0 FROM v a")
+@query(f"{VIEW} SELECT a.id, a.pos, i AS dim, a.e[i + 1]::DOUBLE AS x FROM v a, range(64) t(i)")
 def text_to_vector_join(spark: SparkSession, d: str) -> DataFrame:
+    """Whole vectors, component by component."""
     rows = V(spark, d)
-    return with_vectors(rows.select("id", "pos"), rows, "id").select("id", "pos", F.col("embedding")[0].cast("double").alias("x0"))
+    found = with_vectors(rows.select("id", "pos"), rows, "id")
+    return found.select("id", "pos", F.posexplode(E.as_double(F.col("embedding"))).alias("dim", "x")).withColumn("dim", F.col("dim").cast("long"))
 
 
-@query(f"{VIEW} SELECT id, round(e[1]::DOUBLE / greatest(sqrt({norm2('e')}), 0.00006103515625), 6) AS x0, round(e[64]::DOUBLE / greatest(sqrt({norm2('e')}), 0.00006103515625), 6) AS x63 FROM v")
+@query(f"{VIEW} SELECT id, i AS dim, round(e[i + 1]::DOUBLE / greatest(sqrt({norm2('e')}), 0.00006103515625), 6) AS x FROM v, range(64) t(i)")
 def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
-    unit = E.normalize(F.col("embedding"))
-    return V(spark, d).select("id", unit.alias("u")).select("id", F.round(F.col("u")[0], 6).alias("x0"), F.round(F.col("u")[63], 6).alias("x63"))
+    """Whole vectors of unit length, component by component."""
+    unit = V(spark, d).select("id", F.posexplode(E.normalize(F.col("embedding"))).alias("dim", "x"))
+    return unit.select("id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+@query(f"""{VIEW}, u AS (SELECT id, pos, list_transform(e, lambda x: x::DOUBLE / greatest(sqrt({norm2('e')}), 0.00006103515625)) AS e FROM v)
+SELECT r.id, row_number() OVER (ORDER BY round({dist('x.e', 'r.e')}, 9), r.id) AS rank FROM u r, u x WHERE x.id = '{ANCHOR}' AND r.id <> '{ANCHOR}'""")
+def rank_normalized(spark: SparkSession, d: str) -> DataFrame:
+    """A ranking of vectors of unit length."""
+    rows = V(spark, d).withColumn("embedding", E.normalize(F.col("embedding")))
+    return ranking.rank_by_anchor(rows, ANCHOR).select("id", "rank")
 
 
 @query(f"{VIEW} SELECT id, {norm2('e')} AS norm2 FROM v")

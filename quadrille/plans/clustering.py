@@ -21,7 +21,8 @@ r{i} AS (SELECT * FROM {source} WHERE id NOT IN (SELECT id FROM p{i}))"""
 
 
 _ONE = f"{VIEW}, {_round_sql(0, 'v')}"
-_ROUNDS = 12
+#: Rounds in SQL: each at least halves the rows, so 40 are enough for K * 2 ** 40 of them; rounds over K rows or fewer do nothing.
+_ROUNDS = 40
 _MANY = ", ".join([VIEW, *[_round_sql(i, f"r{i - 1}" if i else "v") for i in range(_ROUNDS)]])
 _FINAL = " UNION ALL ".join([*[f"SELECT id, center_id FROM p{i}" for i in range(_ROUNDS)], f"SELECT id, id AS center_id FROM r{_ROUNDS - 1}"])
 

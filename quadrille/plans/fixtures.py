@@ -33,7 +33,7 @@ def V(spark: SparkSession, d: str) -> DataFrame:  # noqa: N802
 
 def T(spark: SparkSession, d: str) -> DataFrame:  # noqa: N802
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    return docs.join(labels, "doc_id").select("doc_id", "text", "lang", "source", "quality")
+    return docs.join(labels, "doc_id", "left").select("doc_id", "text", "lang", "source", "quality")
 
 
 def centers(rows: DataFrame, n: int = K) -> DataFrame:

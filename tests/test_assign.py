@@ -82,6 +82,8 @@ def test_rounds_are_told(spark):
         told = []
         out = f(rows, 3, on_round=told.append)
         assert told == out.rounds and told
-        counted = "covered" if f is successive.successive_sampling else "assigned"
+        counted = "covered_count" if f is successive.successive_sampling else "removed_count"
         own = out.assigned.count()
-        assert own == 150 and sum(t[counted] for t in told) <= own
+        before, after = ("n_remaining_before", "n_remaining_after") if f is successive.successive_sampling else ("n_active_before", "n_active_after")
+        assert own == 150 and [t["index"] for t in told] == list(range(1, len(told) + 1))
+        assert told[0][before] == 150 and all(t[before] - t[counted] == t[after] for t in told) and all(a[after] == b[before] for a, b in zip(told, told[1:]))

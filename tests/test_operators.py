@@ -356,7 +356,7 @@ def test_unknown_ids_are_errors(spark):
     with pytest.raises(Exception, match="missing"):
         comparisons.pair_distances(spark.createDataFrame([("a", "z")], "left_id string, right_id string"), items).collect()
     said = comparator.compare(spark.createDataFrame([("a", "b", "a", "a")], "a string, b string, c string, d string")).first()
-    assert said.reasoning == "distances 1.0 and 0.0"
+    assert said.reasoning == "embedding_sq_l2_ab=1; embedding_sq_l2_cd=0"
 
 
 def test_half_precision_overflows(spark):
