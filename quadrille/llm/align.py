@@ -14,6 +14,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -71,14 +72,26 @@ class Tokenizers:
         """Encode units that are new."""
         ours = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
         theirs = [x if u != " " else [self.space] for u, x in zip(units, self.b.encode([u[1:] for u in units], num_threads=1))]
-        for u, x, y in zip(units, ours, theirs):
-            self.at[u] = len(self.good)
-            whole = u.encode()
-            self.good.append(b"".join([self.a_bytes[i] for i in x]) == whole and b"".join([self.b_bytes[i] for i in y]) == whole)
-            self.a_from.append(self.a_from[-1] + len(x))
-            self.b_from.append(self.b_from[-1] + len(y))
-        self.a_ids.append(np.fromiter((i for x in ours for i in x), dtype=np.int32))
-        self.b_ids.append(np.fromiter((i for x in theirs for i in x), dtype=np.int32))
+        whole = [u.encode() for u in units]
+        good = np.ones(len(units), dtype=bool)
+        for ids, names, sizes, flat, start in ((ours, self.a_bytes, self.a_size, self.a_ids, self.a_from), (theirs, self.b_bytes, self.b_size, self.b_ids, self.b_from)):
+            counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            flat.append(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(counts.sum())))
+            ends = np.cumsum(counts)
+            start += (ends + start[-1]).tolist()
+            good &= self._given_back(flat[-1], ends, names, sizes, whole)
+        self.at.update(zip(units, range(len(self.good), len(self.good) + len(units))))
+        self.good += good.tolist()
+
+    @staticmethod
+    def _given_back(ids: np.ndarray, ends: np.ndarray, names: list[bytes], sizes: np.ndarray, whole: list[bytes]) -> np.ndarray:
+        """Whether the bytes of each unit's tokens are those of the unit: all of them at once, or one by one where they differ somewhere."""
+        bytes_of = [names[i] for i in ids.tolist()]
+        total = np.append(0, np.cumsum(sizes[ids], dtype=np.int64))[np.append(0, ends)]
+        if (np.diff(total) == np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))).all() and b"".join(bytes_of) == b"".join(whole):
+            return np.ones(len(whole), dtype=bool)
+        at = [0, *ends.tolist()]
+        return np.array([b"".join(bytes_of[x:y]) == w for x, y, w in zip(at, at[1:], whole)], dtype=bool)
 
     def places(self, units: list[str]) -> list[int]:
         """The units' numbers; new ones are encoded first."""
