@@ -30,6 +30,8 @@ MATCH, GRAM = 400, 32
 PASSAGE, WORDS = 256, 51
 #: Stretches that one gram may bring into a batch; bytes of a batch; bytes that are hashed at once.
 CROWD, BATCH, CHUNK = 8192, 1 << 17, 1 << 18
+#: Pairs of suffixes that are compared at once.
+PAIRS = 1 << 15
 #: Bytes whose hashes, with what they are made from, stay in a processor's cache.
 CACHED = 1 << 14
 
@@ -242,17 +244,18 @@ def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and b, within their segments."""
-    out, alive, step = np.zeros(len(a), dtype=np.int64), np.arange(len(a)), np.arange(32)
+    """Length of the common prefix of the suffixes at a and b, within their segments; PAIRS of them are compared at once."""
+    out, step, last = np.zeros(len(a), dtype=np.int64), np.arange(32), len(text)
     padded = np.concatenate([text, np.zeros(64, dtype=text.dtype)])
-    last = len(text)
-    while len(alive):
-        x = padded[np.minimum(a[alive] + out[alive], last)[:, None] + step]
-        y = padded[np.minimum(b[alive] + out[alive], last)[:, None] + step]
-        same = (x == y) & (x != 0)
-        whole = same.all(axis=1)
-        out[alive] += np.where(whole, 32, same.argmin(axis=1))
-        alive = alive[whole]
+    for low in range(0, len(a), PAIRS):
+        alive = np.arange(low, min(low + PAIRS, len(a)))
+        while len(alive):
+            x = padded[np.minimum(a[alive] + out[alive], last)[:, None] + step]
+            y = padded[np.minimum(b[alive] + out[alive], last)[:, None] + step]
+            same = (x == y) & (x != 0)
+            whole = same.all(axis=1)
+            out[alive] += np.where(whole, 32, same.argmin(axis=1))
+            alive = alive[whole]
     return out
 
 
@@ -424,15 +427,17 @@ def find_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
     return out
 
 
-def _runs(marks: list[dict] | None) -> list[dict]:
-    """Marks that touch or overlap made one, in order."""
-    runs: list[dict] = []
-    for m in sorted(marks or [], key=lambda m: m["lo"]):
-        if runs and m["lo"] <= runs[-1]["hi"]:
-            runs[-1]["hi"] = max(runs[-1]["hi"], m["hi"])
-        else:
-            runs.append(dict(m))
-    return runs
+def _runs(marks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the runs that marks (lists of lo, hi) make where they touch or overlap, in order."""
+    inner = marks.flatten()
+    base = marks.value_parent_indices().to_numpy().astype(np.int64) << 32
+    lo, hi = (base + inner.field(c).to_numpy() for c in ("lo", "hi"))
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    first = np.ones(len(lo), dtype=bool)
+    first[1:] = lo[1:] > hi[:-1]
+    last = np.append(first[1:], True) if len(lo) else first
+    return lo[first] >> 32, lo[first] & 0xFFFFFFFF, hi[last] & 0xFFFFFFFF
 
 
 def _whole_words(text: bytes, lo: int, hi: int) -> int:
@@ -442,18 +447,38 @@ def _whole_words(text: bytes, lo: int, hi: int) -> int:
     return len(run.split()) - cut
 
 
+def _spans(rows: int, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    """Lists of (lo, hi) by row."""
+    entry = pa.StructArray.from_arrays([pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["lo", "hi"])
+    return pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(row, minlength=rows))).astype(np.int32), entry)
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
+        n = len(texts)
+        spans, shared = _runs(batch.column(2)), _runs(batch.column(3))
+        long = np.array([_whole_words(texts[i], lo, hi) >= WORDS for i, lo, hi in zip(*(x.tolist() for x in shared))], dtype=bool)
+        cuts = np.searchsorted(spans[0], np.arange(n + 1)).tolist()
+        kept = []
+        for i, data in enumerate(texts):
+            own = slice(cuts[i], cuts[i + 1])
+            starts, ends = [0, *spans[2][own].tolist()], [*spans[1][own].tolist(), len(data)]
+            kept.append(b"".join(data[a:b] for a, b in zip(starts, ends)))
+        passages = _spans(n, *(x[long] for x in shared))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(kept, pa.binary()), _spans(n, *spans), passages], ["doc_id", "n_bytes", "kept", "spans", "passages"])
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (k1, k2, text, marks) to (k1, k2, at, text): the runs of marks that hold MATCH bytes or more, and where they start."""
-    for batch in slices(batches):
-        rows = []
-        for i, marks in enumerate(batch.column(3).to_pylist()):
-            runs = [r for r in _runs(marks) if r["hi"] - r["lo"] >= MATCH]
-            text = batch.column(2)[i].as_buffer().to_pybytes() if runs else b""
-            rows += [(i, r["lo"], text[r["lo"] : r["hi"]]) for r in runs]
-        if rows:
-            row, at, text = zip(*rows)
+    for batch in slices(batches, 100):
+        row, lo, hi = _runs(batch.column(3))
+        own = hi - lo >= MATCH
+        if own.any():
+            row, lo, hi = row[own], lo[own], hi[own]
+            text = [batch.column(2)[i].as_buffer()[a:b].to_pybytes() for i, a, b in zip(row.tolist(), lo.tolist(), hi.tolist())]
             keys = [batch.column(k).take(pa.array(row)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(at, pa.int32()), pa.array(text, pa.binary())], ["k1", "k2", "at", "text"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(lo, pa.int32()), pa.array(text, pa.binary())], ["k1", "k2", "at", "text"])
 
 
 def find_in_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -470,19 +495,6 @@ def find_in_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return found.select("k1", "k2", (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi"))
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    entry = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
-    for batch in slices(batches):
-        texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-        spans = [_runs(m) for m in batch.column(2).to_pylist()]
-        shared = [[r for r in _runs(m) if _whole_words(t, r["lo"], r["hi"]) >= WORDS] for t, m in zip(texts, batch.column(3).to_pylist())]
-        kept = []
-        for data, runs in zip(texts, spans):
-            starts, ends = [0, *[r["hi"] for r in runs]], [*[r["lo"] for r in runs], len(data)]
-            kept.append(b"".join(data[a:b] for a, b in zip(starts, ends)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(entry)), pa.array(shared, pa.list_(entry))], ["doc_id", "n_bytes", "kept", "spans", "passages"])
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes), spans (removed runs), passages of every row of docs (doc_id, text).
 
