@@ -29,7 +29,7 @@ MATCH, GRAM = 400, 32
 #: A passage: bytes of strings that are looked for in other texts, and words that a run of them has at least.
 PASSAGE, WORDS = 256, 51
 #: Stretches that one gram may bring into a batch; bytes of a batch; bytes that are hashed at once.
-CROWD, BATCH, CHUNK = 8192, 1 << 17, 1 << 18
+CROWD, BATCH, CHUNK = 4096, 1 << 17, 1 << 18
 #: Pairs of suffixes that are compared at once.
 PAIRS = 1 << 15
 #: Bytes whose hashes, with what they are made from, stay in a processor's cache.
@@ -338,7 +338,7 @@ def _index(batches: Iterator[pa.RecordBatch], match: int) -> Iterator[pa.RecordB
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (file, k1, k2, lo, at, data, m) for the wanted stretches of each text."""
-    for batch in slices(batches):
+    for batch in slices(batches, 100):
         rows: list[tuple] = []
         size = 0
         texts = batch.column(2).cast(pa.binary())
