@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_entropy_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op9_rendezvous_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op10_run_length_index": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op11_kneser_ney_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op12_merkle_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+    "op13_cross_tokenizer": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
 }
 
 
