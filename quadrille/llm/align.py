@@ -14,6 +14,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -61,12 +62,28 @@ class Tokenizers:
         #: An id in decimals with what may follow it: A's in rows , and |, B's in rows , and ;
         marks = [f"{i}{c}".encode() for n, cs in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for c in cs for i in range(n)]
         self.marks = np.array([*marks, None], dtype=object)[:-1]
-        self.forget()
+        self.clear()
 
-    def forget(self) -> None:
+    def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.a_ids, self.b_ids, self.a_from, self.b_from = ([np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)], [0], [0])
-        self.good: list[bool] = []
+        self.good, self.used = np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64)
+        self.a_ids, self.b_ids = (np.zeros(0, dtype=np.int32) for _ in "ab")
+        self.a_from, self.b_from = (np.zeros(1, dtype=np.int64) for _ in "ab")
+
+    def forget(self) -> None:
+        """Where more than KEPT tokens are kept: drop the units that were met once since the last time, and all if the rest still holds more
+        than half of KEPT."""
+        if len(self.a_ids) + len(self.b_ids) <= KEPT:
+            return
+        units, again = list(self.at), np.flatnonzero(self.used > 1)
+        n = [np.diff(start)[again] for start in (self.a_from, self.b_from)]
+        if n[0].sum() + n[1].sum() > KEPT // 2:
+            self.clear()
+            return
+        self.a_ids, self.b_ids = _spread(self.a_ids, self.a_from, again), _spread(self.b_ids, self.b_from, again)
+        self.a_from, self.b_from = (np.append(0, np.cumsum(x)) for x in n)
+        self.good, self.used = self.good[again], np.zeros(len(again), dtype=np.int64)
+        self.at = {units[x]: place for place, x in enumerate(again.tolist())}
 
     def learn(self, units: list[str]) -> None:
         """Encode units that are new."""
@@ -74,14 +91,17 @@ class Tokenizers:
         theirs = [x if u != " " else [self.space] for u, x in zip(units, self.b.encode([u[1:] for u in units], num_threads=1))]
         whole = [u.encode() for u in units]
         good = np.ones(len(units), dtype=bool)
-        for ids, names, sizes, flat, start in ((ours, self.a_bytes, self.a_size, self.a_ids, self.a_from), (theirs, self.b_bytes, self.b_size, self.b_ids, self.b_from)):
+        found = []
+        for ids, names, sizes in ((ours, self.a_bytes, self.a_size), (theirs, self.b_bytes, self.b_size)):
             counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat.append(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(counts.sum())))
             ends = np.cumsum(counts)
-            start += (ends + start[-1]).tolist()
-            good &= self._given_back(flat[-1], ends, names, sizes, whole)
+            found.append((np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(counts.sum())), ends))
+            good &= self._given_back(*found[-1], names, sizes, whole)
+        (a, a_ends), (b, b_ends) = found
+        self.a_from, self.b_from = np.append(self.a_from, a_ends + self.a_from[-1]), np.append(self.b_from, b_ends + self.b_from[-1])
+        self.a_ids, self.b_ids = np.append(self.a_ids, a), np.append(self.b_ids, b)
         self.at.update(zip(units, range(len(self.good), len(self.good) + len(units))))
-        self.good += good.tolist()
+        self.good, self.used = np.append(self.good, good), np.append(self.used, np.zeros(len(units), dtype=np.int64))
 
     @staticmethod
     def _given_back(ids: np.ndarray, ends: np.ndarray, names: list[bytes], sizes: np.ndarray, whole: list[bytes]) -> np.ndarray:
@@ -93,17 +113,23 @@ class Tokenizers:
         at = [0, *ends.tolist()]
         return np.array([b"".join(bytes_of[x:y]) == w for x, y, w in zip(at, at[1:], whole)], dtype=bool)
 
-    def places(self, units: list[str]) -> list[int]:
+    def places(self, units: list[str]) -> np.ndarray:
         """The units' numbers; new ones are encoded first."""
         if new := [u for u in dict.fromkeys(units) if u not in self.at]:
             self.learn(new)
-        return [self.at[u] for u in units]
+        at = np.fromiter(map(self.at.__getitem__, units), dtype=np.int64, count=len(units))
+        self.used += np.bincount(at, minlength=len(self.used))
+        return at
+
+    def tokens(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids and B's ids of units by their numbers."""
+        return _spread(self.a_ids, self.a_from, places), _spread(self.b_ids, self.b_from, places)
+
 
-    def tokens(self, places: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(A's ids, B's ids, whether each unit's tokens are its bytes) of units by their numbers."""
-        self.a_ids, self.b_ids = [np.concatenate(self.a_ids)], [np.concatenate(self.b_ids)]
-        at = np.array(places, dtype=np.int64)
-        return (*(_spread(flat[0], np.array(start), at) for flat, start in ((self.a_ids, self.a_from), (self.b_ids, self.b_from))), np.array(self.good)[at])
+@lru_cache(1)
+def loaded(a: str, b: str) -> Tokenizers:
+    """The tokenizers of two files, with what they have encoded, for all tasks of a worker."""
+    return Tokenizers(a, b)
 
 
 def _spread(flat: np.ndarray, start: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -188,17 +214,16 @@ def parts(text: str) -> Iterator[tuple[list[str], int]]:
 
 def align_parts(t: Tokenizers, held: list[tuple[Text, list[str], int]]) -> None:
     """Align parts of texts as one batch, and add what is found to their texts."""
-    if sum(t.a_from[-1:]) + sum(t.b_from[-1:]) > KEPT:
-        t.forget()
+    t.forget()
     places = t.places([u for _, units, _ in held for u in units])
     edges = np.cumsum([0, *[len(units) for _, units, _ in held]])
-    good = np.add.reduceat(~np.array(t.good)[places], edges[:-1]) == 0
+    good = np.add.reduceat(~t.good[places], edges[:-1]) == 0
     for ok, (text, _, _) in zip(good, held):
         text.good &= bool(ok)
     own = [k for k, ok in enumerate(good) if ok]
     if not own:
         return
-    a, b, _ = t.tokens([p for k in own for p in places[edges[k] : edges[k + 1]]])
+    a, b = t.tokens(np.concatenate([places[edges[k] : edges[k + 1]] for k in own]))
     ends = np.cumsum([held[k][2] for k in own])
     totals, a_group, b_group, la, lb = align(np.cumsum(t.a_size[a], dtype=np.int64), np.cumsum(t.b_size[b], dtype=np.int64), ends)
     marks, group = written(t, a, b, a_group, b_group)
@@ -227,7 +252,7 @@ def _encode(a: str, b: str, kind: pa.DataType):
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", *[c.split()[0] for c in ROW.split(", ")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tokenizers(a, b)
+        t = loaded(a, b)
         held, open_texts, size = [], [], 0
         pairs: list[np.ndarray] = []
         times: list[np.ndarray] = []
@@ -292,6 +317,7 @@ def with_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
     place = {c: i for i, c in enumerate(rows.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded.cache_clear()
         pair, n, best = known.value
         for b in batches:
             key, times = (b.column(place[c]).flatten().to_numpy() for c in ("pairs", "times"))

@@ -114,3 +114,21 @@ def test_links_of_a_batch():
     assert totals.T.tolist() == [[2, 2, 1, 3], [1, 2, 1, 2]]
     assert (a_group.tolist(), b_group.tolist()) == ([0, 0, 1], [0, 0, 1, 1])
     assert list(zip(la.tolist(), lb.tolist())) == [(0, 0), (1, 0), (1, 1), (2, 2), (2, 3)]
+
+
+@pytest.mark.parametrize("kept", [2, 400])
+def test_units_are_forgotten(monkeypatch, kept):
+    """Units met again stay, others and too many go; what is encoded anew is the same."""
+    monkeypatch.setattr(align, "KEPT", kept)
+    t, fresh = align.Tokenizers(A, B), align.Tokenizers(A, B)
+    rng, sizes = random.Random(3), []
+    for _ in range(60):
+        units = [f" common{rng.randint(0, 3)}" for _ in range(5)] + [f" rare{rng.randint(0, 10**6)}" for _ in range(10)]
+        t.forget()
+        sizes.append(len(t.at))
+        fresh.clear()
+        for x, y in zip(t.tokens(t.places(units)), fresh.tokens(fresh.places(units))):
+            assert x.tolist() == y.tolist()
+        assert len(t.at) == len(t.good) == len(t.used) == len(t.a_from) - 1 == len(t.b_from) - 1
+    assert max(sizes) < 120
+    assert (kept == 400) == (min(sizes[30:]) > 0)
