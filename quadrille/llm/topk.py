@@ -17,6 +17,8 @@ SCALE, K, EVERY = 256, 5, 50
 STRIDE = 8
 #: Vectors of a block of candidates, and of a block of queries; candidates that give queries their floors.
 CANDIDATES, QUERIES, SEED = 16384, 8192, 4096
+#: Bytes of values of a block, and of the candidates that give floors, whatever the number of dimensions.
+BYTES, SEED_BYTES = 1 << 23, 1 << 21
 #: Queries that are searched together, and the part of their pairs with candidates that is followed pair by pair.
 TOGETHER, SPARSE = 32, 1 / 8
 #: Bytes of all queries up to which they are broadcast.
@@ -48,7 +50,7 @@ def in_order(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def vertical_blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of up to size vectors of a partition, by falling norm: ids, one run of values for each dimension, and
+    """Blocks of up to size vectors and BYTES of values (or one vector) of a partition, by falling norm: ids, one run of values for each dimension, and
     what in_order() says is left. Shorter vectors are filled up with zeros, which add nothing to an inner product."""
 
     def block(ids: list, vectors: list) -> pa.RecordBatch:
@@ -62,16 +64,19 @@ def vertical_blocks(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         vectors: list = []
+        wide = 0
         for batch in batches:
             flat = batch.column(1)
             starts = flat.offsets.to_numpy()
             values = flat.values.to_numpy(zero_copy_only=False)
             for i, key in enumerate(batch.column(0).to_numpy(zero_copy_only=False)):
-                ids.append(key)
-                vectors.append(values[starts[i] : starts[i + 1]])
-                if len(ids) == size:
+                vector = values[starts[i] : starts[i + 1]]
+                wide = max(wide, len(vector))
+                if ids and (len(ids) == size or 8 * wide * (len(ids) + 1) > BYTES):
                     yield block(ids, vectors)
-                    ids, vectors = [], []
+                    ids, vectors, wide = [], [], len(vector)
+                ids.append(key)
+                vectors.append(vector)
         if ids:
             yield block(ids, vectors)
 
@@ -104,6 +109,20 @@ def head(block: tuple, n: int) -> tuple:
     return keys[:n].tobytes(), block[1], values[:, :n].tobytes(), left[:, :n].tobytes()
 
 
+def seed_block(blocks: DataFrame) -> tuple | None:
+    """SEED vectors, of SEED_BYTES at most, of one block, cut where the block lies; None without blocks."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x = [c[row].as_py() for c in batch.columns]
+                first = head(tuple(x), min(SEED, max(1, SEED_BYTES // (8 * x[1]))))
+                yield pa.RecordBatch.from_arrays([pa.array([v], c.type) for v, c in zip(first, batch.columns)], batch.schema.names)
+
+    one = blocks.limit(1).mapInArrow(cut, blocks.schema).first()
+    return one and tuple(one)
+
+
 def floors(queries: tuple, candidates: tuple, k: int) -> np.ndarray:
     """For each query of a block its k-th highest score among a block of candidates, which no result of it falls below; minus
     infinity where that isn't known."""
@@ -189,8 +208,7 @@ def top_k(df: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     candidates = table(vertical_blocks(quantize(df), CANDIDATES), "candidates")
     queries = vertical_blocks(quantize(df, every), QUERIES)
     queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    one, n = candidates.first(), len(BLOCK)
-    seed = head(tuple(one), SEED) if one else None
+    seed, n = seed_block(candidates), len(BLOCK)
 
     def floored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
