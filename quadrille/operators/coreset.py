@@ -147,7 +147,7 @@ def one_round(active: DataFrame, n: int, k: int, seed: int, first: float = 1.0,
     """(assigned (id, center_id) of the rows that leave, the round's log)."""
     sizes = round_sizes(n, k, first, second)
     one, two = (table(x, "sample") for x in samples(active, sizes, seed))
-    rest = non_sample(active, one, two)
+    rest = non_sample(active, one, two).repartition("id")
     ordered = table(edge_order(one, two), "edges")
     kernel = kernels(ordered, sizes)
     chosen = table(guard_filter(rest, one, guards(ordered, sizes)).select("id", "pos", "embedding"), "candidates")
@@ -177,7 +177,7 @@ def coreset_cluster(rows: DataFrame, k: int, *, correctness: float = 0.85, first
         raise ValueError("sample_fraction_cap and window_size can't be set")
     if k < 1 or not 0 <= correctness <= 1 or min(first, second, window_multiplier, terminal_multiplier) <= 0 or (max_rounds is not None and max_rounds < 1) or (final is not None and final < 1):
         raise ValueError("a parameter is out of range")
-    rows = table(rows.select("id", "pos", "label_name", "embedding"), "rows")
+    rows = table(rows.select("id", "pos", "label_name", "embedding").repartition("id"), "rows")
     n = unique_ids(rows)
     limit = max_rounds or max(n, 2).bit_length()
     active, left, parts, rounds = rows, n, [], []

@@ -21,9 +21,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..storage import release, table
 
 #: The gap behind a kernel; edges of a node that one task sorts; pivots of a pass; bytes of samples' vectors that travel at once.
-DELTA, NODE, PIVOTS, BLOCK = 5, 20_000, 1 << 14, 1 << 26
-#: Edges that are compared at once, and what stands for a rank that isn't there.
-AT_ONCE, NONE = 1 << 13, np.iinfo(np.int64).max
+DELTA, NODE, PIVOTS, BLOCK = 5, 200_000, 1 << 14, 1 << 26
+#: Kernels that are merged at once, pairs of samples whose cores are held, and what stands for a rank that isn't there.
+AT_ONCE, PAIRS, NONE = 1 << 13, 1 << 16, np.iinfo(np.int64).max
+#: Edges that a task makes; edges that are sorted together; edges of a node, and levels, from which it is worth while to look for pivots that split nothing.
+MADE, TOGETHER, LARGE, TURNS = 200_000, 20_000, 256, 4
 
 
 # --- Vectors ---------------------------------------------------------------------------------------------
@@ -101,13 +103,16 @@ def middles(d: np.ndarray) -> np.ndarray:
 
 def edge_table(candidates: DataFrame, parts: Iterator[Block], seed: int) -> DataFrame:
     """s, v, p, d, ranks, middles, h: all edges of the samples of the blocks to candidates (id, embedding). Ranks are those of the edges of s's kernel,
-    middles say how far its vertices are from v; h is the hash that chooses pivots. Each block is one pass over the candidates."""
+    middles say how far its vertices are from v; h is the hash that chooses pivots. Each block is one pass over the candidates, which are dealt
+    out by the number of edges, whatever files they come from."""
     kind = candidates.schema["id"].dataType
     schema = T.StructType([T.StructField("s", kind), T.StructField("v", kind), *T._parse_datatype_string("p long, d double, ranks array<long>, middles array<double>").fields])
-    spark, rows, out = candidates.sparkSession, candidates.select("id", "embedding"), None
+    spark, out = candidates.sparkSession, None
+    n, rows = candidates.count(), candidates.select("id", "embedding")
     for part in parts:
+        dealt = rows.repartition(max(spark.sparkContext.defaultParallelism, -(-n * len(part.p) // MADE)), "id")
         shared = spark.sparkContext.broadcast(part)
-        found = rows.mapInArrow(_edges(shared, to_arrow_type(kind)), schema)
+        found = dealt.mapInArrow(_edges(shared, to_arrow_type(kind)), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -166,31 +171,66 @@ def _whole(column):
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def before(a: Edges, b: Edges, kernel: int) -> np.ndarray:
-    """Whether each edge of a comes before that of b: most of a core agrees. A count of "not nearer" answers above half of L is a comparison
-    with the (L // 2 + 1)-th least distance to the core, so no answer is asked one by one.
+class Cores:
+    """What the test of two edges needs of their samples alone: how much of a kernel the core is (0: it is empty, or a kernel is), and whether the
+    core lies at the second edge's end. Made once for all pairs of the samples of two lots of edges where these are few for the number of edges,
+    else for each pair of edges.
 
     The core belongs to the sample whose kernel has the last edge, and is the other kernel's prefix of merged ranks below
-    2 * kernel - DELTA; between edges of one sample it is the kernel. An empty core says yes."""
-    out = np.empty(len(a.p), dtype=bool)
-    for low in range(0, len(out), AT_ONCE):
-        part = slice(low, low + AT_ONCE)
-        out[part] = _before(a.take(part), b.take(part), kernel)
-    return out
+    2 * kernel - DELTA; between edges of one sample it is the kernel."""
+
+    def __init__(self, a: Edges, b: Edges, kernel: int) -> None:
+        self.kernel = kernel
+        (self.left, one), (self.right, two) = map(self._samples, (a, b))
+        self.size = None
+        if len(one) * len(two) <= max(PAIRS, len(a.p)):
+            size, second = self._of(a, np.repeat(one, len(two)), b, np.tile(two, len(one)))
+            self.size, self.second = size.reshape(len(one), -1), second.reshape(len(one), -1)
+
+    @staticmethod
+    def _samples(edges: Edges) -> tuple[np.ndarray, np.ndarray]:
+        """(a number from 0 on by p, an edge of each number's sample)."""
+        at = np.full(edges.p.max(initial=-1) + 1, -1)
+        at[edges.p] = np.arange(len(edges.p))
+        there = at >= 0
+        return np.cumsum(there) - 1, at[there]
+
+    def of(self, a: Edges, i: np.ndarray, b: Edges, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(size, second) of the edges i of a and j of b."""
+        if self.size is None:
+            return self._of(a, i, b, j)
+        one, two = self.left[a.p[i]], self.right[b.p[j]]
+        return self.size[one, two], self.second[one, two]
+
+    def _of(self, a: Edges, i: np.ndarray, b: Edges, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size, second = np.empty(len(i), dtype=np.int64), np.empty(len(i), dtype=bool)
+        for low in range(0, len(i), AT_ONCE):
+            part = slice(low, low + AT_ONCE)
+            size[part], second[part] = self._merged(a.ranks[i[part]], b.ranks[j[part]], a.p[i[part]] == b.p[j[part]])
+        return size, second
+
+    def _merged(self, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        last = (np.where(a == NONE, -1, a).max(axis=1) > np.where(b == NONE, -1, b).max(axis=1))[:, None]
+        owner, other = np.where(last, a, b), np.where(last, b, a)
+        merged = np.arange(1, other.shape[1] + 1) + (owner[:, None, :] < other[:, :, None]).sum(axis=2)
+        m = ((other != NONE) & (merged < 2 * self.kernel - DELTA)).sum(axis=1)
+        held = [(x != NONE).sum(axis=1) for x in (a, b)]
+        m = np.where(same, held[1], m)
+        return np.where((held[0] == 0) | (held[1] == 0), 0, m), last[:, 0] | same
+
+
+def before(a: Edges, b: Edges, kernel: int) -> np.ndarray:
+    """Whether each edge of a comes before that of b: most of a core agrees. A count of "not nearer" answers above half of L is a comparison
+    with the (L // 2 + 1)-th least distance to the core, so no answer is asked one by one. An empty core says yes."""
+    rows = np.arange(len(a.p))
+    return before_at(a, rows, b, rows, Cores(a, b, kernel))
 
 
-def _before(a: Edges, b: Edges, kernel: int) -> np.ndarray:
-    last = (np.where(a.ranks == NONE, -1, a.ranks).max(axis=1) > np.where(b.ranks == NONE, -1, b.ranks).max(axis=1))[:, None]
-    owner, other = np.where(last, a.ranks, b.ranks), np.where(last, b.ranks, a.ranks)
-    merged = np.arange(1, other.shape[1] + 1) + (owner[:, None, :] < other[:, :, None]).sum(axis=2)
-    m = ((other != NONE) & (merged < 2 * kernel - DELTA)).sum(axis=1)
-    same = a.p == b.p
-    held = [(x.ranks != NONE).sum(axis=1) for x in (a, b)]
-    m = np.where(same, held[1], m)
-    at = np.maximum(m - 1, 0)[:, None]
-    mine, its = (np.take_along_axis(x.middles, at, axis=1)[:, 0] for x in (a, b))
-    less = np.where(last[:, 0] | same, a.d < its, mine <= b.d)
-    return np.where((m == 0) | (held[0] == 0) | (held[1] == 0), True, less)
+def before_at(a: Edges, i: np.ndarray, b: Edges, j: np.ndarray, cores: Cores) -> np.ndarray:
+    """before() of the edges i of a and j of b, of which only the distances that decide are read."""
+    m, second = cores.of(a, i, b, j)
+    at = np.maximum(m - 1, 0)
+    return np.where(m == 0, True, np.where(second, a.d[i] < b.middles[j, at], a.middles[i, at] <= b.d[j]))
 
 
 def test_edges(found: DataFrame, kernel: int) -> DataFrame:
@@ -210,23 +250,72 @@ def test_edges(found: DataFrame, kernel: int) -> DataFrame:
 # --- The sort --------------------------------------------------------------------------------------------
 
 
+def splitless(edges: Edges, rows: np.ndarray, cores: Cores) -> np.ndarray:
+    """Of the first edges of a node in the order of their hashes those that don't split it, as pivots one after the other: whether all that is left
+    of the node comes before each. Least and greatest distances by sample tell, without a test of each edge by each pivot."""
+    number = cores.left[edges.p[rows]]
+    order = np.argsort(number, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], number[order[1:]] != number[order[:-1]]]))
+    there = number[order[starts]]
+    d, mid = edges.d[rows[order]], edges.middles[rows[order]]
+    low, high = (f.reduceat(d, starts)[:, None] for f in (np.minimum, np.maximum))
+    lows, highs = (f.reduceat(mid, starts, axis=0) for f in (np.minimum, np.maximum))
+    pivots = rows[: min(len(rows) - 1, max(LARGE, len(rows) // 2), (1 << 22) // len(there))]
+    q = cores.right[edges.p[pivots]]
+    m, second = cores.size[there[:, None], q], cores.second[there[:, None], q]
+    at, own = np.maximum(m - 1, 0), np.arange(len(there))[:, None]
+    its, pivot_d = edges.middles[pivots, at], edges.d[pivots]
+    all_less = ((m == 0) | np.where(second, high < its, highs[own, at] <= pivot_d)).all(axis=0)
+    none_less = ((m != 0) & np.where(second, low >= its, lows[own, at] > pivot_d)).all(axis=0)
+    known = all_less | none_less
+    return all_less[: len(known) if known.all() else known.argmin()]
+
+
 def quicksort(low: np.ndarray, edges: Edges, kernel: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, children) of edges in the order of their hashes. low: the first place of each one's node. The pivot of a node is its
-    first edge; all nodes of a level are split at once. children[0] and [1]: the pivots of what is less and of what isn't, -1 if nothing is."""
+    first edge; all nodes of a level are split at once. children[0] and [1]: the pivots of what is less and of what isn't, -1 if nothing is.
+
+    Where samples' edges answer alike, a pivot splits nothing, and as many levels as edges would follow: pivots like that are found many at once."""
     place, child, slot = np.empty(len(low), dtype=np.int64), np.full((2, len(low)), -1), np.full(len(low), -1)
-    low, rows = low.copy(), np.arange(len(low))
+    low, rows, cores, level = low.copy(), np.arange(len(low)), Cores(edges, edges, kernel), 0
+    uneven = np.zeros(len(low), dtype=bool)
+
+    def link(pivots: np.ndarray) -> None:
+        known = pivots[slot[pivots] >= 0]
+        child[slot[known] % 2, slot[known] // 2] = known
+
     while len(rows):
-        rows = rows[np.argsort(low[rows], kind="stable")]
+        rows, level = rows[np.argsort(low[rows], kind="stable")], level + 1
         head = np.concatenate([[True], low[rows[1:]] != low[rows[:-1]]])
+        if level % TURNS == 0 and cores.size is not None:
+            left = np.ones(len(rows), dtype=bool)
+            first = np.flatnonzero(head)
+            size = np.diff(np.append(first, len(rows)))
+            for at, n in zip(first.tolist(), size.tolist()):
+                if n < LARGE or not uneven[rows[at]]:
+                    continue
+                node = rows[at : at + n]
+                less = splitless(edges, node, cores)
+                if t := len(less):
+                    gone, rest = node[:t], node[t:]
+                    place[gone] = np.where(less, low[gone] + n - np.cumsum(less), low[gone] + np.cumsum(~less) - 1)
+                    slot[node[1 : t + 1]] = 2 * gone + ~less
+                    slot[rest] = 2 * gone[-1] + ~less[-1]
+                    link(gone)
+                    low[rest] += (~less).sum()
+                    left[at : at + t] = False
+            rows = rows[left]
+            head = np.concatenate([[True], low[rows[1:]] != low[rows[:-1]]])
         pivots, group = rows[head], np.cumsum(head) - 1
-        known = slot[pivots] >= 0
-        child[slot[pivots[known]] % 2, slot[pivots[known]] // 2] = pivots[known]
+        link(pivots)
         rest, own = rows[~head], group[~head]
         pivot = pivots[own]
-        less = before(edges.take(rest), edges.take(pivot), kernel)
-        place[pivots] = low[pivots] + np.bincount(own[less], minlength=len(pivots))
+        less = before_at(edges, rest, edges, pivot, cores)
+        size, fewer = np.bincount(own, minlength=len(pivots)), np.bincount(own[less], minlength=len(pivots))
+        place[pivots] = low[pivots] + fewer
         slot[rest] = 2 * pivot + ~less
         low[rest] = np.where(less, low[rest], place[pivot] + 1)
+        uneven[rest] = (16 * np.minimum(fewer, size - fewer) < size)[own]
         rows = rest
     return place, child
 
@@ -246,9 +335,10 @@ class Trees:
         """How many pivots of its node come before each edge."""
         node = np.searchsorted(self.low, low)
         at, gap = self.root[node], np.zeros(len(low), dtype=np.int64)
+        cores = Cores(edges, self.edges, kernel) if (at >= 0).any() else None
         while len(open_ := np.flatnonzero(at >= 0)):
             now = at[open_]
-            side = (~before(edges.take(open_), self.edges.take(now), kernel)).astype(np.int64)
+            side = (~before_at(edges, open_, self.edges, now, cores)).astype(np.int64)
             gap[open_] = self.place[now] - self.first[node[open_]] + side
             at[open_] = self.child[side, now]
         return gap
@@ -332,15 +422,30 @@ def sort_edges(edges: DataFrame, kernel: int, node: int = NODE, pivots: int = PI
 
     schema = T.StructType([edges.schema["s"], edges.schema["v"], T.StructField("ord", T.LongType())])
 
-    def finish(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("h", "ascending"), ("s", "ascending"), ("v", "ascending")])
-        place, _ = quicksort(group.column("low").to_numpy(), Edges.of(group), kernel)
-        return pa.table({"s": group.column("s"), "v": group.column("v"), "ord": pa.array(place)})
+    def placed(found: pa.Table) -> Iterator[pa.RecordBatch]:
+        place, _ = quicksort(found.column("low").to_numpy(), Edges.of(found), kernel)
+        yield from pa.table({"s": found.column("s"), "v": found.column("v"), "ord": pa.array(place)}).to_batches()
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Whole nodes are sorted together: most are far smaller than a batch.
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held += [b] if b.num_rows else []
+            if sum(x.num_rows for x in held) < TOGETHER:
+                continue
+            found = pa.Table.from_batches(held)
+            low = found.column("low").to_numpy()
+            cut = int(np.searchsorted(low, low[-1]))
+            if cut:
+                yield from placed(found.slice(0, cut))
+                held = found.slice(cut).to_batches()
+        if held:
+            yield from placed(pa.Table.from_batches(held))
 
     rest = small[0]
     for x in small[1:]:
         rest = rest.unionByName(x)
-    found = rest.groupBy("low").applyInArrow(finish, schema)
+    found = rest.repartition("low").sortWithinPartitions("low", "h", "s", "v").mapInArrow(finish, schema)
     for x in out:
         found = found.unionByName(x)
     return found

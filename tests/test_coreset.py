@@ -173,3 +173,37 @@ def test_vectors_that_cannot_be_compared_are_errors(spark, small):
     bad = rest.limit(3).unionByName(spark.createDataFrame([("x", 1000, [1.0, None, 2.0, 3.0])], rest.schema))
     with pytest.raises(Exception, match="hold nulls"):
         edge_sort.edge_table(bad, edge_sort.blocks(one, kernel, rows, sizes.kernel), 1).collect()
+
+
+def _random_edges(n, samples, width, seed, spread):
+    rng = np.random.default_rng(seed)
+    ranks = np.stack([np.sort(rng.choice(3 * samples * width, width, replace=False)) for _ in range(samples)])
+    if seed % 2:
+        ranks[0, width // 2 :] = edge_sort.NONE
+    p = rng.integers(0, samples, n)
+    near = np.where(ranks[p] != edge_sort.NONE, rng.normal(1.2, spread, (n, width)), np.inf)
+    return edge_sort.Edges(p + 1, rng.normal(1, spread, n), ranks[p], edge_sort.middles(near))
+
+
+@pytest.mark.parametrize("spread", [0.01, 0.1, 0.5])
+def test_pivots_that_split_nothing_change_no_place(monkeypatch, spread):
+    monkeypatch.setattr(edge_sort, "LARGE", 8)
+    low = np.where(np.arange(300) % 3 == 0, 0, 100)
+    for seed in range(10):
+        edges = _random_edges(300, 5, 7, seed, spread)
+        monkeypatch.setattr(edge_sort, "TURNS", 4)
+        place, child = edge_sort.quicksort(low, edges, 7)
+        monkeypatch.setattr(edge_sort, "TURNS", 1 << 40)
+        want, pivots = edge_sort.quicksort(low, edges, 7)
+        assert place.tolist() == want.tolist() and child.tolist() == pivots.tolist()
+        i, j = np.random.default_rng(seed).integers(0, 300, (2, 500))
+        cores = edge_sort.Cores(edges, edges, 7)
+        assert all((a == b).all() for a, b in zip(cores.of(edges, i, edges, j), cores._of(edges, i, edges, j)))
+
+
+def test_edges_that_answer_alike_take_few_levels(monkeypatch):
+    """No pivot splits them: one level for each would make as many tests as pairs."""
+    tests, plain = [], edge_sort.before_at
+    monkeypatch.setattr(edge_sort, "before_at", lambda a, i, *more: tests.append(len(i)) or plain(a, i, *more))
+    place, _ = edge_sort.quicksort(np.zeros(20_000, dtype=np.int64), _random_edges(20_000, 30, 19, 2, 0.01), 19)
+    assert sorted(place) == [*range(20_000)] and sum(tests) < 100 * 20_000
