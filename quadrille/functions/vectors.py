@@ -21,6 +21,11 @@ def _there(total: Column) -> Column:
     return F.coalesce(total, F.raise_error(F.lit("vectors are missing, unequal in length or hold nulls")).cast("double"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits, halves away from zero, as a scaled double is rounded in SQL engines; round() of Spark goes by decimal digits instead."""
+    return F.round(x * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+
+
 def as_double(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 

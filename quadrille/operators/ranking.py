@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.vectors import rounded
 from ..storage import rank_rows
 from .comparisons import PROFILES
 
@@ -22,11 +23,12 @@ def sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return first.withColumn("p", F.row_number().over(W.orderBy("_k", "id"))).drop("_k")
 
 
-def rank_by_anchor(rows: DataFrame, anchor_id: str, profile: str = "f64") -> DataFrame:
-    """rows but the anchor with d and rank: nearest first, ties by id. The anchor's row is broadcast."""
+def rank_by_anchor(rows: DataFrame, anchor_id: str, profile: str = "f64", digits: int | None = None) -> DataFrame:
+    """rows but the anchor with d and rank: nearest first, ties by id. The anchor's row is broadcast. digits: d is rounded
+    to so many before rows are ranked."""
     anchor = rows.where(F.col("id") == anchor_id).select(F.col("embedding").alias("_anchor"), F.col("label_name").alias("anchor_label")).limit(1)
     near = rows.where(F.col("id") != anchor_id).crossJoin(F.broadcast(anchor)).withColumn("d", PROFILES[profile](F.col("_anchor"), F.col("embedding"))).drop("_anchor", "embedding")
-    return rank_rows(near, "d", "id")
+    return rank_rows(near if digits is None else near.withColumn("d", rounded(F.col("d"), digits)), "d", "id")
 
 
 def inversions(ranked: DataFrame) -> DataFrame:

@@ -44,6 +44,22 @@ def test_rank_rows_is_a_permutation(spark):
     assert rank_rows(df.where("false"), "id").count() == 0
 
 
+def test_normalized_ranking_ties_at_nine_digits(spark, tmp_path):
+    """Multiples of one vector have unit vectors that differ in the last bits only: they rank by id."""
+    rows = [(0, [1.0, 0.0, 0.0, 0.0], 0)] + [(i, [x * i for x in (3.0, 5.0, 7.0, 11.0)], 0) for i in range(1, 200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["rank_normalized"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r.id for r in got] == sorted(str(i) for i in range(1, 200))
+
+
+def test_rounding_goes_by_the_scaled_double(spark):
+    x = [0.0, 0.1234565, 1.0000005, 2.5e-9, 0.49999999999999994, 1.9999999995]
+    df = spark.createDataFrame([(y,) for y in x], "x double")
+    for digits in (6, 9):
+        scale = 10.0**digits
+        assert [r.y for r in df.select(E.rounded(F.col("x"), digits).alias("y")).collect()] == [np.floor(y * scale + 0.5) / scale for y in x]
+
+
 def test_ranking_without_pairs(spark):
     for relevant in ([1, 1], [0, 0], []):
         rows = spark.createDataFrame([(i + 1, y) for i, y in enumerate(relevant)], "rank long, relevant int")
