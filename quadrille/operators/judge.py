@@ -206,11 +206,12 @@ def reach(path: str):
     return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
 
 
-def ask(questions: DataFrame, model: Callable[[], ChatModel], *, batch: int = 16, concurrency: int = 4, tasks: int = 1, retries: int = 2, wait: float = 0.5, counters: Counters | None = None, log: str | None = None, run: str = "", flush: int = 1000, interval: float = 5.0) -> DataFrame:
+def ask(questions: DataFrame, model: Callable[[], ChatModel], *, batch: int = 16, concurrency: int = 4, tasks: int | None = 1, retries: int = 2, wait: float = 0.5, counters: Counters | None = None, log: str | None = None, run: str = "", flush: int = 1000, interval: float = 5.0) -> DataFrame:
     """key, reasoning, answer of questions (key, a, b, c, d): in `tasks` partitions, each with `concurrency` calls of up to `batch` questions
-    open at once. With a log, answers are written there by flush and interval, under the name of the run, and an attempt that starts anew goes on from them.
+    open at once; tasks=None lets Spark deal them out by their size, for models that bear any number of calls. With a log, answers are written there by flush and interval, under the name of the run, and an attempt that starts anew goes on from them.
     Every evaluation of the result asks: cached_compare() evaluates it once."""
-    asked = questions.repartition(tasks, "key").select("key", prompt(*map(F.col, "abcd")).alias("messages"))
+    dealt = questions.repartition("key") if tasks is None else questions.repartition(tasks, "key")
+    asked = dealt.select("key", prompt(*map(F.col, "abcd")).alias("messages"))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         written = Log(log, run, flush, interval) if log else None

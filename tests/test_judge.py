@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.operators import judge
+from quadrille.plans import catalog
+from tests.conftest import SF
 
 COLUMNS = "a string, b string, c string, d string"
 YES = '{"reasoning": "r", "is_ab_less_than_cd": true}'
@@ -159,3 +161,17 @@ def test_no_questions(spark, tmp_path):
     assert found.count() == new.count() == 0 and judge.read_cache(spark, str(tmp_path / "cache")).count() == 0
     judge.append_to_cache(str(tmp_path / "other"), new.withColumn("more", F.lit(1)))
     assert judge.read_cache(spark, str(tmp_path / "other")).count() == 0
+
+
+def test_the_query_asks_in_as_many_tasks_as_its_questions_need(spark, monkeypatch):
+    seen, plain = [], judge.ask
+    monkeypatch.setattr(judge, "ask", lambda *a, **options: seen.append(options) or plain(*a, **options))
+    catalog.QUERIES["oracle_cached_compare"](spark, SF)
+    assert seen[0]["tasks"] is None
+    monkeypatch.undo()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        questions = judge.pending(judge.with_key(_quads(spark, 100)))
+        assert judge.ask(questions, judge.OfflineModel, tasks=None).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
