@@ -1,6 +1,7 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands propose pairs, whole sets decide.
+"""Near copies by Jaccard similarity of word shingles: SimHash fingerprints and MinHash bands propose pairs, whole sets decide.
 
-Bands are joined and verified from the cheapest comparisons on: a set with the least set of its bands, then with the least set
+Fingerprints of the shingles, linked as simhash.py links them, come first: two bits or fewer. Similar sets differ in more bits than blocks of
+fingerprints can be joined on, so bands propose what these leave apart. Bands are joined and verified from the cheapest comparisons on: a set with the least set of its bands, then with the least set
 of each, then, of what that leaves apart, every pair that shares a band. Where a band is crowded, these last are
 compared in blocks.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import components, reclaim, slices, table, whole_rows
+from . import simhash
 from .simhash import keep_least, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -36,6 +38,15 @@ def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set as a signed long: a bit is set if it is in over half the hashes."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        part = hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(counts * 2 > len(hashes)).view(">u8")[0].astype(np.int64))
+
+
 def bands(hashes: np.ndarray) -> list[int]:
     """A number for each band of least permuted hashes; no hashes, no bands."""
     if not len(hashes):
@@ -61,10 +72,11 @@ def _with_sets(docs: DataFrame, shingle: int, schema: str, columns) -> DataFrame
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Every row of docs with key (128 bits that equal sets share), n (size of the set) and bands in place of text."""
-    return _with_sets(docs, shingle, "key binary, n int, bands array<bigint>", lambda sets: {
+    """Every row of docs with key (128 bits that equal sets share), n (size of the set), fp (its fingerprint) and bands in place of text."""
+    return _with_sets(docs, shingle, "key binary, n int, fp long, bands array<bigint>", lambda sets: {
         "key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
         "n": pa.array([len(s) for s in sets], pa.int32()),
+        "fp": pa.array([fingerprint(s) for s in sets], pa.int64()),
         "bands": pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
     })
 
@@ -166,20 +178,33 @@ def _rooted(rows: DataFrame, roots: DataFrame, key: str = "key", name: str = "ro
     return rows.join(roots.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
 
+def by_fingerprint(marks: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the sets in marks (key, n, fp) whose fingerprints are equal or linked: each set with the least one of its own fingerprint, and
+    the least ones of linked fingerprints with each other."""
+    rows = marks.where("n > 0").select("key", "fp")
+    heads = table(rows.groupBy("fp").agg(F.min("key").alias("head")), "heads")
+    own = rows.join(heads, "fp").where("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
+    head = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"h_{c}"))
+    linked = simhash.links(heads.select("fp")).distinct().join(head("u"), "u").join(head("v"), "v")
+    return own.unionByName(linked.select(F.greatest("h_u", "h_v").alias("u"), F.least("h_u", "h_v").alias("v")))
+
+
 def links(marks: DataFrame, sets, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of the components of the distinct sets in marks (key, n, bands), over all pairs that share a band and have
-    the similarity. sets: from keys (key) to their sets (key, hashes). Sets without a partner don't appear."""
+    """(node, root) of the components of the distinct sets in marks (key, n, fp, bands), over pairs that by_fingerprint() gives and all that share a
+    band, if they have the similarity. sets: from keys (key) to their sets (key, hashes). Sets without a partner don't appear."""
     spark = marks.sparkSession
+    close = table(by_fingerprint(marks), "close")
     filed = table(marks.select("key", "n", F.explode("bands").alias("k")), "filed")
     files = table(filed.groupBy("k").agg(F.count("*").alias("members"), F.min(F.struct("key", "n")).alias("least")).where("members > 1"), "files")
     shared = table(filed.join(files, "k").select("k", "key", "n", "members", F.col("least.key").alias("least"), F.col("least.n").alias("least_n")), "shared")
     reclaim(spark)
-    whole = table(sets(shared.select("key").distinct()), "whole")
+    wanted = shared.select("key").unionByName(close.select(F.col("u").alias("key"))).unionByName(close.select(F.col("v").alias("key")))
+    whole = table(sets(wanted.distinct()), "whole")
     reclaim(spark)
     fit = lambda p, q: F.least(p, q) >= F.lit(similarity) * F.greatest(p, q)
     stars = table(shared.where((F.col("key") != F.col("least")) & fit("n", "least_n")).select(F.col("key").alias("u"), F.col("least").alias("v")).distinct(), "stars")
     first = stars.groupBy("u").agg(F.min("v").alias("v"))
-    edges = table(_verified(first, whole, similarity), "edges")
+    edges = table(_verified(close.unionByName(first).distinct(), whole, similarity), "edges")
     roots = table(components(edges), "roots")
     open_ = _rooted(_rooted(stars, roots, "u", "p"), roots, "v", "q").where("p <> q").select("u", "v").join(first, ["u", "v"], "left_anti")
     edges = table(edges.unionByName(_verified(table(open_, "open"), whole, similarity)), "edges")
@@ -209,12 +234,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     whole = whole_rows(docs)
     rows = table(sketches(whole.select("row.doc_id", "k1", "k2", "row.text"), shingle), "sketches")
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    marks = table(rows.groupBy("key").agg(F.min(least).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "marks")
+    marks = table(rows.groupBy("key").agg(F.min(least).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "marks")
 
     def sets(keys: DataFrame) -> DataFrame:
         one = marks.join(keys, "key", "left_semi").select("key", "least.k1", "least.k2")
         own = whole.select("row.text", "k1", "k2").join(one, ["k1", "k2"]).select("key", "text")
         return whole_sets(own, shingle).dropDuplicates(["key"])
 
-    roots = links(marks.select("key", "n", "bands"), sets, similarity)
+    roots = links(marks.select("key", "n", "fp", "bands"), sets, similarity)
     return keep_least(whole, _rooted(marks, roots).select("least", "root"))

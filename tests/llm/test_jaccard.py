@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quadrille.llm import jaccard, simhash
@@ -57,3 +58,22 @@ def test_the_stage_drops_near_copies_beyond_two_bits(spark):
     assert (simhash.fingerprint(rows[0][1].encode()) ^ simhash.fingerprint(rows[1][1].encode())).bit_count() > 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 3}
+
+
+def test_fingerprints_propose_pairs_that_share_no_band(spark):
+    """Near copies within two bits are linked without any band, and only if their sets are similar."""
+    base = [f"w{i * 7919 % 1000}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base[:-1], "new"]), " ".join(f"v{i}" for i in range(400))]
+    rows = jaccard.sketches(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    rows = rows.withColumn("bands", F.array().cast("array<long>"))
+    fps = {r.doc_id: r.fp for r in rows.collect()}
+    assert ((fps[0] ^ fps[1]) & (2**64 - 1)).bit_count() <= 2
+    keys = {r.doc_id: bytes(r.key) for r in rows.collect()}
+
+    def sets(wanted):
+        whole = jaccard.whole_sets(spark.createDataFrame([(keys[i], t) for i, t in enumerate(texts)], "key binary, text string"))
+        return whole.join(wanted, "key", "left_semi")
+
+    found = {bytes(r.node): bytes(r.root) for r in jaccard.links(rows.select("key", "n", "fp", "bands"), sets).collect()}
+    assert found.keys() == {keys[0], keys[1]} and len(set(found.values())) == 1
+    assert jaccard.links(rows.select("key", "n", "fp", "bands"), sets, 1.0).count() == 0
