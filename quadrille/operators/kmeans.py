@@ -81,8 +81,9 @@ def draws(pos: np.ndarray, x: np.ndarray, centers: np.ndarray, n: int, seed: int
         with np.errstate(divide="ignore"):
             for t in range(n):
                 key = -np.log(uniform(pos, seed, r, turn, t)) / away
-                best[r, t] = np.lexsort((pos, key))[0]
-                keys[r, t] = key[best[r, t]]
+                keys[r, t] = key.min()
+                least = np.flatnonzero(key == keys[r, t])
+                best[r, t] = least[pos[least].argmin()]
     return keys, best
 
 
@@ -218,7 +219,9 @@ def _step(rows: DataFrame) -> Callable[[np.ndarray], Step]:
                 yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int64()), pa.array([0] * len(held), pa.int64()), _numbers(np.stack([*held.values()]))], ["slot", "part", "x"])
 
         shape = "slot long, part long, x array<double>"
-        summed = rows.select("embedding").mapInArrow(work, shape).repartition(SUMS, "slot").sortWithinPartitions("slot", "part").mapInArrow(add, shape)
+        # So many tasks as the partial results are worth, by the size of the centers: most passes are short.
+        sums = min(SUMS, 1 + starts * k * width // 50_000)
+        summed = rows.select("embedding").mapInArrow(work, shape).repartition(sums, "slot").sortWithinPartitions("slot", "part").mapInArrow(add, shape)
         values = np.zeros((starts * k, width + 2))
         for r in summed.collect():
             values[r.slot] = r.x
@@ -237,7 +240,8 @@ def kmeans_cluster(rows: DataFrame, k: int, *, seed: int = 0, n_init: int = 10,
     """The best of n_init starts by cost, the first of equals; centers are the members nearest to the centroids. A cluster that ends
     without members isn't there. init: "k-means++", or "random" for k different rows. on_step is told of every pass over the rows. The driver and
     each task hold the centers of all starts: n_init * k vectors."""
-    rows = table(rows.select("id", "pos", "label_name", "embedding"), "rows")
+    # Every pass takes its tasks from this table: the files that rows come from may be one.
+    rows = table(rows.select("id", "pos", "label_name", "embedding").repartition("id"), "rows")
     n = rows.count()
     if not 1 <= k <= n or n_init < 1 or max_iter < 1 or tol < 0 or init not in ("k-means++", "random"):
         raise ValueError("k lies between 1 and the number of rows, n_init and max_iter are at least 1, tol isn't negative, init is k-means++ or random")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.operators import kmeans
 from quadrille.plans import catalog
@@ -84,3 +85,17 @@ def test_few_different_rows(spark):
     for bad in ({"k": 0}, {"k": 4}, {"k": 1, "tol": -1}, {"k": 1, "init": "other"}):
         with pytest.raises(ValueError):
             kmeans.kmeans_cluster(_rows(spark, np.array([[0.0], [2.0], [10.0]])), **bad)
+
+
+def test_rows_of_one_file_are_dealt_out(spark, monkeypatch):
+    seen = []
+    plain_step = kmeans._step
+    monkeypatch.setattr(kmeans, "_step", lambda rows: seen.append(rows.select(F.spark_partition_id().alias("p")).distinct().count()) or plain_step(rows))
+    kmeans.kmeans_cluster(_rows(spark, np.random.default_rng(1).normal(size=(9000, 64)), 1), 3, n_init=1, max_iter=2)
+    assert seen[0] > 1
+
+
+def test_the_least_key_of_equals_is_the_earliest_place():
+    x = np.array([[1.0], [1.0], [1.0]])
+    keys, best = kmeans.draws(np.array([5, 3, 9]), x, np.array([[[1.0]]]), 2, 0, 0)
+    assert np.isinf(keys).all() and (best == 1).all()
