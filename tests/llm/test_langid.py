@@ -135,3 +135,32 @@ def test_held_out_languages_are_not_read(spark):
     changed = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), F.lit("xx")).otherwise(F.col("lang"))).withColumn("source", F.lit(None))
     names = ("doc_id", "lang_pred", "score", "rejected")
     assert sorted(tuple(r[c] for c in names) for r in langid.identify(docs).collect()) == sorted(tuple(r[c] for c in names) for r in langid.identify(changed).collect())
+
+
+def test_rare_runs_count(spark):
+    rows = [(i, t, lang, None, 1) for i, (lang, t) in enumerate(_training() * 3)]
+    rows += [(501, "zzzz 中 the wasser", None, None, 1), (502, None, "aa", None, 1), (502, "12", None, None, 1), (None, "agua ñu und q", None, None, 1), (503, "wind und q " * 300, None, None, 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = [sorted(map(tuple, langid.identify(df, kept).select("doc_id", "held_out", "lang_pred", "rejected", "score", "entropy").collect()), key=str) for kept in (langid.KEPT, 200, 1)]
+    assert len(found[0]) == len(rows)
+    for less in found[1:]:
+        for whole, row in zip(found[0], less, strict=True):
+            assert row[:4] == whole[:4] and row[4] == pytest.approx(whole[4], rel=1e-6) and (row[5] or 0) == pytest.approx(whole[5] or 0, rel=1e-6)
+
+
+def test_joined_log_probabilities(monkeypatch, spark):
+    levels = langid.probabilities(langid.run_counts(spark.createDataFrame(_training(), "lang string, text string")))
+    whole, none = langid.model_of(levels), langid.model_of(levels, 0)
+    texts = ["the wasser", "", None, "zzzz 中 q", "Wind und " * 50]
+    monkeypatch.setattr(langid, "BATCH", 64)
+    monkeypatch.setattr(langid, "PART", 32)
+    total, chars = np.zeros((len(texts), len(none.langs))), np.zeros(len(texts), dtype=np.int64)
+    left = [(int(i), str(r), int(n)) for batch in langid.measure(none, texts, total, chars) for i, r, n in zip(*batch)]
+    assert not total.any() and len(none.frequent[0]) == 0
+    with pytest.raises(ValueError):
+        langid.entropies(none, texts)
+    logs = {r.run: r.logs for r in langid.log_probabilities(spark.createDataFrame([(r,) for _, r, _ in left], "run string").distinct(), levels, none).collect()}
+    for i, run, n in left:
+        total[i] -= n * np.array(logs[run]) / langid.UNIT
+    want, count = langid.entropies(whole, texts)
+    assert np.allclose(total, want, rtol=1e-7) and chars.tolist() == count.tolist()
